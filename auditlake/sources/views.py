@@ -24,8 +24,8 @@ select o_custkey as package_id, l_orderkey as doc_id, l_linenumber as line_no,
   case when l_orderkey % 7 = 0 then '' else 'pcs' end as unit,
   case when l_orderkey % 9 = 0 then null else p_retailprice end as unit_price_net,
   round(l_tax * 100) as vat_rate, l_extendedprice as total_net,
-  cast(cast(l_extendedprice * (l_tax + case when l_returnflag = 'R' and l_linenumber = 7 then 0.02 else 0.0 end) as decimal(18,2)) as double) as total_vat,
-  cast(cast(l_extendedprice * (1 + l_tax) + case when l_returnflag = 'A' and l_linenumber = 1 then 5 else 0 end as decimal(18,2)) as double) as total_gross,
+  floor((l_extendedprice * (l_tax + case when l_returnflag = 'R' and l_linenumber = 7 then 0.02 else 0.0 end)) * 100 + 0.5) / 1e2 as total_vat,
+  floor((l_extendedprice * (1 + l_tax) + case when l_returnflag = 'A' and l_linenumber = 1 then 5 else 0 end) * 100 + 0.5) / 1e2 as total_gross,
   l_returnflag, l_linestatus
 from {lineitem} join {orders} on l_orderkey = o_orderkey join {part} on l_partkey = p_partkey"""
 
@@ -43,8 +43,8 @@ select o_custkey as package_id, o_orderkey as doc_id, 'invoice' as doc_type,
   case when o_orderkey % 6 = 0 then '' else concat(lpad(cast((o_orderkey * 7919) % 10000000 as string), 7, '0'), cast(o_orderkey % 10 as string), '-2-4', cast(o_orderkey % 10 as string)) end as issuer_tax_id,
   c_name as customer_name, n_name as customer_address,
   case when o_orderkey % 2 = 0 then null else concat('12345676-2-4', cast(o_orderkey % 10 as string)) end as customer_tax_id,
-  cast(cast(o_totalprice / 1.2 as decimal(18,2)) as double) as total_net,
-  cast(cast(o_totalprice as decimal(18,2)) - cast(o_totalprice / 1.2 as decimal(18,2)) + case when o_orderkey % 25 = 0 then 2 else 0 end as double) as total_vat,
+  floor((o_totalprice / 1.2) * 100 + 0.5) / 1e2 as total_net,
+  (floor(o_totalprice * 100 + 0.5) - floor(o_totalprice / 1.2 * 100 + 0.5)) / 1e2 + case when o_orderkey % 25 = 0 then 2 else 0 end as total_vat,
   o_totalprice as total_gross, round(o_totalprice / 20000) * 20000 as gross_bucket
 from {orders} join {customer} on o_custkey = c_custkey join {nation} on c_nationkey = n_nationkey"""
 
@@ -64,10 +64,10 @@ select o_custkey as package_id, o_orderkey as doc_id, 'contract' as doc_type, 'e
   case when o_orderkey % 5 = 0 then 'none' else 'local law' end as governing_law,
   case when o_orderkey % 14 = 0 then null else o_orderkey % 7 <> 0 end as confidentiality_clause,
   o_orderkey % 11 = 0 as change_of_control, o_orderkey % 13 = 0 as non_compete, o_orderkey % 17 = 0 as auto_renewal,
-  case when o_orderpriority = '1-URGENT' then cast(cast(o_totalprice / 12 as decimal(18,2)) as double) end as monthly_fee,
+  case when o_orderpriority = '1-URGENT' then floor((o_totalprice / 12) * 100 + 0.5) / 1e2 end as monthly_fee,
   case when o_orderkey % 2 = 0 then 'USD' else 'EUR' end as monthly_fee_currency
 from {orders} join {customer} on o_custkey = c_custkey
-  join (select l_orderkey, sum(cast(l_extendedprice * l_discount as decimal(18,2))) as penalty, max(l_shipdate) as last_ship
+  join (select l_orderkey, sum(cast(floor(l_extendedprice * l_discount * 100 + 0.5) as bigint)) / 1e2 as penalty, max(l_shipdate) as last_ship
         from {lineitem} group by l_orderkey) on o_orderkey = l_orderkey"""
 
 # purchase-order lines and headers; delivery-note lines (some missing, some short) and headers
@@ -85,12 +85,12 @@ from {v_line} group by package_id, doc_id, item_code, description"""
 VIEWS["v_po"] = """
 select o_custkey as package_id, o_orderkey as doc_id, 'purchase_order' as doc_type, 'en' as language,
   cast(cast(o_orderdate as date) + cast(o_orderkey % 5 - 2 as int) as string) as order_date,
-  cast(cast(o_totalprice / 1.2 as decimal(18,2)) as double) as total_net,
-  case when o_orderkey % 9 = 0 then null else cast(cast(o_totalprice * (1 + (o_orderkey % 8) * 0.01) as decimal(18,2)) as double) end as total_gross
+  floor((o_totalprice / 1.2) * 100 + 0.5) / 1e2 as total_net,
+  case when o_orderkey % 9 = 0 then null else floor((o_totalprice * (1 + (o_orderkey % 8) * 0.01)) * 100 + 0.5) / 1e2 end as total_gross
 from {orders}"""
 VIEWS["v_dn"] = """
 select o_custkey as package_id, o_orderkey as doc_id, 'delivery_note' as doc_type, 'en' as language,
-  case when o_orderkey % 2 = 0 then cast(cast(o_totalprice / 1.2 as decimal(18,2)) as double) end as total_net,
+  case when o_orderkey % 2 = 0 then floor((o_totalprice / 1.2) * 100 + 0.5) / 1e2 end as total_net,
   cast(null as double) as total_gross
 from {orders} where o_orderkey in (select l_orderkey from {lineitem} where l_returnflag <> 'R')"""
 
