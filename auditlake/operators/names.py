@@ -33,7 +33,10 @@ def _short_pieces(c: Column, size: int) -> Column:
 def _contained_in(needles: DataFrame, hay: DataFrame, needle: str, straw: str, scope: list[str], size: int) -> DataFrame:
     """(scope, needle, straw) where the needle is a substring of the straw."""
     long_hay = hay.select(*scope, straw, F.explode(fragments(F.col(straw), size)).alias("_piece"))
-    short_hay = hay.select(*scope, straw, F.explode(F.array_distinct(_short_pieces(F.col(straw), size))).alias("_piece"))
+    # pieces below fragment size serve only scopes that hold such short needles
+    short_needles = needles.filter(F.length(needle) < size)
+    short_base = hay.join(short_needles.select(*scope).distinct(), scope, "left_semi") if scope else hay
+    short_hay = short_base.select(*scope, straw, F.explode(F.array_distinct(_short_pieces(F.col(straw), size))).alias("_piece"))
     # how many straws hold each piece; only pieces that a needle asks for are counted
     asked = needles.select(*scope, needle, F.explode(fragments(F.col(needle), size)).alias("_piece"))
     freq = long_hay.unionByName(short_hay).groupBy(*scope, "_piece").agg(F.count(F.lit(1)).alias("_n"))
