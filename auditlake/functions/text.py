@@ -62,6 +62,17 @@ def wide_forms() -> dict[str, str]:
     return out
 
 
+def _coarse_class(chars) -> str:
+    """Character class of a few ranges that covers ``chars``; a cheap pre-test."""
+    ranges: list[list[int]] = []
+    for code in sorted(map(ord, chars)):
+        if ranges and code - ranges[-1][1] <= 16:
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+    return "[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ranges) + "]"
+
+
 def strip_accents(c: Column) -> Column:
     """Compatibility decomposition without combining marks.
 
@@ -72,7 +83,7 @@ def strip_accents(c: Column) -> Column:
     source, target = accent_table()
     wide = wide_forms()
     pairs = F.create_map(*[F.lit(x) for kv in wide.items() for x in kv])
-    char_class = "[" + "".join(wide) + "]"
+    char_class = _coarse_class(wide)
     widened = F.array_join(
         F.transform(F.split(c, ""), lambda ch: F.coalesce(F.try_element_at(pairs, ch), ch)), ""
     )

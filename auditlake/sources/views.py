@@ -131,7 +131,7 @@ Fulfillment date: ', coalesce(fulfillment_date, 'n/a'), '
 Payment due: ', payment_due_date, '
 Issuer: ', issuer_name, ' ltd
 Tax ID: ', issuer_tax_id, '
-Customer: ', customer_name, '
+Customer: ', replace(customer_name, '#', ' no '), '
 Total net: ', cast(cast(total_net as decimal(18,2)) as string), case when doc_id % 2 = 0 then ' EUR' else ' USD' end, '
 Total VAT: ', cast(cast(total_vat as decimal(18,2)) as string), '
 Total gross: $', cast(cast(total_gross as decimal(18,2)) as string)) as invoice_text,
@@ -194,15 +194,21 @@ from (
   from {v_invoice} where doc_id % 33 = 0
 )"""
 
-# document quotes: one verbatim up to case, one from the benchmark, one short
+# document quotes: one verbatim up to letter case, one from the benchmark, one short, one made up
 VIEWS["v_quote"] = """
-select source as package_id, doc_id, text, 1 as quote_no, upper(substr(text, 1, 60)) as quote from {documents}
-union all
-select source, doc_id, d.text, 2, b.text from {documents} d join {benchmark} b on b.item_id = d.doc_id % 40
-union all
-select source, doc_id, text, 3, 'short ü' from {documents}
-union all
-select source, doc_id, text, 4, concat('passage made up for ', source) from {documents} where doc_id % 3 = 0"""
+select source as package_id, doc_id, d.text as text, lower(substr(d.text, 1, 60)) as q1,
+  case when doc_id % 4 = 1 then null else b.text end as q2, case when doc_id % 2 = 0 then 'short ü' end as q3,
+  case when doc_id % 3 = 0 then concat('passage made up for ', source) end as q4
+from {documents} d left join {benchmark} b on b.item_id = d.doc_id % 40"""
+
+# one row per rendered text with the file it came in
+VIEWS["v_file_text"] = """
+select package_id, doc_id, concat(case when doc_id % 2 = 0 then 'tax-invoice_' else 'scan_' end, cast(doc_id as string), '.pdf') as file_name, 'invoice' as true_type, invoice_text as text from {v_text}
+union all select package_id, doc_id, concat('scan_', cast(doc_id as string), '.PNG'), 'delivery_note', delivery_text from {v_text}
+union all select package_id, doc_id, concat(case when doc_id % 2 = 0 then 'purchase-order_' else 'scan_' end, cast(doc_id as string), '.docx'), 'purchase_order', order_text from {v_text}
+union all select package_id, doc_id, concat('scan_', cast(doc_id as string), '.txt'), 'contract', contract_text from {v_text}
+union all select package_id, doc_id, concat('scan_', cast(doc_id as string)), 'financial_report', report_text from {v_text}
+union all select package_id, doc_id, concat('letter_', cast(doc_id as string), '.eml'), 'other', letter_text from {v_text}"""
 
 # amounts and dates the way people type them
 VIEWS["v_messy"] = """
