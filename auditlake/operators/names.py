@@ -54,6 +54,11 @@ def _contained_in(needles: DataFrame, hay: DataFrame, needle: str, straw: str, s
     )
 
 
+def substring_lookup(needles: DataFrame, hay: DataFrame, needle: str, straw: str, scope: list[str] | None = None, size: int = FRAGMENT) -> DataFrame:
+    """Distinct (scope, needle, straw) where the needle occurs in the straw; one direction only."""
+    return _contained_in(needles.filter(F.col(needle) != ""), hay.filter(F.col(straw) != ""), needle, straw, scope or [], size).distinct()
+
+
 def contains_join(left: DataFrame, right: DataFrame, a: str, b: str, scope: list[str] | None = None, size: int = FRAGMENT) -> DataFrame:
     """Distinct (scope, a, b) where one name contains the other.  Inputs must be distinct, non-empty names."""
     scope = scope or []
