@@ -58,108 +58,103 @@ def classify(docs: DataFrame) -> DataFrame:
 
 
 def _span(c: Column, pattern: str) -> Column:
+    """Whole first match, NULL where there is none."""
     return F.nullif(F.regexp_extract(c, pattern, 0), F.lit(""))
 
 
-def _value(c: Column, pattern: str, span: Column, group: int = 1) -> Column:
-    return F.when(span.isNotNull(), F.regexp_extract(c, pattern, group))
-
-
-def _dated(c: Column, label: str):
-    """(span, ISO date) of a labelled date."""
-    pattern = I + label + r"\s*[:\#]?\s*(" + K.DATE_PATTERN + ")"
-    span = _span(c, pattern)
-    date = F.when(span.isNotNull(), iso_parts(*[F.regexp_extract(c, pattern, i) for i in (2, 3, 4)]))
-    return span, date
-
-
-def _numbered(c: Column, pattern: str):
-    span = _span(c, I + pattern)
-    return span, F.regexp_replace(_value(c, I + pattern, span), r"[,.;]+$", "")
-
-
-def _quotes(spans: list[Column], limit: int = K.QUOTE_CHARS) -> Column:
-    return F.filter(F.array(*[F.substring(s, 1, limit) for s in spans]), lambda q: q.isNotNull())
-
-
-def invoice_fields(c: Column) -> dict[str, Column]:
-    number_span, number = _numbered(c, K.INVOICE_NUMBER_PATTERN)
-    out = {"invoice_number": number}
-    spans = [("invoice_number", number_span)]
-    for field, label in K.INVOICE_DATE_LABELS:
-        span, out[field] = _dated(c, label)
-        spans.append((field, span))
-    for field, label in K.PARTY_LABELS:
-        pattern = I + label + K.PARTY_TAIL
-        out[f"{field}_name"] = strip(_value(c, pattern, _span(c, pattern)))
-    tax = _span(c, EXACT + K.TAX_ID_PATTERN)
-    out["issuer_tax_id"] = F.when(
-        out["issuer_name"].isNotNull() & tax.isNotNull(),
-        F.concat_ws("-", *[F.regexp_extract(c, EXACT + K.TAX_ID_PATTERN, i) for i in (1, 2, 3)]))
-    for field, label in K.TOTAL_LABELS:
-        pattern = I + label + K.TOTAL_TAIL
-        span = _span(c, pattern)
-        out[field] = parse_money(_value(c, pattern, span))
-        spans.append((field, F.when(out[field].isNotNull(), span)))
-    out["currency"] = reduce(lambda acc, kv: acc.when(c.rlike(EXACT + kv[1]), kv[0]), K.CURRENCY_PATTERNS[1:],
-                             F.when(c.rlike(EXACT + K.CURRENCY_PATTERNS[0][1]), K.CURRENCY_PATTERNS[0][0]))
-    out["quotes"] = _quotes([s for _, s in spans])
-    out["confidence"] = F.map_filter(
-        F.map_from_arrays(F.array(*[F.lit(f) for f, _ in spans]), F.array(*[F.when(s.isNotNull(), F.lit("high")) for _, s in spans])),
-        lambda _, v: v.isNotNull())
-    return out
-
-
-def numbered_document(c: Column, pattern: str) -> dict[str, Column]:
-    span, number = _numbered(c, pattern)
-    return {"document_number": number, "quotes": _quotes([span])}
-
-
-def contract_fields(c: Column) -> dict[str, Column]:
-    low = F.lower(c)
-
-    def has(*words):
-        return reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in words])
-
-    out = {"contract_type": F.when(has("non-disclosure", "nda", "titoktart"), "NDA").when(has("lease", "rental", "lizing"), "lease")
-           .when(has("service", "szolgaltatas"), "service").when(has("framework") | F.contains(c, F.lit("MSA")), "MSA")}
-    spans = []
-    for field, label in K.CONTRACT_DATE_LABELS:
-        span, out[field] = _dated(c, label)
-        spans.append(F.substring(span, 1, K.QUOTE_CHARS))
-    law = I + K.GOVERNING_LAW_PATTERN
-    out["governing_law"] = F.substring(strip(_value(c, law, _span(c, law))), 1, 120)
-    end = I + K.TERMINATION_PATTERN
-    span = F.when(c.rlike(I + K.TERMINATION_MENTION), _span(c, end))
-    out["termination_terms"] = strip(_value(c, end, span))
-    spans.append(F.substring(span, 1, 200))
-    for field, pattern in (("auto_renewal", K.AUTO_RENEWAL_PATTERN), ("change_of_control", K.CHANGE_OF_CONTROL_PATTERN),
-                           ("non_compete", K.NON_COMPETE_PATTERN), ("confidentiality_clause", K.CONFIDENTIALITY_PATTERN)):
-        out[field] = F.when(c.rlike(I + pattern), F.lit(True))
-    out["quotes"] = F.filter(F.array(*spans), lambda q: q.isNotNull())
-    return out
-
-
-def report_fields(c: Column) -> dict[str, Column]:
-    low = F.lower(c)
-
-    def has(col, *words):
-        return reduce(lambda a, b: a | b, [F.contains(col, F.lit(w)) for w in words])
-
-    out = {
-        "report_type": F.when(has(low, "income statement", "p&l", "profit"), "income_statement").when(has(low, "balance sheet", "merleg"), "balance_sheet")
-        .when(has(low, "cash flow"), "cash_flow"),
-        "accounting_standard": F.when(has(c, "IFRS"), "IFRS").when(has(c, "US-GAAP", "US GAAP"), "US-GAAP").when(has(c, "HU-GAAP", "HÁR"), "HU-GAAP")
-        .when(has(c, "HGB"), "DE-HGB"),
-    }
-    for field, label in K.REPORT_PERIOD_LABELS:
-        out[field] = _dated(c, label)[1]
-    return out
+def _staged(spans: dict[str, Column], build) -> Column:
+    """Find each span once in the text, then read the fields from the short spans."""
+    found = F.struct(*[v.alias(k) for k, v in spans.items()])
+    return F.transform(F.array(found), lambda s: F.struct(*[v.alias(k) for k, v in build(s).items()]))[0]
+
+
+def _date_pattern(label: str) -> str:
+    return I + label + r"\s*[:\#]?\s*(" + K.DATE_PATTERN + ")"
+
+
+def _date_of(span: Column) -> Column:
+    """ISO date at the end of a labelled span."""
+    tail = I + K.DATE_PATTERN + "$"
+    return F.when(span.isNotNull(), iso_parts(*[F.regexp_extract(span, tail, i) for i in (1, 2, 3)]))
+
+
+def _number_of(span: Column, pattern: str) -> Column:
+    return F.when(span.isNotNull(), F.regexp_replace(F.regexp_extract(span, I + pattern, 1), r"[,.;]+$", ""))
+
+
+def _present(items: list[Column]) -> Column:
+    return F.filter(F.array(*items), lambda q: q.isNotNull())
+
+
+def invoice_fields(c: Column) -> Column:
+    spans = {"invoice_number": _span(c, I + K.INVOICE_NUMBER_PATTERN)}
+    spans |= {f: _span(c, _date_pattern(label)) for f, label in K.INVOICE_DATE_LABELS}
+    spans |= {f"{f}_name": F.nullif(strip(F.regexp_extract(c, I + label + K.PARTY_TAIL, 1)), F.lit("")) for f, label in K.PARTY_LABELS}
+    spans["tax_id"] = _span(c, EXACT + K.TAX_ID_PATTERN)
+    spans |= {f: _span(c, I + label + K.TOTAL_TAIL) for f, label in K.TOTAL_LABELS}
+    spans["currency"] = reduce(lambda acc, kv: acc.when(c.rlike(EXACT + kv[1]), kv[0]), K.CURRENCY_PATTERNS[1:],
+                               F.when(c.rlike(EXACT + K.CURRENCY_PATTERNS[0][1]), K.CURRENCY_PATTERNS[0][0]))
+
+    def build(s):
+        out = {"invoice_number": _number_of(s["invoice_number"], K.INVOICE_NUMBER_PATTERN)}
+        out |= {f: _date_of(s[f]) for f, _ in K.INVOICE_DATE_LABELS}
+        out |= {f"{f}_name": s[f"{f}_name"] for f, _ in K.PARTY_LABELS}
+        out["issuer_tax_id"] = F.when(s["issuer_name"].isNotNull(), F.regexp_replace(s["tax_id"], r"(?U)\s", ""))
+        out |= {f: parse_money(F.regexp_extract(s[f], r"([\d\s.,]+)$", 1)) for f, _ in K.TOTAL_LABELS}
+        out["currency"] = s["currency"]
+        quoted = [(k, s[k]) for k in ("invoice_number", *[f for f, _ in K.INVOICE_DATE_LABELS])]
+        quoted += [(f, F.when(out[f].isNotNull(), s[f])) for f, _ in K.TOTAL_LABELS]
+        out["quotes"] = _present([F.substring(q, 1, K.QUOTE_CHARS) for _, q in quoted])
+        out["confidence"] = F.map_from_entries(_present([
+            F.when(q.isNotNull(), F.struct(F.lit(k).alias("key"), F.lit("high").alias("value"))) for k, q in quoted]))
+        return out
+
+    return _staged(spans, build)
+
+
+def numbered_document(c: Column, pattern: str) -> Column:
+    return _staged({"span": _span(c, I + pattern)}, lambda s: {
+        "document_number": _number_of(s["span"], pattern), "quotes": _present([F.substring(s["span"], 1, K.QUOTE_CHARS)])})
+
+
+def _has(c: Column, *words) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(c, F.lit(w)) for w in words])
+
+
+def contract_fields(c: Column) -> Column:
+    spans = {"text": c, "low": F.lower(c)}
+    spans |= {f: _span(c, _date_pattern(label)) for f, label in K.CONTRACT_DATE_LABELS}
+    spans["law"] = F.nullif(F.regexp_extract(c, I + K.GOVERNING_LAW_PATTERN, 1), F.lit(""))
+    spans["ending"] = F.when(c.rlike(I + K.TERMINATION_MENTION), _span(c, I + K.TERMINATION_PATTERN))
+    flags = (("auto_renewal", K.AUTO_RENEWAL_PATTERN), ("change_of_control", K.CHANGE_OF_CONTROL_PATTERN),
+             ("non_compete", K.NON_COMPETE_PATTERN), ("confidentiality_clause", K.CONFIDENTIALITY_PATTERN))
+
+    def build(s):
+        low = s["low"]
+        out = {"contract_type": F.when(_has(low, "non-disclosure", "nda", "titoktart"), "NDA").when(_has(low, "lease", "rental", "lizing"), "lease")
+               .when(_has(low, "service", "szolgaltatas"), "service").when(_has(low, "framework") | _has(s["text"], "MSA"), "MSA")}
+        out |= {f: _date_of(s[f]) for f, _ in K.CONTRACT_DATE_LABELS}
+        out["governing_law"] = F.substring(strip(s["law"]), 1, 120)
+        out["termination_terms"] = F.when(s["ending"].isNotNull(), strip(F.regexp_extract(s["ending"], I + K.TERMINATION_PATTERN, 1)))
+        out |= {f: F.when(s["text"].rlike(I + p), F.lit(True)) for f, p in flags}
+        out["quotes"] = _present([F.substring(s[f], 1, K.QUOTE_CHARS) for f, _ in K.CONTRACT_DATE_LABELS] + [F.substring(s["ending"], 1, 200)])
+        return out
+
+    return _staged(spans, build)
+
+
+def report_fields(c: Column) -> Column:
+    spans = {"text": c, "low": F.lower(c)} | {f: _span(c, _date_pattern(label)) for f, label in K.REPORT_PERIOD_LABELS}
+    return _staged(spans, lambda s: {
+        "report_type": F.when(_has(s["low"], "income statement", "p&l", "profit"), "income_statement").when(_has(s["low"], "balance sheet", "merleg"), "balance_sheet")
+        .when(_has(s["low"], "cash flow"), "cash_flow"),
+        "accounting_standard": F.when(_has(s["text"], "IFRS"), "IFRS").when(_has(s["text"], "US-GAAP", "US GAAP"), "US-GAAP")
+        .when(_has(s["text"], "HU-GAAP", "HÁR"), "HU-GAAP").when(_has(s["text"], "HGB"), "DE-HGB"),
+        **{f: _date_of(s[f]) for f, _ in K.REPORT_PERIOD_LABELS}})
 
 
-def universal_fields(c: Column) -> dict[str, Column]:
-    p = EXACT + K.DATE_PATTERN
-    return {"signature_date": F.when(_span(c, p).isNotNull(), iso_parts(*[F.regexp_extract(c, p, i) for i in (1, 2, 3)]))}
+def universal_fields(c: Column) -> Column:
+    return _staged({"span": _span(c, EXACT + K.DATE_PATTERN)}, lambda s: {"signature_date": _date_of(s["span"])})
 
 
 def extract_all(docs: DataFrame) -> DataFrame:
@@ -170,12 +165,15 @@ def extract_all(docs: DataFrame) -> DataFrame:
         "purchase_order": numbered_document(c, K.PURCHASE_ORDER_PATTERN), "contract": contract_fields(c),
         "financial_report": report_fields(c), "other": universal_fields(c),
     }
-    merged: dict[str, Column] = {}
-    for t, fields in by_type.items():
-        here = ~kind.isin([k for k in by_type if k != "other"]) if t == "other" else kind == t
-        for f, col in fields.items():
-            merged[f] = F.when(here, col) if f not in merged else merged[f].when(here, col)
-    return docs.select(*[x for x in docs.columns if x != "text"], F.col("file_name").alias("source_file"), *[v.alias(k) for k, v in merged.items()])
+    others = [k for k in by_type if k != "other"]
+    staged = docs.select(*[x for x in docs.columns if x != "text"], F.col("file_name").alias("source_file"), *[
+        F.when(~kind.isin(others) if t == "other" else kind == t, fields).alias(f"_{t}") for t, fields in by_type.items()])
+    holders: dict[str, list[Column]] = {}
+    for t in by_type:
+        for f in staged.schema[f"_{t}"].dataType.names:
+            holders.setdefault(f, []).append(F.col(f"_{t}")[f])
+    kept = [x for x in staged.columns if x not in [f"_{t}" for t in by_type]]
+    return staged.select(*kept, *[F.coalesce(*v).alias(k) for k, v in holders.items()])
 
 
 def flatten_universal(docs: DataFrame) -> DataFrame:

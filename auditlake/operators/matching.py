@@ -14,6 +14,7 @@ from auditlake.operators.rules import text_of
 from auditlake.session import materialise
 
 KEYS = ["package_id", "doc_id"]
+SMALL_SCOPE = 32
 PAIRS = [("invoice", "purchase_order"), ("invoice", "delivery_note"), ("delivery_note", "purchase_order")]
 RESULT = "status severity message field_name expected_num expected_str actual_num actual_str source_a source_b".split()
 
@@ -94,12 +95,12 @@ def date_result(issue: Column, ordered: Column, seq: int) -> Column:
                   "date", expected_str=ordered, actual_str=issue)
 
 
-def match_items(a: DataFrame, b: DataFrame, scope: list[str] = KEYS) -> DataFrame:
-    """Match each item of ``a`` with an item of ``b``; four passes, the first hit wins.
+def match_items(items_a: DataFrame, items_b: DataFrame, scope: list[str] = KEYS) -> DataFrame:
+    """Match each item of ``items_a`` with one of ``items_b``; four passes, the first hit wins.
 
     1 equal code, 2 equal name, 3 one name contains the other, 4 alike names.
-    Both inputs hold (scope, item_code, description, quantity), ``b`` also
-    ``ord``; within a pass the first item of ``b`` by ``ord`` is taken.  Passes
+    Both inputs hold (scope, item_code, description, quantity), the
+    second also ``ord``; within a pass its first item by ``ord`` is taken.  Passes
     1 and 2 are equi-joins against one row per key.  Passes 3 and 4 see only the
     distinct names that are left, and look up candidates by fragment or rare
     word, so no document's items are compared pairwise.  The result of the
@@ -108,8 +109,8 @@ def match_items(a: DataFrame, b: DataFrame, scope: list[str] = KEYS) -> DataFram
     def lowered(c):
         return F.lower(strip(F.coalesce(F.col(c), F.lit(""))))
 
-    left = a.withColumn("_code", lowered("item_code")).withColumn("_name", lowered("description")).filter(F.col("_name") != "")
-    right = b.withColumn("_code", lowered("item_code")).withColumn("_name", lowered("description"))
+    left = items_a.withColumn("_code", lowered("item_code")).withColumn("_name", lowered("description")).filter(F.col("_name") != "")
+    right = items_b.withColumn("_code", lowered("item_code")).withColumn("_name", lowered("description"))
     item = F.struct("ord", F.col("description").alias("b_description"), F.col("quantity").alias("b_quantity"))
     by_code = right.filter(F.col("_code") != "").groupBy(*scope, "_code").agg(F.min_by(item, "ord").alias("m1"))
     by_name = right.filter(F.col("_name") != "").groupBy(*scope, "_name").agg(F.min_by(item, "ord").alias("m2"))
@@ -123,21 +124,31 @@ def match_items(a: DataFrame, b: DataFrame, scope: list[str] = KEYS) -> DataFram
     needed = left_names.select(*scope).distinct()
     right_names = materialise(
         by_name.join(needed, scope, "left_semi").select(*scope, F.col("_name").alias("name_b"), F.col("m2").alias("m")), "items-open")
+    # a document with few open names is compared name by name, at most SMALL_SCOPE each;
+    # larger ones look candidates up by fragment and rare word: both ways give the same pairs
+    counts = right_names.groupBy(*scope).agg(F.count(F.lit(1)).alias("_k"))
+    small = counts.filter(F.col("_k") <= SMALL_SCOPE).select(*scope)
+    large = counts.filter(F.col("_k") > SMALL_SCOPE).select(*scope)
     names_b = right_names.select(*scope, "name_b")
-    inside = contains_join(left_names, names_b, "name_a", "name_b", scope).withColumn("pass", F.lit(3))
-    words_a = left_names.withColumn("tokens", F.array_distinct(split_words(F.col("name_a"))))
-    words_b = names_b.withColumn("tokens", F.array_distinct(split_words(F.col("name_b"))))
-    alike = share_at_least(words_a, words_b, "name_a", "name_b", 0.8, scope, of_larger=True).filter(
-        match.names_alike(F.col("name_a"), F.col("name_b"))).select(*scope, "name_a", "name_b").withColumn("pass", F.lit(4))
+    a, b = F.col("name_a"), F.col("name_b")
+    step = F.when(F.contains(a, b) | F.contains(b, a), 3).when(match.names_alike(a, b), 4)
+    near = left_names.join(small, scope, "left_semi").join(names_b, scope).withColumn("pass", step).filter(F.col("pass").isNotNull())
+    far_a = left_names.join(large, scope, "left_semi")
+    far_b = names_b.join(large, scope, "left_semi")
+    inside = contains_join(far_a, far_b, "name_a", "name_b", scope).withColumn("pass", F.lit(3))
+    words_a = far_a.withColumn("tokens", F.array_distinct(split_words(a)))
+    words_b = far_b.withColumn("tokens", F.array_distinct(split_words(b)))
+    alike = share_at_least(words_a, words_b, "name_a", "name_b", 0.8, scope, of_larger=True).filter(match.names_alike(a, b)).select(
+        *scope, "name_a", "name_b").withColumn("pass", F.lit(4))
     loose = (
-        inside.unionByName(alike).join(right_names, scope + ["name_b"])
+        near.unionByName(inside).unionByName(alike).join(right_names, scope + ["name_b"])
         .groupBy(*scope, "name_a").agg(F.min_by(F.struct("pass", "m"), F.struct("pass", F.col("m.ord"))).alias("m3"))
         .withColumnRenamed("name_a", "_name")
     )
     found = equi.join(loose, scope + ["_name"], "left")
     hit = F.coalesce("m1", "m2", "m3.m")
     step = F.when(F.col("m1").isNotNull(), 1).when(F.col("m2").isNotNull(), 2).otherwise(F.coalesce("m3.pass", F.lit(0)))
-    return found.select(*[c for c in a.columns], step.alias("pass"), hit["b_description"].alias("b_description"), hit["b_quantity"].alias("b_quantity"))
+    return found.select(*items_a.columns, step.alias("pass"), hit["b_description"].alias("b_description"), hit["b_quantity"].alias("b_quantity"))
 
 
 def item_result(name_a: str, name_b: str, seq: int) -> Column:

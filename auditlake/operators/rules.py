@@ -57,11 +57,14 @@ def finding(when: Column, severity, description, rationale, check_id: str, seq:
     )
 
 
-def emit(df: DataFrame, findings: list[Column], keys: tuple = ("package_id", "doc_id")) -> DataFrame:
-    """One row per non-NULL finding of each input row."""
-    return df.select(
-        *keys, F.explode(F.filter(F.array(*findings), lambda f: f.isNotNull())).alias("f")
-    ).select(*keys, "f.*")
+def emit(df: DataFrame, findings: list[Column], keys: tuple = ("package_id", "doc_id"), arrays: list[Column] | None = None) -> DataFrame:
+    """One row per non-NULL finding of each input row; ``arrays`` hold several findings each."""
+    every = F.filter(F.array(*findings), lambda f: f.isNotNull()) if findings else F.array()
+    if arrays:
+        # NULL arrays (nothing to test) count as empty
+        more = F.flatten(F.filter(F.array(*arrays), lambda a: a.isNotNull()))
+        every = F.concat(every, more) if findings else more
+    return df.select(*keys, F.explode(every).alias("f")).select(*keys, "f.*")
 
 
 def applicable(check_id: str, doc_type: Column, language: Column) -> Column:
@@ -301,16 +304,22 @@ def ifrs_anomalies(low: Column) -> list[Column]:
     ]
 
 
-def sanctions(name: Column, source: str, seq: int, entities=None) -> list[Column]:
-    """Name against a short fixed list, as one expression; see ``operators.names`` for a list held in a table."""
-    return [
-        finding(match.name_contains(name, F.lit(entity)), "high",
-                text_of("Sanctions list match: ", name, f" ~ {entity} ({country})"),
-                text_of("'", name, f"' ({source}) matches the EU/OFAC sanctioned entity '{entity}' (country: {country}). "
-                                   "Verify whether the sanctions status is current."),
-                "check_13_aml_sanctions", seq + i)
-        for i, (entity, country) in enumerate(entities or K.SANCTIONED_ENTITIES)
-    ]
+def sanctions(name: Column, source: str, entities=None) -> Column:
+    """Findings of a name against a short fixed list, as an array; a list held in a table is joined
+    with ``operators.names.contains_join`` instead."""
+    listed = F.array(*[
+        F.struct(F.lit(e).alias("name"), F.lit(e.lower()).alias("low"), F.lit(k).alias("country")) for e, k in (entities or K.SANCTIONED_ENTITIES)])
+    low = F.lower(name)
+    hits = F.when(low != "", F.filter(listed, lambda e: F.contains(low, e["low"]) | F.contains(e["low"], low)))
+
+    def to_finding(e, i):
+        return finding(
+            F.lit(True), "high", text_of("Sanctions list match: ", name, " ~ ", e["name"], " (", e["country"], ")"),
+            text_of("'", name, f"' ({source}) matches the EU/OFAC sanctioned entity '", e["name"], "' (country: ", e["country"],
+                    "). Verify whether the sanctions status is current."),
+            "check_13_aml_sanctions", 0)
+
+    return F.transform(hits, to_finding)
 
 
 def risk_country(tax_id: Column, name: Column, seq: int) -> Column:
@@ -453,8 +462,8 @@ def contract_findings(contracts: DataFrame) -> DataFrame:
     return emit(contracts, [contract_dates(c("effective_date"), c("expiry_date"), "validation")]
                 + completeness(c("termination_terms"), c("governing_law"), c("penalty"), c("total_value"), c("currency"), c("confidentiality_clause"))
                 + [proportionality(c("penalty"), c("total_value"), c("currency")), contract_dates(c("effective_date"), c("expiry_date"))]
-                + sanctions(c("party_a"), "party", 0) + sanctions(c("party_b"), "party", 100)
-                + [risk_country(c("party_a_tax_id"), c("party_a"), 200), risk_country(c("party_b_tax_id"), c("party_b"), 201)])
+                + [risk_country(c("party_a_tax_id"), c("party_a"), 200), risk_country(c("party_b_tax_id"), c("party_b"), 201)],
+                arrays=[sanctions(c("party_a"), "party"), sanctions(c("party_b"), "party")])
 
 
 def first_per_package(findings: DataFrame, order=("stage", "doc_id", "rule_ord", "seq")) -> DataFrame:

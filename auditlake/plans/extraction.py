@@ -54,21 +54,20 @@ select doc_id, rtrim(regexp_extract(invoice_text, 'Invoice number:\s*(\S+)', 1),
   6 + case when contains(invoice_text, 'date: n/a') then 0 else 1 end as n_confident
 from {{v_text}}""")
 def _(t):
-    f = extract.invoice_fields(c("invoice_text"))
-    q, m = f.pop("quotes"), f.pop("confidence")
-    return t.v_text.select("doc_id", *[v.alias(k) for k, v in f.items()], F.size(q).cast("bigint").alias("n_quotes"), F.size(m).cast("bigint").alias("n_confident"))
+    f = t.v_text.select("doc_id", extract.invoice_fields(c("invoice_text")).alias("f")).select("doc_id", "f.*")
+    return f.withColumn("n_quotes", F.size("quotes").cast("bigint")).withColumn("n_confident", F.size("confidence").cast("bigint")).drop("quotes", "confidence")
 
 
 @query("extract_dn", r"select doc_id, 'DN-' || cast(doc_id as varchar) as document_number, 'Delivery note number: DN-' || cast(doc_id as varchar) || ',' as quote from {v_text}")
 def _(t):
-    f = extract.numbered_document(c("delivery_text"), K.DELIVERY_NOTE_PATTERN)
-    return t.v_text.select("doc_id", f["document_number"].alias("document_number"), f["quotes"][0].alias("quote"))
+    f = t.v_text.select("doc_id", extract.numbered_document(c("delivery_text"), K.DELIVERY_NOTE_PATTERN).alias("f"))
+    return f.select("doc_id", "f.document_number", c("f.quotes")[0].alias("quote"))
 
 
 @query("extract_po", r"select doc_id, 'PO-' || cast(doc_id as varchar) as document_number, 'Purchase order number: PO-' || cast(doc_id as varchar) || ';' as quote from {v_text}")
 def _(t):
-    f = extract.numbered_document(c("order_text"), K.PURCHASE_ORDER_PATTERN)
-    return t.v_text.select("doc_id", f["document_number"].alias("document_number"), f["quotes"][0].alias("quote"))
+    f = t.v_text.select("doc_id", extract.numbered_document(c("order_text"), K.PURCHASE_ORDER_PATTERN).alias("f"))
+    return f.select("doc_id", "f.document_number", c("f.quotes")[0].alias("quote"))
 
 
 @query("extract_contract", rf"""
@@ -80,9 +79,8 @@ select doc_id, case when contains(lower(contract_text), 'non-disclosure') then '
   2 + case when contains(contract_text, 'Termination terms') then 1 else 0 end as n_quotes
 from {{v_text}}""")
 def _(t):
-    f = extract.contract_fields(c("contract_text"))
-    q = f.pop("quotes")
-    return t.v_text.select("doc_id", *[v.alias(k) for k, v in f.items()], F.size(q).cast("bigint").alias("n_quotes"))
+    f = t.v_text.select("doc_id", extract.contract_fields(c("contract_text")).alias("f")).select("doc_id", "f.*")
+    return f.withColumn("n_quotes", F.size("quotes").cast("bigint")).drop("quotes")
 
 
 @query("extract_fin", rf"""
@@ -90,12 +88,12 @@ select doc_id, case when contains(report_text, 'Income') then 'income_statement'
   case when contains(report_text, 'IFRS') then 'IFRS' when contains(report_text, 'US GAAP') then 'US-GAAP' when contains(report_text, 'HGB') then 'DE-HGB' end as accounting_standard,
   {date_after('Period start', 'report_text')} as period_start, {date_after('Period end', 'report_text')} as period_end from {{v_text}}""")
 def _(t):
-    return t.v_text.select("doc_id", *[v.alias(k) for k, v in extract.report_fields(c("report_text")).items()])
+    return t.v_text.select("doc_id", extract.report_fields(c("report_text")).alias("f")).select("doc_id", "f.*")
 
 
 @query("extract_univ", "select doc_id, regexp_extract(letter_text, 'Letter of (\\S+)', 1) as signature_date from {v_text}")
 def _(t):
-    return t.v_text.select("doc_id", *[v.alias(k) for k, v in extract.universal_fields(c("letter_text")).items()])
+    return t.v_text.select("doc_id", extract.universal_fields(c("letter_text")).alias("f")).select("doc_id", "f.*")
 
 
 @query("extract_all")

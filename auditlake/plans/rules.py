@@ -193,15 +193,11 @@ def _(t):
 
 
 @query("rule_sanctions_list", union([
-    f"select package_id, doc_id, 'Sanctions list match: ' || party || ' ~ {e} ({k})' as description from (select package_id, doc_id, case when doc_id % 40 = 0 then 'JSC ' || upper('{e}') else party_a end as party from {{v_contract}}) where contains(lower(party), lower('{e}')) or contains(lower('{e}'), lower(party))"
-    for e, k in K.SANCTIONED_ENTITIES[:3]]))
+    f"select package_id, doc_id, 'Sanctions list match: ' || party || ' ~ {e} ({k})' as description from (select package_id, doc_id, case when doc_id % 40 = 0 then 'JSC vtb bank and ROSNEFT' when doc_id % 40 = 1 then 'bank' else party_a end as party from {{v_contract}}) where contains(lower(party), lower('{e}')) or contains(lower('{e}'), lower(party))"
+    for e, k in K.SANCTIONED_ENTITIES]))
 def _(t):
-    out = None
-    for e, k in K.SANCTIONED_ENTITIES[:3]:
-        docs = t.v_contract.withColumn("party", F.when(c("doc_id") % 40 == 0, F.lit("JSC " + e.upper())).otherwise(c("party_a")))
-        part = rules.emit(docs, rules.sanctions(c("party"), "party", 0, [(e, k)])).select("package_id", "doc_id", "description")
-        out = part if out is None else out.unionByName(part)
-    return out
+    docs = t.v_contract.withColumn("party", F.when(c("doc_id") % 40 == 0, "JSC vtb bank and ROSNEFT").when(c("doc_id") % 40 == 1, "bank").otherwise(c("party_a")))
+    return rules.emit(docs, [], arrays=[rules.sanctions(c("party"), "party")]).select("package_id", "doc_id", "description")
 
 
 @query("rule_risk_country", rf"""

@@ -278,6 +278,19 @@ def with_views(sql: str) -> str:
     return f"with {head} {plain}"
 
 
+#: Tables whose rows cost real work each (long texts, many rules).
+WIDE_TABLES = ("documents", "lineitem", "orders", "pages")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core work when the input has fewer splits than the cluster has cores.
+
+    Large inputs have more splits than cores and pass unchanged, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 class Tables:
     """The tables of one scale-factor folder and the views over them."""
 
@@ -286,7 +299,8 @@ class Tables:
         self.path = path.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.path}/{name}.parquet")
+        return spread(df) if name in WIDE_TABLES else df
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
