@@ -24,10 +24,7 @@ def fragments(c: Column, size: int = FRAGMENT) -> Column:
 
 def _short_pieces(c: Column, size: int) -> Column:
     """All pieces shorter than a fragment, so that very short names find their containers."""
-    return F.flatten(F.array(*[
-        F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (n - 1), F.lit(1))), lambda i, n=n: c.substr(i, F.lit(n)))
-        for n in range(1, size)
-    ]))
+    return F.flatten(F.array(*[fragments(c, n) for n in range(1, size)]))
 
 
 def _contained_in(needles: DataFrame, hay: DataFrame, needle: str, straw: str, scope: list[str], size: int) -> DataFrame:
