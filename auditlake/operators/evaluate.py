@@ -40,12 +40,14 @@ def latency_stats(values: DataFrame, keys: list[str], value: str, ranks: dict[st
     so no key is ever sorted in one task however many rows it has.
     """
     ranks = ranks or RANKS
+    if not keys:
+        return latency_stats(values.withColumn("_all", F.lit(0)), ["_all"], value, ranks).drop("_all")
     v = F.col(value)
     counted = values.filter(v.isNotNull()).groupBy(*keys, v.alias("v")).agg(F.count(F.lit(1)).alias("n"))
     # monotone and independent of the data, so every reading puts a value in the same band
     counted = counted.withColumn("band", F.floor(F.signum("v") * F.log1p(F.abs("v")) * 200))
     bands = counted.groupBy(*keys, "band").agg(F.sum("n").alias("band_n"))
-    before = Window.partitionBy(*keys).orderBy("band").rowsBetween(Window.unboundedPreceding, -1) if keys else Window.orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
     bands = bands.withColumn("offset", F.coalesce(F.sum("band_n").over(before), F.lit(0)))
     sums = values.filter(v.isNotNull()).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_rows"), F.min(v).alias("min"), F.max(v).alias("max"),
@@ -53,19 +55,18 @@ def latency_stats(values: DataFrame, keys: list[str], value: str, ranks: dict[st
     want = F.array(*[F.struct(F.lit(k).alias("name"), F.least(F.floor(F.col("n_rows") * p).cast("bigint"), F.col("n_rows") - 1).alias("pos")) for k, p in ranks.items()])
     targets = sums.select(*keys, F.explode(want).alias("t")).select(*keys, "t.*")
     on_band = (F.col("pos") >= F.col("offset")) & (F.col("pos") < F.col("offset") + F.col("band_n"))
-    hit = (bands.join(targets, keys) if keys else bands.join(F.broadcast(targets), F.lit(True))).filter(on_band)
+    hit = bands.join(targets, keys).filter(on_band)
     inside = Window.partitionBy(*keys, "band", "name").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = counted.join(hit.select(*keys, "band", "name", (F.col("pos") - F.col("offset")).alias("local")), keys + ["band"]).withColumn("upto", F.sum("n").over(inside))
     found = ranked.filter(F.col("upto") > F.col("local")).groupBy(*keys).agg(
         *[F.min(F.when(F.col("name") == k, F.col("v"))).alias(k) for k in ranks])
-    return sums.join(found, keys, "left") if keys else sums.join(F.broadcast(found), F.lit(True))
+    return sums.join(found, keys, "left")
 
 
 def latency_of_successes(runs: DataFrame) -> DataFrame:
     """Statistics over successful runs, or over all runs where none succeeded."""
-    none_ok = runs.agg(F.coalesce(~F.bool_or("ok"), F.lit(True)).alias("none_ok"))
-    usable = runs.join(F.broadcast(none_ok), F.lit(True)).filter(F.col("ok") | F.col("none_ok"))
-    return latency_stats(usable, [], "latency_ms")
+    none_ok = runs.agg(F.coalesce(~F.bool_or("ok"), F.lit(True))).scalar()
+    return latency_stats(runs.filter(F.col("ok") | none_ok), [], "latency_ms")
 
 
 def throughput(runs: DataFrame, keys: list[str]) -> DataFrame:

@@ -69,23 +69,23 @@ def bm25(chunks: DataFrame, queries: DataFrame, n: int, k1: float = K.BM25_K1, b
     """
     docs = chunks.select("chunk_id", tokenise(F.col("text")).alias("tokens")).withColumn("dl", F.size("tokens"))
     stats = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
+    n_docs, avgdl = stats.select("n_docs").scalar(), stats.select("avgdl").scalar()
     df = docs.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    weighted = df.join(F.broadcast(stats), F.lit(True)).withColumn("idf", idf)
-    floor = weighted.agg((F.avg("idf") * epsilon).alias("floor"))
+    weighted = df.select("term", (F.log(n_docs - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
+    floor = weighted.agg(F.avg("idf") * epsilon).scalar()
     asked = queries.select("query_id", F.explode(tokenise(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
     vocabulary = asked.select("term").distinct()
-    terms = weighted.join(bounded_broadcast(vocabulary), "term", "left_semi").join(F.broadcast(floor), F.lit(True)).select(
-        "term", "avgdl", F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf")).alias("idf"))
+    terms = weighted.join(bounded_broadcast(vocabulary), "term", "left_semi").select(
+        "term", F.when(F.col("idf") < 0, floor).otherwise(F.col("idf")).alias("idf"))
     tf = (
         docs.select("chunk_id", "dl", F.explode("tokens").alias("term"))
         .join(bounded_broadcast(vocabulary), "term", "left_semi")
         .groupBy("chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     )
-    gain = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    gain = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
     scored = (
         tf.join(terms, "term").withColumn("gain", gain.cast("decimal(20,10)"))
-        .join(asked, "term").groupBy("query_id", "chunk_id").agg(F.sum(F.col("gain") * F.col("qtf")).alias("score"))
+        .join(asked, "term").groupBy("query_id", "chunk_id").agg(F.sum(F.col("gain") * F.col("qtf").cast("decimal(9,0)")).alias("score"))
     )
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return scored.withColumn("rank", F.row_number().over(w) - 1).filter((F.col("rank") < n) & (F.col("score") > 0)).withColumn(

@@ -40,35 +40,26 @@ def first_findings(findings: DataFrame, ts: str, delay: str = "13 days") -> Data
 def merge_stream(updates: DataFrame, key: list[str], ord_col: str, fields: list[str], name: str) -> DataFrame:
     """Partial-record merge by micro-batch.
 
-    Every batch keeps, per key and field, the last usable value with its order,
-    merges it with the table so far and writes the next version of the table.
-    A batch that is run again writes the same version, so a lost executor or a
-    restart changes nothing.
+    Every batch writes, per key and field, its last usable value with its order
+    to a folder of its own; reading the table takes the latest over all folders.
+    Work per batch grows with the batch alone, and a batch that is run again
+    overwrites its own folder, so a restart changes nothing.
     """
     spark = updates.sparkSession
     base = shared_dir(spark, name)
-    versions: dict[int, str] = {}
 
-    def latest(df: DataFrame) -> DataFrame:
-        def usable(f):
-            c = F.col(f)
-            kind = df.schema[f].dataType.typeName()
-            return c.isNotNull() & (c != ("" if kind == "string" else 0))
-        return df.groupBy(*key).agg(*[F.max(F.when(usable(f), F.struct(F.col(ord_col).alias("o"), F.col(f).alias("v")))).alias(f) for f in fields])
+    def usable(df: DataFrame, f: str):
+        c = F.col(f)
+        return c.isNotNull() & (c != ("" if df.schema[f].dataType.typeName() == "string" else 0))
 
     def apply(batch: DataFrame, epoch: int) -> None:
-        new = latest(batch)
-        before = [e for e in versions if e < epoch]
-        if before:
-            old = spark.read.parquet(versions[max(before)])
-            new = old.unionByName(new).groupBy(*key).agg(*[F.max(f).alias(f) for f in fields])
-        path = f"{base}/version={epoch}"
-        new.write.mode("overwrite").parquet(path)
-        versions[epoch] = path
+        latest = batch.groupBy(*key).agg(*[
+            F.max(F.when(usable(batch, f), F.struct(F.col(ord_col).alias("o"), F.col(f).alias("v")))).alias(f) for f in fields])
+        latest.write.mode("overwrite").parquet(f"{base}/parts/epoch={epoch}")
 
     updates.writeStream.foreachBatch(apply).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
-    table = spark.read.parquet(versions[max(versions)])
-    return table.select(*key, *[F.col(f)["v"].alias(f) for f in fields])
+    merged = spark.read.parquet(f"{base}/parts").groupBy(*key).agg(*[F.max(f).alias(f) for f in fields])
+    return merged.select(*key, *[F.col(f)["v"].alias(f) for f in fields])
 
 
 def duplicate_candidates(invoices: DataFrame, ts: str, name: str, amount: str = "total_gross", delay: str = "13 days") -> DataFrame:
