@@ -96,7 +96,14 @@ def _(t):
     return t.v_text.select("doc_id", extract.universal_fields(c("letter_text")).alias("f")).select("doc_id", "f.*")
 
 
-@query("extract_all")
+@query("extract_all", rf"""
+with k as (select *, coalesce({kind_sql("translate(file_name, '_-', '  ')")}, {kind_sql('text')}, 'other') as t from {{v_file_text}})
+select package_id, doc_id, file_name, t as doc_type, file_name as source_file, case when t = 'invoice' then nullif(rtrim(regexp_extract(text, 'Invoice number:\s*(\S+)', 1), ',.;'), '') end as invoice_number,
+  case when t = 'delivery_note' then 'DN-' || doc_id when t = 'purchase_order' then 'PO-' || doc_id end as document_number,
+  case when t = 'contract' then case when contains(lower(text), 'non-disclosure') then 'NDA' when contains(lower(text), 'lease') then 'lease' when contains(lower(text), 'service') then 'service' else 'MSA' end end as contract_type,
+  case when t = 'financial_report' then case when contains(text, 'Income') then 'income_statement' when contains(text, 'Balance') then 'balance_sheet' else 'cash_flow' end end as report_type,
+  case when t = 'other' then nullif(regexp_extract(text, '\d{{4}}-\d{{2}}-\d{{2}}', 0), '') end as signature_date,
+  case when t = 'invoice' then try_cast(regexp_extract(text, 'Total gross: \$([\d.]+)', 1) as double) end as total_gross from k""")
 def _(t):
     docs = extract.classify(t.v_file_text)
     return extract.extract_all(docs).select("package_id", "doc_id", "file_name", "doc_type", "source_file", "invoice_number", "document_number", "contract_type", "report_type", "signature_date", "total_gross")

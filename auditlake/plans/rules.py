@@ -299,18 +299,6 @@ def _(t):
     return rules.emit(docs, rules.plausible_dates(docs.columns)).select("doc_id", "severity", "description")
 
 
-@query("validate_one")
-def _(t):
-    """Validation report of every document: math, dates, plausibility and tax ids, supplier included."""
-    headers = t.v_invoice.withColumn("supplier_tax_id", c("issuer_tax_id"))
-    ids = [
-        rules.tax_id_digit(c(f"{p}_tax_id"), lambda x, p=p: rules.text_of(f"{p} tax ID CDV invalid: ", x), i)
-        for i, p in enumerate(("issuer", "customer", "supplier"))
-    ]
-    out = rules.invoice_findings(headers, t.v_line).filter(c("kind").isin("validation", "plausibility"))
-    return out.unionByName(rules.emit(headers, ids).select(*rules.FINDING_COLUMNS)).select(*SHORT)
-
-
 @query("finding_dedup", """
 select package_id, description, doc_id, severity, source_check_id from (select *, row_number() over (partition by package_id, description order by stage, doc_id, rule_ord) as rn from {v_finding}) where rn = 1""")
 def _(t):
@@ -334,10 +322,3 @@ def _(t):
     found = found.unionByName(rules.line_sum(headers, t.v_line).select(*found.columns))
     return rules.first_per_package(found).groupBy("package_id").agg(
         F.count_if(c("severity") == "high").alias("n_high"), F.count_if(c("severity") == "info").alias("n_info"), F.sum("n_seen").alias("n_seen"))
-
-
-@query("audit_full")
-def _(t):
-    """Every invoice and contract rule, first occurrence per package and description."""
-    found = rules.invoice_findings(t.v_invoice, t.v_line).unionByName(rules.contract_findings(t.v_contract).select(*rules.FINDING_COLUMNS))
-    return rules.first_per_package(found).groupBy("package_id", "source_check_id", "severity").agg(F.count(F.lit(1)).alias("n_findings"), F.sum("n_seen").alias("n_seen"))
