@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from auditlake import constants as K
-from auditlake.operators import duplicates, evaluate, matching, portfolio, report, rules, turns
+from auditlake.operators import evaluate, matching, portfolio, report, rules, turns
 from auditlake.plans import matching as match_plans
 from auditlake.plans import portfolio as dd_plans
-from auditlake.plans.registry import ORACLE, query, sql_list
+from auditlake.plans.registry import query
 from auditlake.plans.scalar import _case
 from auditlake.sources import ingest, payloads
 from auditlake.streaming import twins
@@ -95,6 +95,9 @@ def runs(t):
     return t.sql("select package_id, min(cast(doc_ord as double)) as started, min(cast(doc_ord as double)) + count(*) * 0.5 as finished from {v_document} where package_id % 9 <> 0 group by package_id")
 
 
+_MINUTES_SQL = "select package_id, count(*) as document_count, sum(" + _case(K.MANUAL_MINUTES, "doc_type", 15) + ") as manual_minutes from {v_document} group by 1"
+
+
 @query("report_effort", "select d.package_id, document_count, manual_minutes, case when d.package_id % 9 <> 0 then round(document_count * 0.5::double, 3) end as seconds, case when d.package_id % 9 <> 0 then round(manual_minutes * 60.0::double / (document_count * 0.5::double), 1) else 0 end as speedup from (select package_id, count(*) as document_count, sum("
        + _case(K.MANUAL_MINUTES, "doc_type", 15) + ") as manual_minutes from {v_document} group by 1) d")
 def _(t):
@@ -124,13 +127,21 @@ def _(t):
     return report.extraction_json(t.v_document, ["doc_ord", "language"])
 
 
-@query("report_json")
+@query("report_json", f"""with {dd_plans.SUMMARY_SQL}, m as ({_MINUTES_SQL}), n as (select package_id, count(*) filter (lower(severity) = 'high') as n_high from {{v_finding}} group by 1),
+ k as (select package_id, count(*) as contract_count from s group by 1)
+select m.package_id, m.document_count, m.manual_minutes, n_high, contract_count from m left join n using (package_id) left join k using (package_id)""")
 def _(t):
-    """One JSON report per package with the three-way amounts and the contract portfolio."""
+    """One JSON report per package with the three-way amounts and the contract portfolio; four of its fields are read back."""
     h = match_plans.headers(t)
     cols = set(h.columns)
     res = matching.explode_results(h, [matching.levelled_amounts(a, b, i, cols) for i, (a, b) in enumerate(matching.PAIRS)])
-    return report.assemble(t.v_document, t.v_finding, runs(t), matching.roll_up(res, ["package_id"]), portfolio.report(dd_plans.summary(t), dd_plans.ASOF))
+    out = report.assemble(t.v_document, t.v_finding, runs(t), matching.roll_up(res, ["package_id"]), portfolio.report(dd_plans.summary(t), dd_plans.ASOF))
+
+    def number(path):
+        return F.get_json_object("report", "$." + path).cast("bigint")
+
+    return out.select("package_id", number("document_count").alias("document_count"), number("manual_minutes").alias("manual_minutes"),
+                      number("n_high").alias("n_high"), number("dd_analysis.contract_count").alias("contract_count"))
 
 
 # --- turns -------------------------------------------------------------------------
