@@ -22,11 +22,11 @@ def headers(t):
       from {v_invoice} i join {v_po} p on i.doc_id = p.doc_id join {v_dn} d on i.doc_id = d.doc_id""")
 
 
-def items(t):
-    """Item tables, each written once: three matches read them."""
+def items(t, *kinds):
+    """Item tables (all three by default), each written once, because several steps read them."""
     order = F.concat_ws("|", "description", "item_code")
     views = {"invoice": t.v_inv_line, "purchase_order": t.v_po_line, "delivery_note": t.v_dn_line}
-    return {k: materialise(v.withColumn("ord", order), "items") for k, v in views.items()}
+    return {k: materialise(v.withColumn("ord", order), "items") for k, v in views.items() if k in (kinds or views)}
 
 
 ALIKE_SQL = r"""(len(list_intersect(list_distinct(string_split(na, ' ')), list_distinct(string_split(nb, ' ')))) / greatest(len(list_distinct(string_split(na, ' '))), len(list_distinct(string_split(nb, ' ')))) >= 0.8
@@ -83,7 +83,7 @@ def _(t):
 
 @query("match_items", items_sql("{v_inv_line}", "{v_po_line}"))
 def _(t):
-    x = items(t)
+    x = items(t, "invoice", "purchase_order")
     return matching.match_items(x["invoice"].drop("ord"), x["purchase_order"])
 
 
@@ -91,7 +91,7 @@ def _(t):
 select package_id, doc_id, item_code, description, quantity as expected, b_quantity as actual, case when abs(quantity - b_quantity) >= 2 then 'critical' else 'warning' end as severity
 from ({items_sql('{v_po_line}', '{v_dn_line}')}) where pass > 0 and abs(quantity - b_quantity) >= 0.01""")
 def _(t):
-    x = items(t)
+    x = items(t, "purchase_order", "delivery_note")
     rows = matching.match_items(x["purchase_order"], x["delivery_note"])
     out = matching.explode_results(rows, [matching.item_result("purchase_order", "delivery_note", 0)], KEYS + ["item_code", "description"])
     return out.filter(c("status") == "mismatch").select(*KEYS, "item_code", "description", c("expected_num").alias("expected"), c("actual_num").alias("actual"), "severity")
@@ -101,7 +101,7 @@ def _(t):
 select package_id, doc_id, 'warning' as severity, 'Item not found: ''' || description || ''' present in purchase_order but missing from delivery_note' as message
 from ({items_sql('{v_po_line}', '{v_dn_line}')}) where pass = 0""")
 def _(t):
-    x = items(t)
+    x = items(t, "purchase_order", "delivery_note")
     rows = matching.match_items(x["purchase_order"], x["delivery_note"])
     return matching.explode_results(rows, [matching.item_result("purchase_order", "delivery_note", 0)]).filter(c("status") == "missing").select(*KEYS, "severity", "message")
 

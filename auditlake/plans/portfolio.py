@@ -9,7 +9,13 @@ from auditlake.plans.registry import query
 from auditlake.plans.rules import empty
 
 c = F.col
-ASOF = F.lit("1998-06-15").cast("date")
+
+
+def asof():
+    """Fixed reference day of the portfolio queries."""
+    return F.lit("1998-06-15").cast("date")
+
+
 SOON = "expiry_date <> 'Indefinite' and (year(try_cast(expiry_date as date)) - 1998) * 12 + month(try_cast(expiry_date as date)) - 6 between 0 and 12"
 
 SUMMARY_SQL = f"""e as (
@@ -71,7 +77,7 @@ def _(t):
 select package_id, 'monthly' as kind, monthly_fee_currency as entry, cast(sum(cast(monthly_fee as decimal(18,2))) as double) as amount from s where monthly_fee > 0 group by 1, 3
 union all select package_id, 'expiring', file_name, null from s where {SOON} union all select package_id, 'high_value', file_name, total_value from s where total_value >= 10000000""")
 def _(t):
-    return portfolio.financial(summary(t), ASOF)
+    return portfolio.financial(summary(t), asof())
 
 
 @query("dd_applicable", f"""with {SUMMARY_SQL}, n as (select package_id, count(*) as n from s group by 1),
@@ -102,4 +108,4 @@ def _(t):
  n as (select package_id, count(*) as contract_count, count(*) filter (risk_level = 'high') as high_risk_count, count(*) filter ({SOON}) as expiring_count from r group by 1)
 select n.*, coalesce(top, '') as top_red_flags, 'DD portfolio: ' || contract_count || ' contracts, ' || high_risk_count || ' high-risk, ' || expiring_count || ' expiring soon.' as executive_summary from n left join t using (package_id)""")
 def _(t):
-    return portfolio.report(rated(t), ASOF).withColumn("top_red_flags", F.array_join("top_red_flags", "; "))
+    return portfolio.report(rated(t), asof()).withColumn("top_red_flags", F.array_join("top_red_flags", "; "))

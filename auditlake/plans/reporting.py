@@ -135,7 +135,7 @@ def _(t):
     h = match_plans.headers(t)
     cols = set(h.columns)
     res = matching.explode_results(h, [matching.levelled_amounts(a, b, i, cols) for i, (a, b) in enumerate(matching.PAIRS)])
-    out = report.assemble(t.v_document, t.v_finding, runs(t), matching.roll_up(res, ["package_id"]), portfolio.report(dd_plans.summary(t), dd_plans.ASOF))
+    out = report.assemble(t.v_document, t.v_finding, runs(t), matching.roll_up(res, ["package_id"]), portfolio.report(dd_plans.summary(t), dd_plans.asof()))
 
     def number(path):
         return F.get_json_object("report", "$." + path).cast("bigint")

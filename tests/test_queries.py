@@ -39,3 +39,12 @@ def test_result_does_not_depend_on_partitions(spark):
         assert rows(fn(spark, PATH).toPandas()) == first
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_catalog_loads_without_a_session():
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert len(e.queries()) >= len(e.oracle_sql()) > 100"], cwd=root, capture_output=True)
+    assert done.returncode == 0, done.stderr.decode()[-500:]
