@@ -68,8 +68,8 @@ def bm25(chunks: DataFrame, queries: DataFrame, n: int, k1: float = K.BM25_K1, b
     asks for.  Contributions are summed as decimals, so copies of a text tie.
     """
     docs = chunks.select("chunk_id", tokenise(F.col("text")).alias("tokens")).withColumn("dl", F.size("tokens"))
-    stats = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
-    n_docs, avgdl = stats.select("n_docs").scalar(), stats.select("avgdl").scalar()
+    stats = docs.agg(F.struct(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))).scalar()
+    n_docs, avgdl = stats["n_docs"], stats["avgdl"]
     df = docs.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weighted = df.select("term", (F.log(n_docs - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
     floor = weighted.agg(F.avg("idf") * epsilon).scalar()
