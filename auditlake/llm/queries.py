@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import bpe, decontaminate, simhash
+from auditlake.llm import bpe, decontaminate, lines, simhash
 from auditlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +58,22 @@ def op8_decontaminate(spark, path):
 def op1_simhash(spark, path):
     found = simhash.classes(table(spark, path, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: ASCII white space at both ends removed and A-Z in lower case, in check texts.
+KEY_SQL = r"translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+LINES_SQL = f"""
+with rows as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos from documents),
+keyed as (select doc_id, pos, line, {KEY_SQL} as key from rows),
+held as (select key, count(distinct doc_id) as n, max(doc_id) as last from keyed where length(key) >= 20 group by key),
+judged as (select k.*, coalesce(h.n >= 3 and k.doc_id < h.last, false) as gone from keyed k left join held h on k.key = h.key)
+select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '')) as kept_sha256
+from judged group by doc_id
+"""
+
+
+@query("op5_lines", LINES_SQL)
+def op5_lines(spark, path):
+    left = lines.drop_repeats(table(spark, path, "documents"))
+    return left.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
