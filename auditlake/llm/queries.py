@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import bpe, decontaminate, lines, simhash
+from auditlake.llm import bpe, chat, decontaminate, lines, simhash
 from auditlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,38 @@ from judged group by doc_id
 def op5_lines(spark, path):
     left = lines.drop_repeats(table(spark, path, "documents"))
     return left.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+CHAT_SQL = r"""
+with rows as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all values (-7, 1, 'user', '</s>[INST] ok [/INST]'), (-7, 2, 'assistant', '</s>[INST] ok [/INST]')),
+clash as (
+  select *, contains(role || chr(0) || text, '[INST]') or contains(role || chr(0) || text, '[/INST]') or contains(role || chr(0) || text, '</s>')
+    or regexp_matches(role || chr(0) || text, '\\[bsl]') as escaped from rows),
+sized as (
+  select *, 17 + length(role) + length(text)
+    + case when escaped then length(role || text) - length(translate(role || text, '\[<', '')) else 0 end as chars from clash)
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+  sum(chars) as formatted_chars
+from sized group by conv_id
+"""
+
+
+@query("op10_chat", CHAT_SQL)
+def op10_chat(spark, path):
+    clash = chat.END + chat.OPEN + " ok " + chat.CLOSE
+    chats = table(spark, path, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.range(1, 3).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 1, "user").otherwise(chat.ASSISTANT).alias("role"), F.lit(clash).alias("text"))
+    back = chat.read_back(chat.format_chats(chats.unionByName(added)))
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
+        F.char_length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
