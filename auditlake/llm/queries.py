@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import bpe, chat, decontaminate, lines, simhash
+from auditlake.llm import bpe, chat, decontaminate, lines, quality, simhash
 from auditlake.llm.common import table
+from auditlake.session import materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -112,3 +113,11 @@ def op10_chat(spark, path):
         F.sha2("loss_text", 256).alias("loss_sha256"),
         F.char_length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+@query("op9_quality")
+def op9_quality(spark, path):
+    counted = materialise(quality.features(table(spark, path, "documents").select("doc_id", "text")).drop("text"), "features")
+    judged = quality.verdicts(counted, quality.fit(counted))
+    shown = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return judged.select("doc_id", *[F.col("_f")[c].alias(c) for c in shown], F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"), F.col("_quality").alias("quality"))
