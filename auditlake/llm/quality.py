@@ -1,7 +1,7 @@
 """Quality rules as weak supervision. DataFrame functions only.
 
 Each rule votes for a text (1), against it (-1) or abstains (0). The votes' patterns are counted over all documents;
-there are at most 3^8 patterns however many documents there are, so this table is what expectation-maximisation runs
+there are at most 3^9 patterns however many documents there are, so this table is what expectation-maximisation runs
 on. It estimates how often each rule is right and how common good texts are; the posterior probability of a good text
 replaces the demand that every rule be passed. Two base rules reject a text whatever the others say.
 """
@@ -17,13 +17,13 @@ WINDOW = 8
 LEAST_WORDS = 20
 MOST_REPEATED_PERCENT = 30
 ROUNDS = 50
-#: Where the estimates start and how far they may go.
+#: Where the estimates start, how far the share of good texts may go, and what is added to each count of votes.
 START_ACCURACY, START_GOOD = 0.8, 0.8
-LEAST_ACCURACY, MOST_ACCURACY = 0.55, 0.95
 LEAST_GOOD, MOST_GOOD = 0.05, 0.95
+SMOOTHING = 1.0
 
+RULES = ["length", "word_length", "symbols", "marks", "lines", "repeats", "letters", "stops", "variety"]
 _SPACE = " \t\n\x0b\x0c\r"
-FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_stops", "n_distinct"]
 
 
 def features(docs: DataFrame) -> DataFrame:
@@ -71,6 +71,7 @@ def rules(f: Column) -> dict[str, Column]:
         "length": F.when(n < LEAST_WORDS, -1).when(n >= 50, 1).otherwise(0),
         "word_length": vote((f["word_chars"] >= 3 * n) & (f["word_chars"] <= 9 * n), (f["word_chars"] < 2 * n) | (f["word_chars"] > 12 * n)),
         "symbols": vote(50 * f["n_symbols"] <= n, 10 * f["n_symbols"] > n),
+        "marks": vote(100 * f["n_symbols"] <= f["word_chars"], 25 * f["n_symbols"] > f["word_chars"]),
         "lines": vote(f["n_dup_lines"] == 0, 10 * f["n_dup_lines"] > 3 * f["n_lines"]),
         "repeats": vote(20 * f["n_repeat_words"] <= n, 5 * f["n_repeat_words"] > n),
         "letters": vote(10 * f["n_letters"] >= 8 * n, 10 * f["n_letters"] < 5 * n),
@@ -84,49 +85,59 @@ def votes(f: Column) -> Column:
     return F.array(*[v.cast("int") for v in rules(f).values()])
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> tuple[float, list[float]]:
-    """Expectation-maximisation over (votes, count): share of good texts and each rule's accuracy where it votes.
+def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> tuple[float, list[dict[int, float]], list[dict[int, float]]]:
+    """Expectation-maximisation over (votes, count): share of good texts and, for good and for bad texts, how likely each rule is to give each vote.
 
-    No pattern leaves the starting values. Accuracies stay above one half, so a rule never comes to mean its contrary.
+    A rule's accuracy is thus estimated apart for good and for bad texts: one that votes for most bad texts too says
+    little when it votes for one and much when it votes against it. No pattern leaves the starting values. A rule never
+    comes to mean its contrary: a vote for a text is not likelier in bad texts, nor one against it in good ones.
     """
-    width = len(patterns[0][0]) if patterns else 0
-    good, accuracy = START_GOOD, [START_ACCURACY] * width
+    width = len(patterns[0][0]) if patterns else len(RULES)
+    wrong = (1 - START_ACCURACY) / 2
+    good, on_good, on_bad = START_GOOD, [{1: START_ACCURACY, 0: wrong, -1: wrong} for _ in range(width)], [{1: wrong, 0: wrong, -1: START_ACCURACY} for _ in range(width)]
     for _ in range(rounds if patterns else 0):
-        right, cast = [0.0] * width, [0.0] * width
+        sums = [[{v: SMOOTHING for v in (1, 0, -1)} for _ in range(width)] for _ in range(2)]
         sure, total = 0.0, 0
         for pattern, many in sorted(patterns):
-            p = posterior(pattern, good, accuracy)
+            p = 1 / (1 + math.exp(-score(pattern, good, on_good, on_bad)))
             sure += many * p
             total += many
             for j, v in enumerate(pattern):
-                if v:
-                    cast[j] += many
-                    right[j] += many * (p if v > 0 else 1 - p)
+                sums[0][j][v] += many * p
+                sums[1][j][v] += many * (1 - p)
         good = min(MOST_GOOD, max(LEAST_GOOD, sure / total))
-        accuracy = [min(MOST_ACCURACY, max(LEAST_ACCURACY, r / c)) if c else START_ACCURACY for r, c in zip(right, cast)]
-    return good, accuracy
+        on_good, on_bad = ([{v: s / sum(x.values()) for v, s in x.items()} for x in side] for side in sums)
+    return good, on_good, on_bad
 
 
-def logit(p: float) -> float:
-    return math.log(p / (1 - p))
+def weights(good: list[dict[int, float]], bad: list[dict[int, float]]) -> list[dict[int, float]]:
+    """What each vote of each rule adds to the log odds; abstaining adds nothing."""
+    out = []
+    for g, b in zip(good, bad):
+        out.append({1: max(0.0, math.log(g[1] / b[1])), 0: 0.0, -1: min(0.0, math.log(g[-1] / b[-1]))})
+    return out
 
 
-def posterior(pattern: tuple[int, ...], good: float, accuracy: list[float]) -> float:
-    return 1 / (1 + math.exp(-logit(good) - sum(v * logit(a) for v, a in zip(pattern, accuracy))))
+def score(pattern: tuple[int, ...], good: float, on_good: list[dict[int, float]], on_bad: list[dict[int, float]]) -> float:
+    """Log odds that a text with these votes is good."""
+    return math.log(good / (1 - good)) + sum(w[v] for w, v in zip(weights(on_good, on_bad), pattern))
 
 
-def fit(judged: DataFrame) -> tuple[float, list[float]]:
-    """The estimates for all rows of a table with ``_f``; what comes to the driver is one row for each pattern of votes, 3^8 at most."""
-    counts = judged.groupBy(votes(F.col("_f")).alias("votes")).count().collect()
+def _base_failed(f: Column) -> Column:
+    return (f["n_words"] < LEAST_WORDS) | (100 * f["n_repeat_words"] > MOST_REPEATED_PERCENT * f["n_words"])
+
+
+def fit(judged: DataFrame) -> tuple[float, list[dict[int, float]], list[dict[int, float]]]:
+    """The estimates for all rows of a table with ``_f`` that pass the base rules (the others are decided already); what comes to the driver is one row for each pattern of votes, 3^9 at most."""
+    counts = judged.where(~_base_failed(F.col("_f"))).groupBy(votes(F.col("_f")).alias("votes")).count().collect()
     return estimate([(tuple(r["votes"]), r["count"]) for r in counts])
 
 
-def verdicts(judged: DataFrame, model: tuple[float, list[float]]) -> DataFrame:
+def verdicts(judged: DataFrame, model: tuple[float, list[dict[int, float]], list[dict[int, float]]]) -> DataFrame:
     """A table with ``_f`` and three more columns: ``_base_failed``, ``_quality`` (posterior) and ``_kept``."""
-    good, accuracy = model
+    good, on_good, on_bad = model
     f = F.col("_f")
-    score = F.lit(logit(good))
-    for vote, a in zip(rules(f).values(), accuracy or [START_ACCURACY] * 8):
-        score = score + vote * F.lit(logit(a))
-    failed = (f["n_words"] < LEAST_WORDS) | (100 * f["n_repeat_words"] > MOST_REPEATED_PERCENT * f["n_words"])
-    return judged.withColumn("_base_failed", failed).withColumn("_quality", 1 / (1 + F.exp(-score))).withColumn("_kept", ~F.col("_base_failed") & (F.col("_quality") >= 0.5))
+    odds = F.lit(math.log(good / (1 - good)))
+    for vote, w in zip(rules(f).values(), weights(on_good, on_bad)):
+        odds = odds + F.when(vote > 0, w[1]).when(vote < 0, w[-1]).otherwise(0.0)
+    return judged.withColumn("_base_failed", _base_failed(f)).withColumn("_quality", 1 / (1 + F.exp(-odds))).withColumn("_kept", ~F.col("_base_failed") & (F.col("_quality") >= 0.5))

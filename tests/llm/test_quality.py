@@ -39,15 +39,20 @@ def test_counts_equal_brute_force(spark):
     assert quality.features(frame).columns == [*frame.columns, "_f"]
 
 
-def test_estimates_find_the_better_rule():
+def test_estimates_find_the_better_rule(spark):
     r = random.Random(1)
-    patterns = Counter()
+    patterns, truth = Counter(), Counter()
     for _ in range(20000):
         y = 1 if r.random() < 0.7 else -1
-        patterns[tuple(y if r.random() < a else -y for a in (0.9, 0.85, 0.8, 0.6)) ] += 1
-    good, accuracy = quality.estimate(list(patterns.items()))
-    assert abs(good - 0.7) < 0.05 and all(abs(a - b) < 0.05 for a, b in zip(accuracy, (0.9, 0.85, 0.8, 0.6)))
-    assert quality.estimate([]) == (quality.START_GOOD, [])
+        votes = tuple(y if r.random() < a else -y for a in (0.9, 0.85, 0.8, 0.6))
+        patterns[votes] += 1
+        truth[votes, y] += 1
+    good, on_good, on_bad = quality.estimate(list(patterns.items()))
+    assert abs(good - 0.7) < 0.05
+    assert all(abs(g[1] - a) < 0.05 and abs(b[-1] - a) < 0.05 for g, b, a in zip(on_good, on_bad, (0.9, 0.85, 0.8, 0.6)))
+    right = sum(n for (votes, y), n in truth.items() if (quality.score(votes, good, on_good, on_bad) >= 0) == (y > 0))
+    assert right > 0.9 * 20000
+    assert quality.estimate([])[0] == quality.START_GOOD and list(quality.rules(quality.F.col("x"))) == quality.RULES
 
 
 def test_verdicts_and_empty_table(spark):
