@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import bpe, chat, decontaminate, lines, quality, simhash
+from auditlake.llm import bpe, chat, decontaminate, licenses, lines, quality, simhash
 from auditlake.llm.common import table
 from auditlake.session import materialise
 
@@ -121,3 +121,21 @@ def op9_quality(spark, path):
     judged = quality.verdicts(counted, quality.fit(counted))
     shown = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return judged.select("doc_id", *[F.col("_f")[c].alias(c) for c in shown], F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"), F.col("_quality").alias("quality"))
+
+
+@query("op7_licenses")
+def op7_licenses(spark, path):
+    found = licenses.scan(table(spark, path, "documents"))
+    base, more = F.col("base"), F.col("found")
+    sure = F.transform(base, lambda b: b["label"])
+    listed = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(F.transform(base, lambda b: b["word"])).alias("first_word"),
+        F.array_max(F.transform(base, lambda b: b["word"])).alias("last_word"),
+        listed(sure).alias("base_labels"),
+        listed(F.concat(sure, F.transform(more, lambda d: d["label"]))).alias("labels"),
+        F.greatest(F.when(F.size(base) > 0, 1.0).otherwise(0.0), F.coalesce(F.array_max(F.transform(more, lambda d: d["score"])), F.lit(0.0))).alias("score"),
+    )
