@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import bpe, chat, decontaminate, licenses, lines, quality, secrets, simhash
+from auditlake.llm import bpe, chat, decontaminate, licenses, lines, quality, secrets, simhash, tokens
 from auditlake.llm.common import table
 from auditlake.session import materialise
 
@@ -148,3 +148,8 @@ def op6_secrets(spark, path):
     count = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     listed = lambda s: F.array_join(F.transform(s, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     return found.select("doc_id", *[count(k) for k in secrets.LEAST], F.sha2(listed(F.filter(spans, lambda s: s["cost"].isNull())), 256).alias("base_sha256"), listed(spans).alias("spans"))
+
+
+@query("op3_tokens")
+def op3_tokens(spark, path):
+    return tokens.token_counts(table(spark, path, "documents"), vocabulary("piece_bpe_32k.model"))
