@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import bpe, chat, decontaminate, licenses, lines, quality, secrets, simhash, tokens
+from auditlake.llm import bpe, chat, decontaminate, licenses, lines, quality, secrets, simhash, tokens, urls
 from auditlake.llm.common import table
 from auditlake.session import materialise
 
@@ -153,3 +153,24 @@ def op6_secrets(spark, path):
 @query("op3_tokens")
 def op3_tokens(spark, path):
     return tokens.token_counts(table(spark, path, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
+
+URL_SQL = r"""
+with cut as (select page_id, coalesce(regexp_extract(url, '(?s)^.*?://(.*)$', 1), '') as rest from pages),
+parts as (
+  select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') as path from cut),
+rules(rule, h, p, action) as (values ('com/', 'com', '/', 'allow'), ('example.com/en/', 'example.com', '/en/', 'block'),
+  ('www.example.com/en/', 'www.example.com', '/en/', 'allow'), ('net/es/', 'net', '/es/', 'block'), ('net/fr/', 'net', '/fr/', 'block')),
+fits as (
+  select page_id, max_by(rule, length(rule)) as rule, max_by(action, length(rule)) as action
+  from parts, rules where (host = h or ends_with(host, '.' || h)) and starts_with(path, p) group by page_id)
+select p.page_id, p.host, p.path, f.rule, coalesce(f.action, 'allow') as verdict from parts p left join fits f on p.page_id = f.page_id
+"""
+
+
+@query("op4_urls", URL_SQL)
+def op4_urls(spark, path):
+    return urls.judge(table(spark, path, "pages"), spark.createDataFrame(URL_RULES, "rule string, action string"))
