@@ -124,29 +124,55 @@ def repeated_lines(docs: DataFrame, least: int = LEAST_CHARS, least_docs: int =
     return lines.join(kept, "key").where("doc_id < last").select("doc_id", "key")
 
 
+def _with_lost(docs: DataFrame, least: int, least_docs: int, most_bits: int) -> DataFrame:
+    """``docs`` and one more column, ``_lost``: the keys of the lines that the row loses."""
+    lost = repeated_lines(id_and_text(docs), least, least_docs, most_bits).groupBy("doc_id").agg(F.collect_set("key").alias("_lost")).withColumnRenamed("doc_id", "_loser")
+    return docs.join(lost, docs["doc_id"] == lost["_loser"], "left").drop("_loser")
+
+
+def _cut(text: str, gone: list[str] | None) -> tuple[int, int, str]:
+    """(lines before, lines dropped, text left)"""
+    own = text.split("\n")
+    if not gone:
+        return len(own), 0, text
+    gone = set(gone)
+    left = [line for line in own if key_of(line) not in gone]
+    return len(own), len(own) - len(left), "\n".join(left)
+
+
 def drop_repeats(docs: DataFrame, least: int = LEAST_CHARS, least_docs: int = LEAST_DOCS, most_bits: int = MOST_BITS) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``n_lines`` (before), ``n_dropped``, ``kept`` (the text left).
 
     A null or empty text is one empty line. Repeated rows of one ``doc_id`` are one document and lose the same lines. A
     row without ``doc_id`` is nobody's document: it neither counts nor loses lines. An empty table gives no rows.
     """
-    rows = id_and_text(docs)
-    lost = repeated_lines(rows, least, least_docs, most_bits).groupBy("doc_id").agg(F.collect_set("key").alias("lost")).withColumnRenamed("doc_id", "loser")
-    both = rows.join(lost, F.col("doc_id") == F.col("loser"), "left").select("doc_id", "text", "lost")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts, lost in arrow_rows(batches, "doc_id", "text", "lost"):
+        for ids, texts, lost in arrow_rows(batches, "doc_id", "text", "_lost"):
             for lo in range(0, len(ids), 500):
-                lines, dropped, kept = [], [], []
-                for text, gone in zip(texts[lo : lo + 500], lost[lo : lo + 500]):
-                    own = text.split("\n")
-                    left = own
-                    if gone:
-                        gone = set(gone)
-                        left = [line for line in own if key_of(line) not in gone]
-                    lines.append(len(own))
-                    dropped.append(len(own) - len(left))
-                    kept.append(text if left is own else "\n".join(left))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[lo : lo + 500], pa.int64()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_lines", "n_dropped", "kept"])
-
-    return both.mapInArrow(cut, "doc_id long, n_lines long, n_dropped long, kept string")
+                rows = zip(*(_cut(t, gone) for t, gone in zip(texts[lo : lo + 500], lost[lo : lo + 500])))
+                kinds = (pa.int64(), pa.int64(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(ids[lo : lo + 500], pa.int64()), *(pa.array(x, k) for x, k in zip(rows, kinds))], ["doc_id", "n_lines", "n_dropped", "kept"])
+
+    return _with_lost(id_and_text(docs), least, least_docs, most_bits).mapInArrow(cut, "doc_id long, n_lines long, n_dropped long, kept string")
+
+
+def rewrite(docs: DataFrame, least: int = LEAST_CHARS, least_docs: int = LEAST_DOCS, most_bits: int = MOST_BITS) -> DataFrame:
+    """``docs`` with the repeated lines taken out of ``text``; ``n_chars``, where there is one, follows. A null text stays null, other columns stay."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                names = part.schema.names
+                texts, lost = part.column(names.index("text")).to_pylist(), part.column(names.index("_lost")).to_pylist()
+                kept = [t if t is None else _cut(t, gone)[2] for t, gone in zip(texts, lost)]
+                columns = dict(zip(names, part.columns))
+                columns["text"] = pa.array(kept, pa.string())
+                if "n_chars" in columns:
+                    sizes = [n if t is k or t is None else len(k) for n, t, k in zip(columns["n_chars"].to_pylist(), texts, kept)]
+                    columns["n_chars"] = pa.array(sizes, columns["n_chars"].type)
+                del columns["_lost"]
+                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    return _with_lost(docs, least, least_docs, most_bits).mapInArrow(cut, docs.schema)

@@ -141,3 +141,10 @@ def verdicts(judged: DataFrame, model: tuple[float, list[dict[int, float]], list
     for vote, w in zip(rules(f).values(), weights(on_good, on_bad)):
         odds = odds + F.when(vote > 0, w[1]).when(vote < 0, w[-1]).otherwise(0.0)
     return judged.withColumn("_base_failed", _base_failed(f)).withColumn("_quality", 1 / (1 + F.exp(-odds))).withColumn("_kept", ~F.col("_base_failed") & (F.col("_quality") >= 0.5))
+
+
+def filter_docs(docs: DataFrame) -> DataFrame:
+    """``docs`` without the texts that the verdict rejects; columns as before. The estimates are made from all rows first."""
+    judged = features(docs)
+    model = fit(features(docs.select("text")))
+    return verdicts(judged, model).where("_kept").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -215,3 +215,11 @@ def classes(docs: DataFrame, homes: int = HOMES) -> DataFrame:
     roots = components(links(prints.where("node is not null"), homes))
     named = prints.join(roots, "node", "left").select(F.col("bits").alias("print"), F.coalesce("root", "node").alias("component_id"))
     return rows.join(named, F.col("bits") == F.col("print")).select("doc_id", "bits", "component_id")
+
+
+def representatives(docs: DataFrame, homes: int = HOMES) -> DataFrame:
+    """``docs`` with one document of each class, that of the smallest ``doc_id`` (one row of it); rows without ``doc_id`` stay. Columns as before."""
+    found = classes(docs, homes)
+    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    one = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    return one.unionByName(docs.where("doc_id is null"))
