@@ -120,7 +120,8 @@ def repeated_lines(docs: DataFrame, least: int = LEAST_CHARS, least_docs: int =
 
     lines = docs.where("doc_id is not null").mapInArrow(suspected, "doc_id long, key string").distinct()
     lines = materialise(lines, "suspects")
-    kept = lines.groupBy("key").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last")).where(F.col("n_docs") >= least_docs)
+    # written, so that a key that many documents hold can be split in the join with it
+    kept = materialise(lines.groupBy("key").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last")).where(F.col("n_docs") >= least_docs), "repeats")
     return lines.join(kept, "key").where("doc_id < last").select("doc_id", "key")
 
 

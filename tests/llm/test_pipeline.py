@@ -62,18 +62,17 @@ def test_equals_brute_force(spark, tmp_path):
 
 def test_stages_keep_the_columns(spark, tmp_path):
     fixture(spark, str(tmp_path))
-    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").selectExpr("*", "lang as key", "n_chars as lost", "doc_id as node", "n_chars as bits", "source as hash", "1 as n_words", "text as kept")
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        for given in (docs, docs.limit(0)):
-            got = stage(spark, given, str(tmp_path))
-            assert got.dtypes == docs.dtypes, name
-            assert got.where("char_length(text) <> n_chars").count() == 0
-        assert got.count() == 0
+        got = stage(spark, docs, str(tmp_path))
+        assert got.dtypes == docs.dtypes, name
+        rows = got.collect()
+        assert rows and all(r.n_chars == len(r.text or "") for r in rows), name
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "line_dedup", "near_dedup", "decontaminate", "encode"]
 
 
-def test_other_columns_may_have_any_name(spark, tmp_path):
+def test_empty_table(spark, tmp_path):
     fixture(spark, str(tmp_path))
-    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").selectExpr("*", "lang as key", "n_chars as lost", "doc_id as node", "n_chars as bits", "source as hash", "1 as n_words", "text as kept")
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, docs, str(tmp_path)).columns == docs.columns and stage(spark, docs, str(tmp_path)).count() > 0, name
+    none = spark.read.parquet(f"{tmp_path}/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, str(tmp_path)).count() == 0, name
