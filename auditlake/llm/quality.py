@@ -60,7 +60,9 @@ def features(docs: DataFrame) -> DataFrame:
         "n_stops": F.regexp_count(text, F.lit("[.!?]")),
         "n_distinct": F.size(F.array_distinct(word)),
     }
-    return step.withColumn("_f", F.struct(*[c.cast("long").alias(k) for k, c in counts.items()])).drop("_w", "_k", "_o", "_l")
+    # exploded from an array of one, so that what reads the counts does not make them anew for each use
+    one = F.explode(F.array(F.struct(*[c.cast("long").alias(k) for k, c in counts.items()])))
+    return step.withColumn("_f", one).drop("_w", "_k", "_o", "_l")
 
 
 def rules(f: Column) -> dict[str, Column]:
@@ -145,6 +147,8 @@ def verdicts(judged: DataFrame, model: tuple[float, list[dict[int, float]], list
 
 def filter_docs(docs: DataFrame) -> DataFrame:
     """``docs`` without the texts that the verdict rejects; columns as before. The estimates are made from all rows first."""
-    judged = features(docs)
     model = fit(features(docs.select("text")))
-    return verdicts(judged, model).where("_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    judged = verdicts(features(docs), model)
+    # a row goes on once for each entry of an array of one or none: a filter would be pushed below the counts and make them all again
+    once = F.explode(F.when(F.col("_kept"), F.array(F.lit(1))).otherwise(F.array().cast("array<int>")))
+    return judged.withColumn("_once", once).select(*[F.col(f"`{c}`") for c in docs.columns])
