@@ -41,6 +41,12 @@ def iso_prefix_date(c: Column) -> Column:
     return F.when(head.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$") & (F.length(c) >= 10), head.try_cast("date"))
 
 
+def iso_lenient_date(c: Column) -> Column:
+    """The first ten characters as an ISO date, whose month and day may have one digit."""
+    head = F.substring(c, 1, 10)
+    return F.when(head.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), head.try_cast("date"))
+
+
 def iso_parts(year: Column, month: Column, day: Column) -> Column:
     """Zero-padded ISO text without a calendar check (29 February stays)."""
     return F.concat_ws("-", F.lpad(year, 4, "0"), F.lpad(month, 2, "0"), F.lpad(day, 2, "0"))

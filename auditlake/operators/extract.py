@@ -30,10 +30,10 @@ def keyword_type(c: Column, default: Column) -> Column:
     return out.otherwise(default)
 
 
-def detect_language(c: Column) -> Column:
-    """Language with most listed words in the first characters; English below the minimum."""
-    head = F.lower(F.substring(F.coalesce(c, F.lit("")), 1, K.LANGUAGE_PREFIX_CHARS))
-    hits = F.transform(F.array(head), lambda h: F.struct(*[F.regexp_count(h, F.lit(I + p)).alias(lang) for lang, p in K.LANGUAGE_WORDS]))[0]
+def detect_language(c: Column, prefix: int | None = None) -> Column:
+    """Language with most listed words in the text (in its first ``prefix`` characters, if given); English below the minimum."""
+    text = F.coalesce(c, F.lit(""))
+    hits = F.transform(F.array(F.lower(text if prefix is None else F.substring(text, 1, prefix))), lambda h: F.struct(*[F.regexp_count(h, F.lit(I + p)).alias(lang) for lang, p in K.LANGUAGE_WORDS]))[0]
 
     def pick(h):
         best = F.greatest(h["en"], h["hu"], h["de"])
@@ -104,7 +104,7 @@ def invoice_fields(c: Column) -> Column:
         out["currency"] = s["currency"]
         quoted = [(k, s[k]) for k in ("invoice_number", *[f for f, _ in K.INVOICE_DATE_LABELS])]
         quoted += [(f, F.when(out[f].isNotNull(), s[f])) for f, _ in K.TOTAL_LABELS]
-        out["quotes"] = _present([F.substring(q, 1, K.QUOTE_CHARS) for _, q in quoted])
+        out["quotes"] = _present([q for _, q in quoted])
         out["confidence"] = F.map_from_entries(_present([
             F.when(q.isNotNull(), F.struct(F.lit(k).alias("key"), F.lit("high").alias("value"))) for k, q in quoted]))
         return out
@@ -114,7 +114,7 @@ def invoice_fields(c: Column) -> Column:
 
 def numbered_document(c: Column, pattern: str) -> Column:
     return _staged({"span": _span(c, I + pattern)}, lambda s: {
-        "document_number": _number_of(s["span"], pattern), "quotes": _present([F.substring(s["span"], 1, K.QUOTE_CHARS)])})
+        "document_number": _number_of(s["span"], pattern), "quotes": _present([s["span"]])})
 
 
 def _has(c: Column, *words) -> Column:
@@ -134,10 +134,10 @@ def contract_fields(c: Column) -> Column:
         out = {"contract_type": F.when(_has(low, "non-disclosure", "nda", "titoktart"), "NDA").when(_has(low, "lease", "rental", "lizing"), "lease")
                .when(_has(low, "service", "szolgaltatas"), "service").when(_has(low, "framework") | _has(s["text"], "MSA"), "MSA")}
         out |= {f: _date_of(s[f]) for f, _ in K.CONTRACT_DATE_LABELS}
-        out["governing_law"] = F.substring(strip(s["law"]), 1, 120)
+        out["governing_law"] = strip(s["law"])
         out["termination_terms"] = F.when(s["ending"].isNotNull(), strip(F.regexp_extract(s["ending"], I + K.TERMINATION_PATTERN, 1)))
         out |= {f: F.when(s["text"].rlike(I + p), F.lit(True)) for f, p in flags}
-        out["quotes"] = _present([F.substring(s[f], 1, K.QUOTE_CHARS) for f, _ in K.CONTRACT_DATE_LABELS] + [F.substring(s["ending"], 1, 200)])
+        out["quotes"] = _present([s[f] for f, _ in K.CONTRACT_DATE_LABELS] + [s["ending"]])
         return out
 
     return _staged(spans, build)

@@ -178,10 +178,17 @@ def three_way(headers: DataFrame, items: dict[str, DataFrame]) -> DataFrame:
         [levelled_amounts(a, b, i, cols) for i, (a, b) in enumerate(PAIRS)]
         + [date_result(F.col("invoice_date"), F.col("purchase_order_date"), 6)])
     trio = headers.select(*KEYS)
-    for i, (a, b) in enumerate(PAIRS):
-        rows = match_items(items[a], items[b]).join(trio, KEYS, "left_semi")
-        out = out.unionByName(explode_results(rows, [item_result(a, b, 3 + i)]))
-    return out
+    return out.unionByName(item_results(items, trio))
+
+
+def item_results(items: dict[str, DataFrame], trio: DataFrame) -> DataFrame:
+    """Item comparisons of the three pairs for the documents of ``trio``, matched together as one stack keyed by pair."""
+    def stacked(side: int) -> DataFrame:
+        tables = [items[pair[side]].join(trio, KEYS, "left_semi").withColumn("pair", F.lit(i)) for i, pair in enumerate(PAIRS)]
+        return tables[0].unionByName(tables[1]).unionByName(tables[2])
+
+    rows = match_items(stacked(0), stacked(1), [*KEYS, "pair"])
+    return explode_results(rows, [F.when(F.col("pair") == i, item_result(a, b, 3 + i)) for i, (a, b) in enumerate(PAIRS)])
 
 
 def roll_up(results: DataFrame, keys: list[str]) -> DataFrame:

@@ -1,7 +1,7 @@
 """Contract-portfolio aggregates.
 
-Lists that grow with a package stay rows with a rank; only lists with a fixed
-cap (top flags) become arrays.
+Lists that grow with a package stay rows with a rank; limits are parameters that
+are off.
 """
 
 from __future__ import annotations
@@ -12,11 +12,6 @@ from pyspark.sql import functions as F
 from auditlake import constants as K
 from auditlake.functions.dates import expiring_soon
 
-TOP_FLAGS = 7
-FLAGS_PER_CONTRACT = 2
-TOP_ISSUES = 5
-ANALYSIS_CAP = 4
-
 
 def contracts_only(docs: DataFrame) -> DataFrame:
     return docs.filter(F.col("doc_type") == "contract")
@@ -53,34 +48,35 @@ def price_anomalies(summary: DataFrame, ratio: float = K.PRICE_ANOMALY_RATIO) ->
         "ratio", F.col("max_value") / F.col("min_value"))
 
 
-def _first(df: DataFrame, partition: list[str], order: list[str], n: int) -> DataFrame:
-    """First rows per group; the rank filter is pushed below the shuffle."""
+def _ranked(df: DataFrame, partition: list[str], order: list[str], most: int | None) -> DataFrame:
+    """Rows with their rank in the group; with ``most`` the first ones, limited before the shuffle."""
     w = Window.partitionBy(*partition).orderBy(*order)
-    return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+    out = df.withColumn("rank", F.row_number().over(w))
+    return out if most is None else out.filter(F.col("rank") <= most)
 
 
 def flag_rows(summary: DataFrame) -> DataFrame:
     return summary.select("package_id", "doc_id", "file_name", F.posexplode("red_flags").alias("flag_no", "flag"))
 
 
-def legal(summary: DataFrame) -> DataFrame:
-    """First flags of the package, and every file with change of control or non-compete."""
+def legal(summary: DataFrame, most: int | None = None) -> DataFrame:
+    """Flags of the package with their rank, and every file with change of control or non-compete."""
     flags = flag_rows(summary)
-    top = _first(flags, ["package_id"], ["doc_id", "flag_no"], TOP_FLAGS).select(
-        "package_id", F.lit("red_flag").alias("kind"), F.concat_ws(": ", "file_name", "flag").alias("entry"))
+    top = _ranked(flags, ["package_id"], ["doc_id", "flag_no"], most).select(
+        "package_id", F.lit("red_flag").alias("kind"), F.concat_ws(": ", "file_name", "flag").alias("entry"), "rank")
     low = F.lower("flag")
 
     def files(kind: str, word: str):
-        return flags.filter(F.contains(low, F.lit(word))).select("package_id", F.lit(kind).alias("kind"), F.col("file_name").alias("entry"))
+        return flags.filter(F.contains(low, F.lit(word))).select("package_id", F.lit(kind).alias("kind"), F.col("file_name").alias("entry"), F.lit(None).cast("int").alias("rank"))
 
     return top.unionByName(files("change_of_control", "change-of-control")).unionByName(files("non_compete", "non-compete"))
 
 
-def compliance(findings: DataFrame) -> DataFrame:
-    """First data-protection and sanctions findings of each package."""
+def compliance(findings: DataFrame, most: int | None = None) -> DataFrame:
+    """Data-protection and sanctions findings of each package with their rank."""
     kind = F.when(F.col("source_check_id") == "check_08_gdpr_28", "gdpr").when(F.col("source_check_id") == "check_13_aml_sanctions", "aml")
     hits = findings.withColumn("kind", kind).filter(F.col("kind").isNotNull())
-    return _first(hits, ["package_id", "kind"], ["doc_id", "description"], TOP_ISSUES).select(
+    return _ranked(hits, ["package_id", "kind"], ["doc_id", "description"], most).select(
         "package_id", "kind", "rank", F.concat_ws(": ", "file_name", "description").alias("entry"))
 
 
@@ -101,7 +97,7 @@ def applicable_analyses(summary: DataFrame, findings: DataFrame) -> DataFrame:
     many = F.col("n_contracts") >= 2
     steps = F.filter(F.array(F.lit("legal"), F.lit("financial"), F.when(many, F.lit("audit")),
                              F.when(many & F.coalesce("signal", F.lit(False)), F.lit("compliance"))), lambda x: x.isNotNull())
-    return n.join(signals, "package_id", "left").select("package_id", F.slice(steps, 1, ANALYSIS_CAP).alias("analyses"))
+    return n.join(signals, "package_id", "left").select("package_id", steps.alias("analyses"))
 
 
 def override_ratings(summary: DataFrame, ratings: DataFrame) -> DataFrame:
@@ -115,14 +111,18 @@ def override_ratings(summary: DataFrame, ratings: DataFrame) -> DataFrame:
 
 
 def report(summary: DataFrame, asof: Column) -> DataFrame:
-    """One row per package: counts, top flags and the summary sentence."""
+    """One row per package: counts, how many contracts carry each flag, and the summary sentence.
+
+    The flags themselves are rows (:func:`legal`); counted by text they are few.
+    """
     soon = expiring_soon(F.col("expiry_date"), asof, K.EXPIRY_MONTHS)
     counts = summary.groupBy("package_id").agg(
         F.count(F.lit(1)).alias("contract_count"), F.count_if(F.col("risk_level") == "high").alias("high_risk_count"), F.count_if(soon).alias("expiring_count"))
-    few = flag_rows(summary.withColumn("red_flags", F.slice("red_flags", 1, FLAGS_PER_CONTRACT)))
-    top = _first(few, ["package_id"], ["doc_id", "flag_no"], TOP_FLAGS).groupBy("package_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("rank", "flag"))), lambda x: x["flag"]).alias("top_red_flags"))
+    # an outside rating's remark is a text of its own and counts as one kind of flag
+    kind = F.when(F.startswith("flag", F.lit("DD assessment: ")), "DD assessment").otherwise(F.col("flag"))
+    top = flag_rows(summary).groupBy("package_id", kind.alias("flag")).agg(F.count(F.lit(1)).alias("n")).groupBy("package_id").agg(
+        F.array_sort(F.collect_list(F.concat_ws(": ", "flag", F.col("n").cast("string")))).alias("red_flag_counts"))
     sentence = F.concat(F.lit("DD portfolio: "), F.col("contract_count").cast("string"), F.lit(" contracts, "), F.col("high_risk_count").cast("string"),
                         F.lit(" high-risk, "), F.col("expiring_count").cast("string"), F.lit(" expiring soon."))
-    return counts.join(top, "package_id", "left").withColumn("top_red_flags", F.coalesce("top_red_flags", F.array().cast("array<string>"))).withColumn(
+    return counts.join(top, "package_id", "left").withColumn("red_flag_counts", F.coalesce("red_flag_counts", F.array().cast("array<string>"))).withColumn(
         "executive_summary", sentence)

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from auditlake import constants as K
 from auditlake.functions import labels
 
-EXPORT_TOP = 20
-
 
 def severity_counts(findings: DataFrame) -> DataFrame:
     s = labels.severity_bucket(F.col("severity"))
@@ -38,11 +37,15 @@ def split_by_origin(findings: DataFrame) -> DataFrame:
 
 
 def top_findings(findings: DataFrame, limits: dict[str, int] | None = None, order=("stage", "doc_id", "rule_ord")) -> DataFrame:
-    """First findings of each severity in a package; the rank filter runs before the shuffle."""
+    """Findings of each severity in a package with their rank: all of them, or the first by the limits given.
+
+    With limits the rank filter runs before the shuffle.
+    """
     bucket = labels.severity_bucket(F.col("severity"))
     w = Window.partitionBy("package_id", "bucket").orderBy(*order)
-    ranked = findings.withColumn("bucket", bucket).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= max((limits or {"": EXPORT_TOP}).values()))
+    ranked = findings.withColumn("bucket", bucket).withColumn("rank", F.row_number().over(w))
     if limits:
+        ranked = ranked.filter(F.col("rank") <= max(limits.values()))
         allowed = F.create_map(*[F.lit(x) for kv in limits.items() for x in kv])
         ranked = ranked.filter(F.col("rank") <= F.coalesce(F.try_element_at(allowed, F.col("bucket")), F.lit(0)))
     return ranked
@@ -60,13 +63,14 @@ def extraction_json(docs: DataFrame, fields: list[str]) -> DataFrame:
 
 
 def assemble(docs: DataFrame, findings: DataFrame, runs: DataFrame, comparison: DataFrame | None = None, portfolio: DataFrame | None = None) -> DataFrame:
-    """One JSON report per package: counts, effort, top findings, optional sections.
+    """One JSON report per package: counts by severity and by origin, effort, documents by type, optional sections.
 
-    Findings are listed up to the export limit per severity; the complete list
-    is the findings table itself.
+    The findings belong to the report as rows keyed by package, severity and
+    rank (:func:`top_findings` without limits), since their number has no bound.
     """
-    top = top_findings(findings).groupBy("package_id").agg(F.array_sort(F.collect_list(F.struct("bucket", "rank", "description"))).alias("top_findings"))
-    out = effort(docs, runs).join(severity_counts(findings), "package_id", "left").join(top, "package_id", "left")
+    kinds = docs.groupBy("package_id").agg(*[F.count_if(F.col("doc_type") == k).alias(f"n_{k}") for k in K.DOC_LABELS if k != "other"])
+    out = effort(docs, runs).join(severity_counts(findings), "package_id", "left").join(split_by_origin(findings).drop("n_info"), "package_id", "left")
+    out = out.join(kinds.select("package_id", F.struct(*[c for c in kinds.columns if c != "package_id"]).alias("documents")), "package_id", "left")
     for name, part in (("comparison", comparison), ("dd_analysis", portfolio)):
         if part is not None:
             rest = [c for c in part.columns if c != "package_id"]

@@ -2,60 +2,60 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlake import constants as K
 from auditlake.functions.text import split_words, tokenise
-from auditlake.session import BROADCAST_MAX_ROWS, bounded_broadcast
 
 
 # --- chunking -----------------------------------------------------------------
 
-def _cut(window: str) -> int:
-    """Offset just after the best break in ``window``; its length where there is none."""
-    present = next((m for m in ["\n\n", *K.SENTENCE_MARKERS, "\n", " "] if m in window), None)
-    return window.rindex(present) + len(present) if present else len(window)
+#: Breaks after which a chunk may end, best first: paragraph, sentence, line, word.
+_BREAKS = ["\n\n", *K.SENTENCE_MARKERS, "\n", " "]
+
+
+def _ends(text: Column, max_chars: int, overlap: int) -> Column:
+    """Chunks of a text as array of struct(start, stop), by the recurrence: a chunk ends after the last of the best breaks
+    in its last ``overlap`` characters, and the next one starts ``overlap`` characters before that end."""
+    whole = F.char_length(text)
+
+    def stop_of(start: Column) -> Column:
+        low = start + (max_chars - overlap)
+        tail = F.substr(text, low + 1, F.lit(overlap))
+        turned = F.reverse(tail)
+        at = [F.when(F.contains(tail, F.lit(m)), F.lit(overlap + 1) - F.locate(m[::-1], turned)) for m in _BREAKS]
+        return F.when(start + max_chars >= whole, whole).otherwise(low + F.coalesce(*at, F.lit(overlap)))
 
+    def step(state: Column, _: Column) -> Column:
+        last = F.element_at(state, -1)
+        start = F.greatest(last["stop"] - overlap, last["start"] + 1)
+        more = (last["stop"] < whole) & (start < whole - 1)
+        return F.when(more, F.concat(state, F.array(F.struct(start.alias("start"), stop_of(start).alias("stop"))))).otherwise(state)
 
-def _spans(text: str, size: int, overlap: int):
-    """(start, stop) of each chunk."""
-    start, last = 0, len(text)
-    while last and (start == 0 or start < last - 1):
-        limit = start + size
-        if limit >= last:
-            yield start, last
-            return
-        low = limit - overlap
-        stop = low + _cut(text[low:limit])
-        yield start, stop
-        start = max(stop - overlap, start + 1)
+    first = F.array(F.struct(F.lit(0).alias("start"), stop_of(F.lit(0)).alias("stop")))
+    # a chunk starts at least max_chars - 2 * overlap characters after the one before it, and never less than one
+    rounds = F.sequence(F.lit(0), F.ceil(whole / F.lit(max(1, max_chars - 2 * overlap))).cast("int"))
+    return F.aggregate(rounds, first.cast("array<struct<start:int,stop:int>>"), step)
 
 
 def chunk(docs: DataFrame, max_chars: int = K.CHUNK_MAX_CHARS, overlap: int = K.CHUNK_OVERLAP_CHARS) -> DataFrame:
     """(package_id, source, doc_type, text) to chunk rows with a 0-based index.
 
-    Each text is cut from its start, so a document stays one unit of work; only
-    those longer than a chunk go through Python, the rest pass as they are.
+    Each text is cut from its start, so a document stays one unit of work, one
+    expression over its row.
     """
     cols = ["package_id", "source", "doc_type"]
-    short = docs.filter((F.length("text") > 0) & (F.length("text") <= max_chars)).select(*cols, F.lit(0).alias("chunk_index"), "text")
-    long = docs.filter(F.length("text") > max_chars).select(*cols, "text")
+    spans = docs.filter(F.length("text") > 0).select(*cols, F.col("text").alias("_whole"), F.posexplode(_ends(F.col("text"), max_chars, overlap)).alias("chunk_index", "_span"))
+    return spans.select(*cols, "chunk_index", F.substr("_whole", F.col("_span.start") + 1, F.col("_span.stop") - F.col("_span.start")).alias("text"))
 
-    def pieces(batches):
-        for pdf in batches:
-            rows = [
-                (*head, i, body[a:b])
-                for *head, body in pdf[cols + ["text"]].itertuples(index=False, name=None)
-                for i, (a, b) in enumerate(_spans(body, max_chars, overlap))
-            ]
-            yield pd.DataFrame(rows, columns=cols + ["chunk_index", "text"])
 
-    return short.unionByName(long.mapInPandas(pieces, short.schema))
+def _best(rows: DataFrame, order: list, n: int) -> DataFrame:
+    """First ``n`` rows per query with their rank from 0; the limit on the row number runs before the shuffle as well."""
+    w = Window.partitionBy("query_id").orderBy(*order)
+    return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n).withColumn("rank", F.col("rank") - 1)
 
 
 # --- keyword ranking ------------------------------------------------------------
@@ -75,11 +75,11 @@ def bm25(chunks: DataFrame, queries: DataFrame, n: int, k1: float = K.BM25_K1, b
     floor = weighted.agg(F.avg("idf") * epsilon).scalar()
     asked = queries.select("query_id", F.explode(tokenise(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
     vocabulary = asked.select("term").distinct()
-    terms = weighted.join(bounded_broadcast(vocabulary), "term", "left_semi").select(
+    terms = weighted.join(vocabulary, "term", "left_semi").select(
         "term", F.when(F.col("idf") < 0, floor).otherwise(F.col("idf")).alias("idf"))
     tf = (
         docs.select("chunk_id", "dl", F.explode("tokens").alias("term"))
-        .join(bounded_broadcast(vocabulary), "term", "left_semi")
+        .join(vocabulary, "term", "left_semi")
         .groupBy("chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     )
     gain = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
@@ -87,29 +87,28 @@ def bm25(chunks: DataFrame, queries: DataFrame, n: int, k1: float = K.BM25_K1, b
         tf.join(terms, "term").withColumn("gain", gain.cast("decimal(20,10)"))
         .join(asked, "term").groupBy("query_id", "chunk_id").agg(F.sum(F.col("gain") * F.col("qtf").cast("decimal(9,0)")).alias("score"))
     )
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return scored.withColumn("rank", F.row_number().over(w) - 1).filter((F.col("rank") < n) & (F.col("score") > 0)).withColumn(
-        "score", F.col("score").cast("double"))
+    return _best(scored.filter("score > 0"), [F.desc("score"), "chunk_id"], n).withColumn("score", F.col("score").cast("double"))
 
 
 # --- vector ranking -------------------------------------------------------------
 
-def vector_topk(vectors: DataFrame, queries: DataFrame, n: int, max_queries: int = BROADCAST_MAX_ROWS) -> DataFrame:
+#: Query vectors that tasks hold at once.
+QUERY_BLOCK = 10_000
+
+
+def vector_topk(vectors: DataFrame, queries: DataFrame, n: int, blocks: int = 1) -> DataFrame:
     """Exact cosine top ``n`` per query: (query_id, vec_id, similarity, rank from 0).
 
-    Each task scores its vectors against one bounded batch of queries and passes
-    on its own best ``n`` per query, so the shuffle carries top lists, not
-    scores.  More queries than a batch holds are run batch after batch.
+    Each task scores its vectors against one block of queries and passes on its
+    own best ``n`` per query, so the shuffle carries top lists, not scores.  The
+    queries are dealt over ``blocks`` by hash; a block of more than
+    ``QUERY_BLOCK`` queries is refused, so give as many blocks as that takes.
     """
-    n_queries = queries.count()
-    batches = max(1, math.ceil(n_queries / max_queries * 1.5)) if n_queries > max_queries else 1
-    out = None
-    for i in range(batches):
-        part = queries if batches == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(batches)) == i)
-        hits = _batch_topk(vectors, part, n)
-        out = hits if out is None else out.unionByName(hits)
-    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
-    return out.withColumn("rank", F.row_number().over(w) - 1).filter(F.col("rank") < n)
+    hits = [_block_topk(vectors, queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i), n) for i in range(blocks)]
+    out = hits[0]
+    for more in hits[1:]:
+        out = out.unionByName(more)
+    return _best(out, [F.desc("similarity"), "vec_id"], n)
 
 
 def _unit(matrix: np.ndarray) -> np.ndarray:
@@ -117,34 +116,43 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
     return matrix / np.where(length == 0, 1.0, length)
 
 
-def _batch_topk(vectors: DataFrame, queries: DataFrame, n: int) -> DataFrame:
-    pdf = queries.select("query_id", "vector").toPandas()
+def _block_topk(vectors: DataFrame, queries: DataFrame, n: int) -> DataFrame:
+    pdf = queries.select("query_id", "vector").limit(QUERY_BLOCK + 1).toPandas()
+    if len(pdf) > QUERY_BLOCK:
+        raise ValueError(f"more than {QUERY_BLOCK} queries in a block: raise blocks")
     ids = pdf["query_id"].to_numpy()
     matrix = _unit(np.stack([np.asarray(v, dtype=np.float64) for v in pdf["vector"]])) if len(pdf) else np.zeros((0, 1))
 
     def score(batches):
+        # the task's best so far: similarities and ids, at most n per query
+        best_sims, best_ids = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), dtype=np.int64)
         for batch in batches:
             if not len(batch) or not len(ids):
                 continue
-            vec_ids = batch["vec_id"].to_numpy()
-            sims = np.round(_unit(np.stack([np.asarray(v, dtype=np.float64) for v in batch["vector"]])) @ matrix.T, 12)
-            rows = [(q, j) for q in range(len(ids)) for j in np.lexsort((vec_ids, -sims[:, q]))[:n]]
-            qs, js = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-            yield pd.DataFrame({"query_id": ids[qs], "vec_id": vec_ids[js], "similarity": sims[js, qs]})
+            sims = np.round(matrix @ _unit(np.stack([np.asarray(v, dtype=np.float64) for v in batch["vector"]])).T, 12)
+            sims = np.hstack([best_sims, sims])
+            vec_ids = np.hstack([best_ids, np.broadcast_to(batch["vec_id"].to_numpy(), (len(ids), len(batch)))])
+            order = np.lexsort((vec_ids, -sims), axis=1)[:, :n]
+            best_sims, best_ids = np.take_along_axis(sims, order, 1), np.take_along_axis(vec_ids, order, 1)
+        if best_sims.size:
+            yield pd.DataFrame({"query_id": np.repeat(ids, best_sims.shape[1]), "vec_id": best_ids.ravel(), "similarity": best_sims.ravel()})
 
     return vectors.select("vec_id", "vector").mapInPandas(score, "query_id bigint, vec_id bigint, similarity double")
 
 
 # --- fusion -----------------------------------------------------------------------
 
-def fuse(vector_hits: DataFrame, keyword_hits: DataFrame, top_k: int, k: int = K.RRF_K) -> DataFrame:
+def fuse(vector_hits: DataFrame, keyword_hits: DataFrame, top_k: int, k: int = K.RRF_K, text_key_chars: int | None = None) -> DataFrame:
     """Reciprocal-rank fusion of (query_id, chunk_id, text, rank) lists.
 
-    Hits with the same first 200 characters are one; a list's last rank counts
-    for it, and its first hit gives the text.
+    A chunk found by both lists is one hit.  With ``text_key_chars``, hits whose
+    texts begin with the same characters are one: a list's last rank counts for
+    it, and its first hit gives the text.
     """
+    key = F.col("chunk_id") if text_key_chars is None else F.substring("text", 1, text_key_chars)
+
     def side(df, name):
-        return df.groupBy("query_id", F.substring("text", 1, 200).alias("key")).agg(
+        return df.groupBy("query_id", key.alias("key")).agg(
             F.max("rank").alias(f"{name}_rank"), F.min("rank").alias(f"{name}_first"), F.min_by(F.struct("chunk_id", "text"), "rank").alias(f"{name}_hit"))
 
     both = side(vector_hits, "v").join(side(keyword_hits, "b"), ["query_id", "key"], "full_outer")
@@ -153,14 +161,13 @@ def fuse(vector_hits: DataFrame, keyword_hits: DataFrame, top_k: int, k: int = K
     order = F.struct(F.when(F.col("v_first").isNull(), 1).otherwise(0).alias("s"), F.coalesce("v_first", "b_first").alias("r"))
     scored = both.select("query_id", hit["chunk_id"].alias("chunk_id"), hit["text"].alias("text"), F.col("v_rank").alias("vector_rank"), F.col("b_rank").alias("keyword_rank"),
                          (part("v_rank") + part("b_rank")).alias("score"), order.alias("o"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "o")
-    return scored.withColumn("rank", F.row_number().over(w) - 1).filter(F.col("rank") < top_k).drop("o")
+    return _best(scored, [F.desc("score"), "o"], top_k).drop("o")
 
 
 def rerank(hits: DataFrame, queries: DataFrame, weight: float = K.RERANK_WEIGHT) -> DataFrame:
     """Add the share of distinct query words that the text contains, and reorder."""
     words = queries.select("query_id", F.array_distinct(split_words(F.lower("query"))).alias("words"))
-    joined = hits.join(bounded_broadcast(words), "query_id")
+    joined = hits.join(words, "query_id")
     low = F.transform(F.array(F.lower("text")), lambda t: F.size(F.filter("words", lambda x: F.contains(t, x))))[0]
     boosted = joined.withColumn("boosted", F.col("score") + weight * low / F.greatest(F.lit(1), F.size("words"))).drop("words")
     w = Window.partitionBy("query_id").orderBy(F.desc("boosted"), "rank")

@@ -35,7 +35,7 @@ def _(t):
 def lang_sql() -> str:
     counts = ", ".join(
         f"len(list_filter(w, lambda x: x in ({sql_list(p[3:-3].split('|'))}))) as {lang}" for lang, p in K.LANGUAGE_WORDS)
-    return rf"""with w as (select doc_id, regexp_extract_all(lower(left(text, 5000)), '[\p{{L}}\p{{N}}_]+') as w from {{documents}}), n as (select doc_id, {counts} from w)
+    return rf"""with w as (select doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') as w from {{documents}}), n as (select doc_id, {counts} from w)
 select doc_id, case when greatest(en, hu, de) < 3 or en = greatest(en, hu, de) then 'en' when hu = greatest(en, hu, de) then 'hu' else 'de' end as language from n"""
 
 

@@ -8,7 +8,6 @@ from auditlake.functions.numbers import money
 from auditlake.operators import duplicates, matching
 from auditlake.plans.registry import query
 from auditlake.plans.scalar import TIER_SQL
-from auditlake.session import materialise
 
 c = F.col
 KEYS = matching.KEYS
@@ -23,10 +22,10 @@ def headers(t):
 
 
 def items(t, *kinds):
-    """Item tables (all three by default), each written once, because several steps read them."""
+    """Item tables, all three by default."""
     order = F.concat_ws("|", "description", "item_code")
     views = {"invoice": t.v_inv_line, "purchase_order": t.v_po_line, "delivery_note": t.v_dn_line}
-    return {k: materialise(v.withColumn("ord", order), "items") for k, v in views.items() if k in (kinds or views)}
+    return {k: v.withColumn("ord", order) for k, v in views.items() if k in (kinds or views)}
 
 
 ALIKE_SQL = r"""(len(list_intersect(list_distinct(string_split(na, ' ')), list_distinct(string_split(nb, ' ')))) / greatest(len(list_distinct(string_split(na, ' '))), len(list_distinct(string_split(nb, ' ')))) >= 0.8
@@ -118,12 +117,12 @@ VIEW = {"invoice": "{v_inv_line}", "purchase_order": "{v_po_line}", "delivery_no
 
 
 def three_way_sql() -> str:
-    parts = [f"select package_id, doc_id, seq, severity, case when severity = 'ok' then 'match' else 'mismatch' end as status, null as item from ({amounts_sql()})"]
+    parts = [f"select package_id, doc_id, seq, severity, case when severity = 'ok' then 'match' else 'mismatch' end as status, null as item, null as q, null as bq from ({amounts_sql()})"]
     for i, (a, b) in enumerate(matching.PAIRS):
         parts.append(f"""select m.package_id, m.doc_id, {3 + i}, case when pass = 0 then 'warning' when abs(quantity - b_quantity) < 0.01 then 'ok' when abs(quantity - b_quantity) >= 2 then 'critical' else 'warning' end,
-          case when pass = 0 then 'missing' when abs(quantity - b_quantity) < 0.01 then 'match' else 'mismatch' end, description
+          case when pass = 0 then 'missing' when abs(quantity - b_quantity) < 0.01 then 'match' else 'mismatch' end, description, case when pass > 0 then quantity end, case when pass > 0 then b_quantity end
           from ({items_sql(VIEW[a], VIEW[b])}) m join h on m.doc_id = h.doc_id where pass = 0 or abs(quantity - b_quantity) is not null""")
-    parts.append("select package_id, doc_id, 6, 'warning', 'mismatch', null from h where invoice_date < purchase_order_date")
+    parts.append("select package_id, doc_id, 6, 'warning', 'mismatch', null, null, null from h where invoice_date < purchase_order_date")
     return f"with {HEADERS_SQL}, r as ({' union all '.join(parts)}) "
 
 
@@ -142,12 +141,9 @@ def _(t):
 
 
 @query("match_findings", three_way_sql() + """select package_id, doc_id, case when severity = 'critical' then 'high' else 'medium' end as severity, count(*) as n_findings from (
-  select distinct package_id, doc_id, seq, severity, status, item from r where severity <> 'ok' and seq < 3 or seq = 6) group by all""")
+  select distinct package_id, doc_id, seq, severity, status, item, q, bq from r where severity <> 'ok') group by all""")
 def _(t):
-    h = headers(t)
-    cols = set(h.columns)
-    res = matching.explode_results(h, [matching.levelled_amounts(a, b, i, cols) for i, (a, b) in enumerate(matching.PAIRS)]
-                                   + [matching.date_result(c("invoice_date"), c("purchase_order_date"), 6)])
+    res = matching.three_way(headers(t), items(t))
     return matching.match_findings(res, KEYS).groupBy(*KEYS, "severity").agg(F.count(F.lit(1)).alias("n_findings"))
 
 
@@ -192,7 +188,8 @@ with p as (select a.package_id, a.issuer_name as issuer, a.gross_bucket as amoun
   where a.doc_id % 20 = 0 or b.doc_id % 20 = 0 or abs(date_diff('day', cast(a.issue_date as date), cast(b.issue_date as date))) <= 13)
 select package_id, issuer, amount, doc_id, invoice_number, count(*) as n_partners, min(other) as first_partner from p group by all""")
 def _(t):
-    docs = invoices(t).withColumn("issue_date", F.when(c("doc_id") % 20 == 0, F.lit("unknown")).otherwise(c("issue_date")))
+    short = F.regexp_replace("issue_date", "-0", "-")
+    docs = invoices(t).withColumn("issue_date", F.when(c("doc_id") % 20 == 0, F.lit("unknown")).when(c("doc_id") % 3 == 0, short).otherwise(c("issue_date")))
     return duplicates.near_duplicates(docs, "gross_bucket")
 
 

@@ -60,15 +60,15 @@ FLAGS_SQL = "f as (select package_id, doc_id, file_name, unnest(red_flags) as fl
 
 
 @query("dd_legal", f"""with {SUMMARY_SQL}, {FLAGS_SQL}
-select package_id, 'red_flag' as kind, file_name || ': ' || flag as entry from (select *, row_number() over (partition by package_id order by doc_id, flag_no) as rn from f) where rn <= 7
-union all select package_id, 'change_of_control', file_name from f where flag like 'change%' union all select package_id, 'non_compete', file_name from f where flag like 'non-compete%'""")
+select package_id, 'red_flag' as kind, file_name || ': ' || flag as entry, row_number() over (partition by package_id order by doc_id, flag_no) as rank from f
+union all select package_id, 'change_of_control', file_name, null from f where flag like 'change%' union all select package_id, 'non_compete', file_name, null from f where flag like 'non-compete%'""")
 def _(t):
     return portfolio.legal(summary(t))
 
 
 @query("dd_compliance", """
 select package_id, kind, rank, file_name || ': ' || description as entry from (select *, row_number() over (partition by package_id, kind order by doc_id, description) as rank
-  from (select * exclude (kind), case source_check_id when 'check_08_gdpr_28' then 'gdpr' when 'check_13_aml_sanctions' then 'aml' end as kind from {v_finding}) where kind is not null) where rank <= 5""")
+  from (select * exclude (kind), case source_check_id when 'check_08_gdpr_28' then 'gdpr' when 'check_13_aml_sanctions' then 'aml' end as kind from {v_finding}) where kind is not null)""")
 def _(t):
     return portfolio.compliance(t.v_finding)
 
@@ -103,9 +103,9 @@ def _(t):
     return rated(t).select("package_id", "doc_id", "risk_level", F.array_join("red_flags", ", ").alias("red_flags"))
 
 
-@query("dd_report", f"""with {SUMMARY_SQL}, {RATED_SQL}, f as (select package_id, doc_id, unnest(red_flags[1:2]) as flag, generate_subscripts(red_flags[1:2], 1) as flag_no from r),
- t as (select package_id, array_to_string(list(flag order by rn), '; ') as top from (select *, row_number() over (partition by package_id order by doc_id, flag_no) as rn from f) where rn <= 7 group by 1),
+@query("dd_report", f"""with {SUMMARY_SQL}, {RATED_SQL}, f as (select package_id, unnest(red_flags) as flag from r),
+ t as (select package_id, array_to_string(list(flag || ': ' || n order by flag || ': ' || n), '; ') as top from (select package_id, case when starts_with(flag, 'DD assessment: ') then 'DD assessment' else flag end as flag, count(*) as n from f group by 1, 2) group by 1),
  n as (select package_id, count(*) as contract_count, count(*) filter (risk_level = 'high') as high_risk_count, count(*) filter ({SOON}) as expiring_count from r group by 1)
-select n.*, coalesce(top, '') as top_red_flags, 'DD portfolio: ' || contract_count || ' contracts, ' || high_risk_count || ' high-risk, ' || expiring_count || ' expiring soon.' as executive_summary from n left join t using (package_id)""")
+select n.*, coalesce(top, '') as red_flag_counts, 'DD portfolio: ' || contract_count || ' contracts, ' || high_risk_count || ' high-risk, ' || expiring_count || ' expiring soon.' as executive_summary from n left join t using (package_id)""")
 def _(t):
-    return portfolio.report(rated(t), asof()).withColumn("top_red_flags", F.array_join("top_red_flags", "; "))
+    return portfolio.report(rated(t), asof()).withColumn("red_flag_counts", F.array_join("red_flag_counts", "; "))

@@ -46,19 +46,19 @@ def _(t):
 
 
 @query("page_triage", """
-with p as (select doc_id, trim(substr(text, 1, doc_id % 90), ' ' || chr(10)) as n, case when doc_id % 3 = 0 then substr(text, 1, 70) when doc_id % 3 = 1 then 'noise' end as o from {documents})
+with p as (select doc_id, trim(case doc_id % 4 when 0 then '' when 1 then ' short' else text end, ' ' || chr(10)) as n, case when doc_id % 3 = 0 then text when doc_id % 3 = 1 then 'noise' end as o from {documents})
 select doc_id, case when length(n) >= 50 then n when length(coalesce(o, '')) >= 50 then o when n <> '' then n else coalesce(o, '') end as text,
   length(n) < 50 and length(coalesce(o, '')) < 50 as is_scanned from p""")
 def _(t):
-    native = F.expr("substr(text, 1, doc_id % 90)")
-    ocr = F.when(c("doc_id") % 3 == 0, F.substring("text", 1, 70)).when(c("doc_id") % 3 == 1, "noise")
+    native = F.when(c("doc_id") % 4 == 0, "").when(c("doc_id") % 4 == 1, " short").otherwise(c("text"))
+    ocr = F.when(c("doc_id") % 3 == 0, c("text")).when(c("doc_id") % 3 == 1, "noise")
     return t.documents.select("doc_id", ingest.triage_page(native, ocr).alias("p")).select("doc_id", "p.text", "p.is_scanned")
 
 
 @query("table_markdown", r"""
 with r as (select c_nationkey, c_custkey, replace(trim(c_name || chr(10) || 'x'), chr(10), ' ') as a, case when c_custkey % 3 = 0 then '' else c_mktsegment || ' with a very long trailing remark' end as b, c_custkey % 4 as w from {customer} where c_custkey % 11 <> 5),
  h as (select c_nationkey, min(c_custkey) as h, arg_min(case when w = 0 then 1 else 2 end, c_custkey) as n from r group by 1),
- l as (select c_nationkey, c_custkey, case when n = 1 then '| ' || left(a, 30) || ' |' else '| ' || left(a, 30) || ' | ' || case when w = 0 then '' else left(b, 30) end || ' |' end
+ l as (select c_nationkey, c_custkey, case when n = 1 then '| ' || a || ' |' else '| ' || a || ' | ' || case when w = 0 then '' else b end || ' |' end
    || case when c_custkey = h then chr(10) || case when n = 1 then '| --- |' else '| --- | --- |' end else '' end as line from r join h using (c_nationkey))
 select c_nationkey, array_to_string(list(line order by c_custkey), chr(10)) as markdown from l group by 1""")
 def _(t):
@@ -115,6 +115,13 @@ def _(t):
     return report.top_findings(t.v_finding, {"high": 3, "medium": 3}).select("package_id", "bucket", "rank", "doc_id", "description")
 
 
+@query("report_findings", """select package_id, bucket, row_number() over (partition by package_id, bucket order by stage, doc_id, rule_ord) as rank, doc_id, description
+  from (select *, case when lower(severity) in ('high', 'medium', 'info') then lower(severity) else 'low' end as bucket from {v_finding})""")
+def _(t):
+    """Every finding of the report, ranked within its severity."""
+    return report.top_findings(t.v_finding).select("package_id", "bucket", "rank", "doc_id", "description")
+
+
 @query("list_docs", "select package_id, file_name, " + _case(K.DOC_LABELS, "doc_type", "Other") + " as label, doc_type, format('{:.0f}%', (doc_ord % 100) * 1.0) as confidence from {v_document}")
 def _(t):
     from auditlake.functions import labels
@@ -147,7 +154,7 @@ def _(t):
 # --- turns -------------------------------------------------------------------------
 
 CHAT_SQL = """select conv_id, turn, role, concat(case (conv_id + turn) % 9 when 0 then 'Compare these: ' when 1 then 'Ellenőrizd, check: ' when 2 then 'Where is the penalty? ' when 3 then 'Which documents are there? '
-    when 4 then 'What is the GROSS amount? ' when 5 then 'Mennyivel drágább? ' when 6 then 'Missing key ' when 7 then '' else 'hello ' end, case when turn % 5 = 4 then '' else substr(text, 1, 40) end) as text from {conversations}"""
+    when 4 then 'What is the GROSS amount? ' when 5 then 'Mennyivel drágább? ' when 6 then 'Missing key ' when 7 then '' else 'hello ' end, case when turn % 5 = 4 then '' else text end) as text from {conversations}"""
 
 
 def intent_sql(col: str) -> str:

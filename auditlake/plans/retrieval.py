@@ -77,8 +77,8 @@ def _(t):
 
 FUSE_SQL = f"""q as (select label as query_id, text as query from (select distinct label from {{embeddings}}) join {{benchmark}} on item_id = label), {BM25_SQL}, {VEC_SQL},
  hv as (select query_id, vec_id as chunk_id, text, rank from vr join {{documents}} on doc_id = vec_id), hb as (select query_id, chunk_id, text, rank from bm join {{documents}} on doc_id = chunk_id),
- kv as (select query_id, left(text, 200) as k, max(rank) as vr, min(rank) as v1, arg_min(chunk_id, rank) as vc, arg_min(text, rank) as vt from hv group by 1, 2),
- kb as (select query_id, left(text, 200) as k, max(rank) as br, min(rank) as b1, arg_min(chunk_id, rank) as bc, arg_min(text, rank) as bt from hb group by 1, 2),
+ kv as (select query_id, chunk_id as k, max(rank) as vr, min(rank) as v1, arg_min(chunk_id, rank) as vc, arg_min(text, rank) as vt from hv group by 1, 2),
+ kb as (select query_id, chunk_id as k, max(rank) as br, min(rank) as b1, arg_min(chunk_id, rank) as bc, arg_min(text, rank) as bt from hb group by 1, 2),
  fu as (select *, row_number() over (partition by query_id order by score desc, s, r) - 1 as rank from (
    select query_id, coalesce(vc, bc) as chunk_id, coalesce(vt, bt) as text, vr as vector_rank, br as keyword_rank, coalesce(1.0::double / (61 + vr), 0) + coalesce(1.0::double / (61 + br), 0) as score,
      case when v1 is null then 1 else 0 end as s, coalesce(v1, b1) as r from kv full join kb using (query_id, k))),

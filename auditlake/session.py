@@ -1,4 +1,4 @@
-"""Session helpers: defaults for local runs, shared scratch folder, size-checked broadcast."""
+"""Session helpers: defaults for local runs, shared scratch folder, materialised steps."""
 
 from __future__ import annotations
 
@@ -7,10 +7,9 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-#: Largest row count a side may have before it is no longer broadcast.
-BROADCAST_MAX_ROWS = 10_000
+#: Setting for small local runs: partitions that each table is dealt out to when it is read; unset on a cluster.
+READ_PARTITIONS = "spark.auditlake.readPartitions"
 
 
 def local_session(cores: str = "*", app: str = "auditlake") -> SparkSession:
@@ -25,6 +24,7 @@ def local_session(cores: str = "*", app: str = "auditlake") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("AUDITLAKE_DRIVER_MEMORY", "8g"))
+        .config(READ_PARTITIONS, str(cpus))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -53,13 +53,3 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = shared_dir(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
-    """True if ``df`` has at most ``max_rows`` rows; reads no more than that many."""
-    return df.select(F.lit(1)).limit(max_rows + 1).count() <= max_rows
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint only for a side whose size was checked, else the plain side."""
-    return F.broadcast(df) if fits_broadcast(df, max_rows) else df

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from auditlake import constants as K
 from auditlake.functions.text import strip
 
-CELL_CHARS = 30
 
 
 def read_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
@@ -65,10 +64,11 @@ def assemble_pages(pages: DataFrame, keys: list[str]) -> DataFrame:
     return pages.groupBy(*keys).agg(joined.alias("full_text"), F.bool_or("is_scanned").alias("is_scanned"), F.count(F.lit(1)).alias("page_count"))
 
 
-def table_markdown(rows: DataFrame, keys: list[str], widest: bool = False) -> DataFrame:
+def table_markdown(rows: DataFrame, keys: list[str], widest: bool = False, cell_chars: int | None = None) -> DataFrame:
     """(keys, row_no, cells) to Markdown; rows keep the header's width, or the widest row's.
 
-    Cells are cleaned row by row before the rows of a table meet.
+    Cells are cleaned row by row before the rows of a table meet, and cut to
+    ``cell_chars`` characters if that is given.
     """
     clean = rows.withColumn("cells", F.transform("cells", lambda c: F.replace(strip(F.coalesce(c, F.lit(""))), F.lit("\n"), F.lit(" ")))).filter(
         F.exists("cells", lambda c: c != ""))
@@ -79,7 +79,7 @@ def table_markdown(rows: DataFrame, keys: list[str], widest: bool = False) -> Da
         return F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
 
     padded = F.slice(F.concat("cells", F.array_repeat(F.lit(""), F.col("n_cols"))), F.lit(1), F.col("n_cols"))
-    text = line(F.transform(padded, lambda c: F.substring(c, 1, CELL_CHARS)))
+    text = line(padded if cell_chars is None else F.transform(padded, lambda c: F.substring(c, 1, cell_chars)))
     rule = line(F.array_repeat(F.lit("---"), F.col("n_cols")))
     lines = clean.join(shape, keys).select(*keys, "row_no", F.when(F.col("row_no") == F.col("header_no"), F.concat(text, F.lit("\n"), rule)).otherwise(text).alias("line"))
     return lines.groupBy(*keys).agg(
@@ -87,7 +87,11 @@ def table_markdown(rows: DataFrame, keys: list[str], widest: bool = False) -> Da
 
 
 def reference_lists(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(entities, countries) of a sanctions file; an empty or missing file gives empty lists."""
+    """(entities, countries) of a sanctions file or of a folder of them; an empty or missing one gives empty lists."""
     schema = "entities array<struct<name:string,country:string,type:string>>, high_risk_countries array<string>"
-    raw = spark.read.schema(schema).option("multiLine", "true").option("ignoreMissingFiles", "true").option("pathGlobFilter", "*.json").json(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        raw = spark.read.schema(schema).option("multiLine", "true").json(path)
+    else:
+        raw = spark.createDataFrame([], schema)
     return raw.select(F.inline("entities")), raw.select(F.explode("high_risk_countries").alias("country"))

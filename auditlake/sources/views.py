@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from auditlake.session import READ_PARTITIONS
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
@@ -282,13 +284,14 @@ def with_views(sql: str) -> str:
 WIDE_TABLES = ("documents", "lineitem", "orders", "pages")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core work when the input has fewer splits than the cluster has cores.
+def dealt(df: DataFrame) -> DataFrame:
+    """Dealt out to the number of partitions that a local session asks for; as it is where it asks for none.
 
-    Large inputs have more splits than cores and pass unchanged, without a shuffle.
+    The test tables are single row groups that no split size can divide; a
+    cluster leaves the setting out and reads its files as they are split.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    wanted = df.sparkSession.conf.get(READ_PARTITIONS, None)
+    return df.repartition(int(wanted)) if wanted else df
 
 
 class Tables:
@@ -300,7 +303,7 @@ class Tables:
 
     def table(self, name: str) -> DataFrame:
         df = self.spark.read.parquet(f"{self.path}/{name}.parquet")
-        return spread(df) if name in WIDE_TABLES else df
+        return dealt(df) if name in WIDE_TABLES else df
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:

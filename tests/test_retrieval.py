@@ -45,7 +45,7 @@ def test_vector_topk_in_batches(spark):
     v = spark.createDataFrame(list(vec.items()), "vec_id int, vector array<double>").repartition(4)
     q = spark.createDataFrame([(i, vec[i]) for i in range(5)], "query_id bigint, vector array<double>")
     one = {tuple(r) for r in retrieval.vector_topk(v, q, 3).select("query_id", "vec_id", "rank").collect()}
-    many = {tuple(r) for r in retrieval.vector_topk(v, q, 3, max_queries=2).select("query_id", "vec_id", "rank").collect()}
+    many = {tuple(r) for r in retrieval.vector_topk(v, q, 3, blocks=3).select("query_id", "vec_id", "rank").collect()}
     assert one == many and all((i, i, 0) in one for i in range(5))
 
 
@@ -114,7 +114,7 @@ def test_portfolio_golden(spark):
     fin = {(r.kind, r.entry): r.amount for r in portfolio.financial(s, asof).collect()}
     assert fin == {("monthly", "USD"): 25000.0, ("expiring", "a.pdf"): None}
     rep = portfolio.report(s, asof).first()
-    assert rep.executive_summary == "DD portfolio: 2 contracts, 1 high-risk, 1 expiring soon." and rep.top_red_flags == ["change-of-control clause"]
+    assert rep.executive_summary == "DD portfolio: 2 contracts, 1 high-risk, 1 expiring soon." and rep.red_flag_counts == ["change-of-control clause: 1"]
     assert portfolio.applicable_analyses(s, none).first().analyses == ["legal", "financial", "audit"]
 
 
@@ -131,7 +131,8 @@ def test_pages_and_tables(spark):
     row = ingest.assemble_pages(pages, ["d"]).first()
     assert (row.full_text, row.is_scanned) == ("one\n\ntwo", True)
     table = spark.createDataFrame([("t", 1, [" a\nb ", "c"]), ("t", 2, [None, ""]), ("t", 3, ["x" * 40, "y", "z"]), ("t", 4, ["q"])], "t string, row_no int, cells array<string>")
-    assert ingest.table_markdown(table, ["t"]).first().markdown == "| a b | c |\n| --- | --- |\n| " + "x" * 30 + " | y |\n| q |  |"
+    assert ingest.table_markdown(table, ["t"]).first().markdown == "| a b | c |\n| --- | --- |\n| " + "x" * 40 + " | y |\n| q |  |"
+    assert ingest.table_markdown(table, ["t"], cell_chars=30).first().markdown == "| a b | c |\n| --- | --- |\n| " + "x" * 30 + " | y |\n| q |  |"
     assert ingest.table_markdown(table, ["t"], widest=True).first().markdown.startswith("| a b | c |  |\n| --- | --- | --- |")
 
 
@@ -155,4 +156,40 @@ def test_report_assembly(spark):
     import json
     out = json.loads(report.assemble(docs, found, runs).first().report)
     assert (out["manual_minutes"], out["speedup"], out["n_high"], out["n_low"]) == (43, 258.0, 1, 1)
-    assert [x["description"] for x in out["top_findings"]] == ["x", "y"]
+    assert (out["n_rule"], out["documents"]) == (2, {"n_invoice": 1, "n_delivery_note": 0, "n_purchase_order": 0, "n_contract": 1, "n_financial_report": 0})
+    assert [(r.description, r["rank"]) for r in report.top_findings(found).orderBy("doc_id").collect()] == [("x", 1), ("y", 1)]
+
+
+def test_reference_lists_with_and_without_file(spark, tmp_path):
+    entities, countries = ingest.reference_lists(spark, str(tmp_path / "none.json"))
+    assert entities.count() == countries.count() == 0
+    (tmp_path / "list.json").write_text('{"entities": [{"name": "Acme", "country": "XX", "type": "firm"}], "high_risk_countries": ["YY", "ZZ"]}')
+    entities, countries = ingest.reference_lists(spark, str(tmp_path / "list.json"))
+    assert [tuple(r) for r in entities.collect()] == [("Acme", "XX", "firm")] and sorted(r.country for r in countries.collect()) == ["YY", "ZZ"]
+    (tmp_path / "empty").mkdir()
+    assert ingest.reference_lists(spark, str(tmp_path / "empty"))[0].count() == 0
+
+
+def test_top_lists_are_limited_before_the_shuffle(spark):
+    hits = spark.createDataFrame([(1, 10, "a", 0)], "query_id int, chunk_id int, text string, rank int")
+    texts = spark.createDataFrame([(1, "tax law")], "chunk_id int, text string")
+    asked = spark.createDataFrame([(1, "tax")], "query_id bigint, query string")
+    vectors = spark.createDataFrame([(1, [1.0, 0.0])], "vec_id bigint, vector array<double>")
+    for df in (retrieval.fuse(hits, hits, 3), retrieval.bm25(texts, asked, 3), retrieval.vector_topk(vectors, vectors.withColumnRenamed("vec_id", "query_id"), 3)):
+        assert "WindowGroupLimit" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_language_reads_the_whole_text(spark):
+    from auditlake.operators import extract
+
+    long = "x " * 20000 + "der die und das ist nicht ein eine mit der"
+    row = spark.createDataFrame([(long,)], "t string").select(extract.detect_language(c("t")).alias("whole"), extract.detect_language(c("t"), 5000).alias("head")).first()
+    assert (row.whole, row.head) == ("de", "en")
+
+
+def test_near_duplicates_read_one_digit_dates(spark):
+    from auditlake.operators import duplicates
+
+    rows = [("p", 1, 1, "A", "n1", "2026-2-3", 5.0), ("p", 2, 2, "A", "n2", "2026-4-10", 5.0), ("p", 3, 3, "A", "n3", "2026-02-05", 5.0)]
+    docs = spark.createDataFrame(rows, "package_id string, doc_id int, doc_ord int, issuer_name string, invoice_number string, issue_date string, total_gross double")
+    assert {(r.doc_id, r.n_partners) for r in duplicates.near_duplicates(docs).collect()} == {(1, 1), (3, 1)}
