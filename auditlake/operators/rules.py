@@ -150,6 +150,14 @@ def invoice_tax_ids() -> list[Column]:
     ]
 
 
+def party_tax_ids(parties: list[tuple[Column, Column]]) -> list[Column]:
+    """Check digits of named parties: (name, tax id) of each."""
+    return [
+        tax_id_digit(tax_id, lambda x, name=name: text_of("Party tax ID check digit invalid: ", F.coalesce(name, F.lit("unknown")), " (", x, ")"), 2 + i)
+        for i, (name, tax_id) in enumerate(parties)
+    ]
+
+
 def rounded_amounts(headers: DataFrame, lines: DataFrame) -> DataFrame:
     """Share of suspiciously round amounts among all net and gross amounts of a document."""
     amounts = lines.select("package_id", "doc_id", "total_net", "total_gross").unionByName(
@@ -322,6 +330,26 @@ def sanctions(name: Column, source: str, entities=None) -> Column:
     return F.transform(hits, to_finding)
 
 
+def screen_parties(parties: DataFrame, entities: DataFrame) -> DataFrame:
+    """Names against a sanctions list held in a table: one finding for each party and entity that contain each other.
+
+    ``parties``: package_id, doc_id, source, name; ``entities``: name, country.
+    Only the distinct names meet the list, by substring look-up.
+    """
+    from auditlake.operators.names import contains_join
+
+    low = F.lower("name")
+    named = parties.filter(F.col("name") != "").withColumn("_low", low)
+    listed = entities.filter(F.col("name") != "").select(low.alias("_entity"), F.col("name").alias("entity"), "country")
+    hits = contains_join(named.select("_low").distinct(), listed.select("_entity").distinct(), "_low", "_entity")
+    return named.join(hits, "_low").join(listed, "_entity").select(
+        "package_id", "doc_id", text_of("Sanctions list match: ", F.col("name"), " ~ ", F.col("entity"), " (", F.col("country"), ")").alias("description"),
+        F.lit("high").alias("severity"),
+        text_of("'", F.col("name"), "' (", F.col("source"), ") matches the EU/OFAC sanctioned entity '", F.col("entity"), "' (country: ", F.col("country"),
+                "). Verify whether the sanctions status is current.").alias("rationale"),
+        F.lit("domain_rule").alias("kind"), F.lit(REGULATION["check_13_aml_sanctions"]).alias("regulation"), F.lit("check_13_aml_sanctions").alias("source_check_id"))
+
+
 def risk_country(tax_id: Column, name: Column, seq: int) -> Column:
     code = F.upper(F.substring(tax_id, 1, 2))
     return finding(
@@ -445,7 +473,7 @@ def invoice_findings(headers: DataFrame, lines: DataFrame) -> DataFrame:
     )
     hungarian = headers.filter(F.lower("language").isin(K.HU_LANGUAGES)).select("package_id", "doc_id")
     parts = [
-        emit(headers, per_header),
+        emit(headers, per_header, arrays=[sanctions(F.col("issuer_name"), "issuer"), sanctions(F.col("customer_name"), "customer")]),
         emit(lines, line_math() + [vat_rate_plausible(F.col("vat_rate"), F.col("description"))]),
         line_sum(headers, lines),
         rounded_amounts(headers, lines),
@@ -462,6 +490,7 @@ def contract_findings(contracts: DataFrame) -> DataFrame:
     return emit(contracts, [contract_dates(c("effective_date"), c("expiry_date"), "validation")]
                 + completeness(c("termination_terms"), c("governing_law"), c("penalty"), c("total_value"), c("currency"), c("confidentiality_clause"))
                 + [proportionality(c("penalty"), c("total_value"), c("currency")), contract_dates(c("effective_date"), c("expiry_date"))]
+                + masked("check_02_tax_cdv", party_tax_ids([(c("party_a"), c("party_a_tax_id")), (c("party_b"), c("party_b_tax_id"))]))
                 + [risk_country(c("party_a_tax_id"), c("party_a"), 200), risk_country(c("party_b_tax_id"), c("party_b"), 201)],
                 arrays=[sanctions(c("party_a"), "party"), sanctions(c("party_b"), "party")])
 

@@ -242,6 +242,15 @@ def _(t):
     return candidates.already_found(t.v_candidate.select("package_id", "file_name"), found)
 
 
+@query("known_findings", """
+with f as (select *, case when rule_ord = 2 then null else file_name end as a from {v_finding}), k as (select distinct package_id, file_name from {v_candidate})
+select k.package_id, k.file_name, severity, description, 'document' as scope from k join f on f.package_id = k.package_id and f.a = k.file_name
+union all select k.package_id, k.file_name, severity, description, 'package' from k join f on f.package_id = k.package_id where f.a is null""")
+def _(t):
+    found = t.v_finding.withColumn("affected_document", F.when(c("rule_ord") != 2, c("file_name")))
+    return candidates.known_findings(t.v_candidate, found)
+
+
 @query("candidates", """
 select package_id, doc_id, description, case when severity in ('high', 'medium', 'low') then severity else 'medium' end as severity, coalesce(affected_document, file_name) as affected_document, 'llm_analysis' as kind
 from {v_candidate} where doc_id % 9 <> 0""")

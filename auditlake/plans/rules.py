@@ -82,6 +82,36 @@ def _(t):
     return rules.emit(t.v_invoice, rules.masked("check_02_tax_cdv", rules.invoice_tax_ids())).select(*SHORT)
 
 
+PARTIES_SQL = """select package_id, doc_id, case doc_id % 5 when 0 then 'contract' when 1 then 'delivery_note' when 2 then 'purchase_order' when 3 then 'other' else 'financial_report' end as doc_type,
+  case when doc_id % 2 = 0 then 'hu' else 'en' end as language, party_a, party_b, party_a_tax_id, case when doc_id % 4 = 0 then '12345675-2-41' else party_b_tax_id end as party_b_tax_id from {v_contract}"""
+
+
+@query("rule_tax_parties", "with p as (" + PARTIES_SQL + ") " + union([
+    f"select package_id, doc_id, 'high' as severity, 'Party tax ID check digit invalid: ' || coalesce({p}, 'unknown') || ' (' || {p}_tax_id || ')' as description from p "
+    f"where language = 'hu' and doc_type <> 'financial_report' and not {empty(p + '_tax_id')} and not coalesce({TAX_SQL.format(c=p + '_tax_id')}, true)" for p in ("party_a", "party_b")]))
+def _(t):
+    named = [(c(p), c(f"{p}_tax_id")) for p in ("party_a", "party_b")]
+    return rules.emit(t.sql(PARTIES_SQL), rules.masked("check_02_tax_cdv", rules.party_tax_ids(named))).select("package_id", "doc_id", "severity", "description")
+
+
+SCREENED = [("issuer", "issuer_name", "v_invoice"), ("customer", "customer_name", "v_invoice"), ("party", "party_a", "v_contract"), ("party", "party_b", "v_contract")]
+
+
+def screened_sql() -> str:
+    shown = "case when doc_id % 40 = 0 then 'JSC vtb bank and ROSNEFT' when doc_id % 40 = 1 then 'bank' else {name} end"
+    return " union all ".join(f"select package_id, doc_id, '{source}' as source, {shown.format(name=name)} as name from {{{view}}}" for source, name, view in SCREENED)
+
+
+@query("screen_parties", "with p as (" + screened_sql() + "), e as (select unnest(" + "[" + ", ".join(f"struct_pack(name := '{e}', country := '{k}')" for e, k in K.SANCTIONED_ENTITIES) + "], recursive := true)) " + """
+select package_id, doc_id, 'Sanctions list match: ' || p.name || ' ~ ' || e.name || ' (' || country || ')' as description, source from p join e
+on p.name <> '' and (contains(lower(p.name), lower(e.name)) or contains(lower(e.name), lower(p.name)))""")
+def _(t):
+    """Issuers, customers and contract parties against a list that is a table."""
+    entities = t.spark.createDataFrame([(e, k) for e, k in K.SANCTIONED_ENTITIES], "name string, country string")
+    found = rules.screen_parties(t.sql(screened_sql()), entities)
+    return found.select("package_id", "doc_id", "description", F.regexp_extract("rationale", r"' \((issuer|customer|party)\) matches", 1).alias("source"))
+
+
 @query("rule_completeness", union([
     f"select package_id, doc_id, regulation, severity, description from (select *, '{reg}' as regulation, '{sev}' as severity, '{d}' as description from {{v_contract}}) where {w}"
     for w, sev, d, reg in [

@@ -48,13 +48,9 @@ def merge_stream(updates: DataFrame, key: list[str], ord_col: str, fields: list[
     spark = updates.sparkSession
     base = shared_dir(spark, name)
 
-    def usable(df: DataFrame, f: str):
-        c = F.col(f)
-        return c.isNotNull() & (c != ("" if df.schema[f].dataType.typeName() == "string" else 0))
-
     def apply(batch: DataFrame, epoch: int) -> None:
         latest = batch.groupBy(*key).agg(*[
-            F.max(F.when(usable(batch, f), F.struct(F.col(ord_col).alias("o"), F.col(f).alias("v")))).alias(f) for f in fields])
+            F.max(F.when(duplicates.usable(batch, f), F.struct(F.col(ord_col).alias("o"), F.col(f).alias("v")))).alias(f) for f in fields])
         latest.write.mode("overwrite").parquet(f"{base}/parts/epoch={epoch}")
 
     updates.writeStream.foreachBatch(apply).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()

@@ -151,7 +151,7 @@ def test_sink_round_trip(spark, tmp_path):
 
 def test_report_assembly(spark):
     docs = spark.createDataFrame([("p", "a", "invoice"), ("p", "b", "contract")], "package_id string, file_name string, doc_type string")
-    found = spark.createDataFrame([("p", 1, "x", "HIGH", 1, 1), ("p", 2, "y", "odd", 1, 1)], "package_id string, doc_id int, description string, severity string, stage int, rule_ord int")
+    found = spark.createDataFrame([("p", 1, "x", "HIGH", 1, 1, "domain_rule"), ("p", 2, "y", "odd", 1, 1, "domain_rule")], "package_id string, doc_id int, description string, severity string, stage int, rule_ord int, kind string")
     runs = spark.createDataFrame([("p", 0.0, 10.0)], "package_id string, started double, finished double")
     import json
     out = json.loads(report.assemble(docs, found, runs).first().report)
