@@ -120,18 +120,21 @@ RULES = list(
 LEVELS = 3
 #: A text with none of these goes no further: one of them stands in whatever a rule or a base phrase can match.
 _SIGNS = ["licen", "spdx", "permission", "redistribution", "unencumbered", "domain", "misrepresented", "reserved", "creativecommons", "proprietary", "confidential", "terms"]
-_CC = r"(?i)cc[\x00-/:-@\[-`{-\x7F]+by"
+_CC = r"cc[\x00-/:-@\[-`{-\x7F]+by"
 
 
-def gate(text: Column) -> Column:
-    low = F.lower(text)
+def gate(low: Column) -> Column:
+    """Whether a text may hold anything; ``low``: the text in lower case, as a column of its own, for it is looked at many times."""
     any_of = lambda words: reduce(or_, [F.contains(low, F.lit(w)) for w in words])
     names = sorted({k.split(" ")[0] for _, k, _, _ in _FAMILIES})
-    return any_of(_SIGNS) | (F.contains(low, F.lit("under")) & any_of(names)) | (F.contains(low, F.lit(" by")) & any_of(names)) | (F.contains(low, F.lit("cc")) & text.rlike(_CC))
+    return any_of(_SIGNS) | ((F.contains(low, F.lit("under")) | F.contains(low, F.lit(" by"))) & any_of(names)) | (F.contains(low, F.lit("cc")) & low.rlike(_CC))
 
 
 def n_words(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(r"[^\x00-/:-@\[-`{-\x7F]+")).cast("long")
+    """Words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z in lower case: the pieces between the other characters, but for empty ones at the ends."""
+    pieces = F.split(text, r"[\x00-/:-@\[-`{-\x7F]+", -1)
+    first, last = (lambda p: F.get(p, F.lit(0)) == ""), (lambda p: (F.size(p) > 1) & (F.element_at(p, -1) == ""))
+    return F.get(F.transform(F.array(pieces), lambda p: F.size(p) - first(p).cast("int") - last(p).cast("int")), F.lit(0)).cast("long")
 
 
 def folded(text: Column) -> Column:
@@ -181,7 +184,8 @@ def scan(docs: DataFrame) -> DataFrame:
     A null text is empty: no words, nothing found. A null ``doc_id`` stays, repeated rows stay; an empty table gives no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.select("doc_id", n_words(F.col("text")).alias("n_words"), F.when(gate(F.col("text")), folded(F.col("text"))).alias("norm"))
+    rows = rows.withColumn("low", F.lower("text"))
+    rows = rows.select("doc_id", n_words(F.col("text")).alias("n_words"), F.when(gate(F.col("low")), folded(F.col("text"))).alias("norm"))
     norm, groups = F.col("norm"), {}
     for i, (priority, score, label, keyword, regex) in enumerate(RULES):
         groups.setdefault(keyword, []).append(F.struct(F.lit(priority).alias("priority"), F.lit(score).alias("score"), F.lit(i).alias("rule"), F.lit(label).alias("label"), F.lit(_whole(regex)).alias("regex")))
