@@ -19,17 +19,19 @@ from auditlake.llm.common import fold
 #: Base phrases and their labels.
 BASE = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
 
-# (label, keyword, name in running text, identifier), each as folded words
+# (label, keyword, name in running text, identifier), each as folded words; a name holds its keyword at the start of a word
 _FAMILIES = [
     ("mit", "mit", "(?:mit|mit expat|mit x11)", "mit"),
     ("mit", "expat", "expat", "mit"),
     ("mit-0", "mit", "mit no attribution", "mit 0"),
     ("apache-2", "apache", "apache(?: software)?(?: license)?(?: version| v)? ?2(?: 0)?", "apache 2 0"),
     ("apache-1-1", "apache", "apache(?: software)?(?: license)?(?: version)? 1 1", "apache 1 1"),
-    ("bsd-2-clause", "bsd", "(?:simplified bsd|freebsd|bsd 2 clause|2 clause bsd|two clause bsd)", "bsd 2 clause"),
+    ("bsd-2-clause", "bsd", "(?:simplified bsd|bsd 2 clause|2 clause bsd|two clause bsd)", "bsd 2 clause"),
+    ("bsd-2-clause", "freebsd", "freebsd", "bsd 2 clause"),
     ("bsd-3-clause", "bsd", "(?:new bsd|modified bsd|revised bsd|bsd 3 clause|3 clause bsd|three clause bsd)", "bsd 3 clause"),
     ("bsd-4-clause", "bsd", "(?:original bsd|bsd 4 clause|4 clause bsd)", "bsd 4 clause"),
-    ("0bsd", "bsd", "(?:zero clause bsd|bsd zero clause|0bsd)", "0bsd"),
+    ("0bsd", "bsd", "(?:zero clause bsd|bsd zero clause)", "0bsd"),
+    ("0bsd", "0bsd", "0bsd", "0bsd"),
     ("gpl-2", "gpl", "(?:gnu )?gpl(?: version| v)? ?2(?: 0)?", "gpl 2 0"),
     ("gpl-2", "general public", "(?:gnu )?general public license(?: version| v)? ?2(?: 0)?", "gpl 2 0"),
     ("gpl-3", "gpl", "(?:gnu )?gpl(?: version| v)? ?3(?: 0)?", "gpl 3 0"),
@@ -40,7 +42,8 @@ _FAMILIES = [
     ("lgpl-3", "lesser general", "(?:gnu )?lesser general public license(?: version| v)? ?3(?: 0)?", "lgpl 3 0"),
     ("agpl-3", "agpl", "(?:gnu )?agpl(?: version| v)? ?3(?: 0)?", "agpl 3 0"),
     ("agpl-3", "affero", "(?:gnu )?affero general public license(?: version| v)? ?3(?: 0)?", "agpl 3 0"),
-    ("gfdl-1-3", "fdl", "(?:gnu )?g?fdl(?: version| v)? ?1 3", "gfdl 1 3"),
+    ("gfdl-1-3", "fdl", "(?:gnu )?fdl(?: version| v)? ?1 3", "gfdl 1 3"),
+    ("gfdl-1-3", "gfdl", "(?:gnu )?gfdl(?: version| v)? ?1 3", "gfdl 1 3"),
     ("mpl-1-1", "mpl", "mpl(?: version| v)? ?1 1", "mpl 1 1"),
     ("mpl-1-1", "mozilla", "mozilla public license(?: version| v)? ?1 1", "mpl 1 1"),
     ("mpl-2", "mpl", "mpl(?: version| v)? ?2(?: 0)?", "mpl 2 0"),
@@ -159,8 +162,12 @@ def _spans(text: Column, rule: Column) -> Column:
         one = F.struct(start.alias("start"), (-end).alias("minus_end"), rule["priority"].alias("priority"), rule["rule"].alias("rule"), rule["label"].alias("label"), rule["score"].alias("score"))
         return F.struct(end.alias("at"), F.concat(state["out"], F.array(one)).alias("out"))
 
-    pairs = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
-    return F.aggregate(pairs, begin, step, lambda s: s["out"])
+    def placed(m: Column) -> Column:
+        pairs = F.zip_with(m, F.slice(gaps, F.lit(1), F.size(m)), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
+        return F.when(F.size(m) > 0, F.aggregate(pairs, begin, step, lambda s: s["out"]))
+
+    # the matches are made once; the text is cut at them only where there are any
+    return F.coalesce(F.get(F.transform(F.array(found), placed), F.lit(0)), begin["out"])
 
 
 def _resolved(found: Column) -> Column:
@@ -186,12 +193,13 @@ def scan(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("low", F.lower("text"))
     rows = rows.select("doc_id", n_words(F.col("text")).alias("n_words"), F.when(gate(F.col("low")), folded(F.col("text"))).alias("norm"))
-    norm, groups = F.col("norm"), {}
+    rows = rows.withColumn("padded", F.concat(F.lit(" "), "norm"))
+    norm, padded, groups = F.col("norm"), F.col("padded"), {}
     for i, (priority, score, label, keyword, regex) in enumerate(RULES):
         groups.setdefault(keyword, []).append(F.struct(F.lit(priority).alias("priority"), F.lit(score).alias("score"), F.lit(i).alias("rule"), F.lit(label).alias("label"), F.lit(_whole(regex)).alias("regex")))
-    rules = F.array(*[F.struct(F.lit(keyword).alias("keyword"), F.array(*own).alias("rules")) for keyword, own in groups.items()])
+    rules = F.array(*[F.struct(F.lit(" " + keyword).alias("keyword"), F.array(*own).alias("rules")) for keyword, own in groups.items()])
     none = F.array().cast("array<struct<priority:int,score:double,rule:int,label:string,regex:string>>")
-    live = F.flatten(F.transform(F.filter(rules, lambda g: F.contains(norm, g["keyword"])), lambda g: g["rules"]))
+    live = F.flatten(F.transform(F.filter(rules, lambda g: F.contains(padded, g["keyword"])), lambda g: g["rules"]))
     rows = rows.withColumn("live", F.when(norm.isNull(), none).otherwise(live))
     found = F.sort_array(F.flatten(F.transform("live", lambda r: _spans(norm, r))))
     return rows.select("doc_id", "n_words", _base(norm).alias("base"), _resolved(found).alias("found"))
