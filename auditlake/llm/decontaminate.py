@@ -5,7 +5,8 @@ ids, the preceding words in a wavelet matrix, sampled suffix positions) and sear
 backward search. Found rows are walked back to a sampled position, which gives the word at which the window starts;
 the windows' spans are merged into removal spans. Documents are neither shuffled nor gathered; the benchmark's
 distinct windows travel in blocks of bounded size, as many as it takes, so a benchmark of any size can be searched.
-A text that occurs often in a shard is indexed once. A document longer than a shard is indexed in overlapping pieces.
+A text that occurs often in a shard is indexed once. A document longer than a shard is cut into overlapping pieces as
+it is read; its spans and items are carried from shard to shard, so no shard grows with a document.
 """
 
 from __future__ import annotations
@@ -23,7 +24,12 @@ from auditlake.session import materialise
 WINDOW = 10
 #: Words per shard; ranks and positions of a shard are packed into one 64-bit number to be sorted.
 SHARD_WORDS = 1 << 19
+#: Most words of a piece, and of a shard before its last piece: both together fit ``MOST_SYMBOLS``.
 MOST_WORDS = 1 << 20
+#: Two ranks and a position of so many symbols fill 63 bits.
+MOST_SYMBOLS = 1 << 21
+#: Characters of a text that are cut into words at once.
+SLICE = 1 << 20
 #: Every so many words a suffix position is kept.
 SAMPLE = 16
 #: Windows per block that is sent to the executors.
@@ -38,6 +44,28 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").translate(_FOLD).split()
 
 
+def pieces_of(text: str, most: int, width: int) -> Iterator[tuple[int, list[bytes]]]:
+    """A text's words in pieces of ``most`` words at most, each with the number of its first word.
+
+    A piece starts a window's length before the end of the one before it, less one word. A text without words has none.
+    """
+    words, tail, first = [], [], 0
+    for at in range(0, len(text), SLICE):
+        part = text[at : at + SLICE].encode("utf-8", "replace").translate(_FOLD)
+        # a word that goes on in the next slice waits for its end
+        cut = part.rfind(b" ") if at + SLICE < len(text) else len(part)
+        if cut < 0:
+            tail.append(part)
+            continue
+        words += b"".join([*tail, part[:cut]]).split()
+        tail = [part[cut:]]
+        while len(words) > most:
+            yield first, words[:most]
+            words, first = words[most - width + 1 :], first + most - width + 1
+    if words:
+        yield first, words
+
+
 class Wavelet:
     """Ranks of symbols in a sequence: one bit vector with counts per 64 positions for each bit of a symbol, highest first."""
 
@@ -75,6 +103,8 @@ class Wavelet:
 def suffix_order(seq: np.ndarray) -> np.ndarray:
     """Start positions of the suffixes in order; symbol 0 ends a document, and of two such ends the earlier is the smaller."""
     n = len(seq)
+    if n > MOST_SYMBOLS:
+        raise ValueError(f"{n} symbols are more than the {MOST_SYMBOLS} whose ranks and positions fit 64 bits")
     bits = max(1, (n - 1).bit_length())
     low = np.int64((1 << bits) - 1)
     key = (seq.astype(np.int64) << bits) | np.arange(n)
@@ -252,6 +282,24 @@ def merge(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(starts[new].tolist(), reach[last].tolist()))
 
 
+class Judged:
+    """What is known of a text so far: its words, merged removal spans in order, items."""
+
+    def __init__(self):
+        self.words, self.spans, self.items = 0, [], set()
+
+    def take(self, starts: np.ndarray, ends: np.ndarray, items: list[int]) -> None:
+        """Adds what a piece gives; pieces come in order and overlap, so spans at the border may belong together."""
+        got, back = merge(starts, ends), []
+        while got and self.spans and self.spans[-1][1] >= got[0][0]:
+            back.append(self.spans.pop())
+        if back:
+            starts, ends = np.array(sorted(back + got)).T
+            got = merge(starts, ends)
+        self.spans += got
+        self.items.update(items)
+
+
 SCHEMA = "doc_id long, n_words long, spans array<struct<start:long,end:long>>, items array<long>"
 
 
@@ -271,38 +319,36 @@ def clean(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, shard_word
 
 def _found(docs: DataFrame, benchmark: DataFrame, width: int, shard_words: int, keep: bool) -> DataFrame:
     sent = blocks(benchmark, width)
-    step = min(shard_words, MOST_WORDS) - 1
+    most = min(shard_words, MOST_WORDS)
+    step = max(width, most - 1)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
-    def judged(pending: list, shard: Shard) -> list[tuple]:
-        found = shard.search(sent) if shard.words else []
-        out = []
-        for n_words, pieces in pending:
-            if len(pieces) == 1:
-                starts, ends, items = found[pieces[0][0]]
-            else:
-                starts = np.concatenate([np.empty(0, np.int64), *[found[p][0] + s for p, s in pieces]])
-                ends = np.concatenate([np.empty(0, np.int64), *[found[p][1] + s for p, s in pieces]])
-                items = sorted({i for p, _ in pieces for i in found[p][2]})
-            out.append((n_words, merge(starts, ends), items))
-        return out
-
-    def answer(rows: pa.RecordBatch, out: list[tuple]) -> pa.RecordBatch:
+    def answer(rows: pa.RecordBatch, out: list[Judged]) -> pa.RecordBatch:
         if keep:
-            return rows.filter(pa.array([not spans for _, spans, _ in out], pa.bool_()))
+            return rows.filter(pa.array([not j.spans for j in out], pa.bool_()))
         return pa.RecordBatch.from_arrays(
-            [rows.column(0), pa.array([n for n, _, _ in out], pa.int64()), pa.array([[{"start": a, "end": b} for a, b in s] for _, s, _ in out], kind), pa.array([i for _, _, i in out], pa.list_(pa.int64()))],
+            [rows.column(0), pa.array([j.words for j in out], pa.int64()), pa.array([[{"start": a, "end": b} for a, b in j.spans] for j in out], kind), pa.array([sorted(j.items) for j in out], pa.list_(pa.int64()))],
             ["doc_id", "n_words", "spans", "items"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, pending, held, seen = Shard(), [], [], {}
-
-        def flush():
-            out, done = judged(pending, shard), 0
+        # ``added``: for each text of the shard what it belongs to and its first word; ``pending``: for each row of ``held``
+        shard, added, pending, held, seen = Shard(), [], [], [], {}
+
+        def search():
+            nonlocal shard, added, seen
+            if added:
+                for (judged, first), (starts, ends, items) in zip(added, shard.search(sent)):
+                    judged.take(starts + first, ends + first, items)
+            shard, added, seen = Shard(), [], {}
+
+        def answers():
+            nonlocal pending, held
+            done = 0
             for rows in held:
-                yield answer(rows, out[done : done + rows.num_rows])
+                yield answer(rows, pending[done : done + rows.num_rows])
                 done += rows.num_rows
+            pending, held = [], []
 
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text"))
@@ -311,20 +357,30 @@ def _found(docs: DataFrame, benchmark: DataFrame, width: int, shard_words: int,
                 text = texts[i].as_py() or ""
                 got = seen.get(text)
                 if got is None:
-                    words = words_of(text)
-                    # a piece starts a window's length before the end of the one before it, less one word
-                    cuts = range(0, max(1, len(words) - width + 1), step - width + 1) if words else ()
-                    got = seen[text] = (len(words), [(shard.add(words[s : s + step]), s) for s in cuts])
+                    got = Judged()
+                    for start, words in pieces_of(text, step, width):
+                        if shard.words >= most:
+                            # the text goes on in a new shard; the rows before it are done
+                            search()
+                            if first < i:
+                                held.append(batch.slice(first, i - first))
+                                first = i
+                            yield from answers()
+                        shard.add(words)
+                        added.append((got, start))
+                        got.words = start + len(words)
+                    seen[text] = got
                 pending.append(got)
-                if shard.words >= shard_words:
+                if shard.words >= most:
                     held.append(batch.slice(first, i + 1 - first))
                     first = i + 1
-                    yield from flush()
-                    shard, pending, held, seen = Shard(), [], [], {}
+                    search()
+                    yield from answers()
             if first < batch.num_rows:
                 held.append(batch.slice(first))
         if held:
-            yield from flush()
+            search()
+            yield from answers()
 
     if keep:
         return docs.mapInArrow(run, docs.schema)

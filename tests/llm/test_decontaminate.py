@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from auditlake.llm import decontaminate as dc
 from auditlake.llm.queries import QUERIES
@@ -78,6 +79,52 @@ def test_equals_brute_force(spark):
     assert {r.doc_id for r in kept.collect()} == {d for d, v in brute(docs, items).items() if not v[4]}
 
 
+def test_suffix_order_refuses_what_does_not_fit():
+    with pytest.raises(ValueError):
+        dc.suffix_order(np.zeros(dc.MOST_SYMBOLS + 1, dtype=np.int32))
+
+
+def test_pieces(monkeypatch):
+    monkeypatch.setattr(dc, "SLICE", 7)
+    r = random.Random(6)
+    for n in (0, 1, 11, 12, 13, 14, 15, 16, 90):
+        text = " " * (n % 3) + " ".join(r.choice(["a", "Bc", "é日本", "longer-than", "x" * 20]) for _ in range(n))
+        words, pieces = dc.words_of(text), list(dc.pieces_of(text, 12, 5))
+        assert all(p == words[s : s + 12] for s, p in pieces) and [s for s, _ in pieces] == list(range(0, max(1, len(words) - 4) if words else 0, 8))
+
+
+def test_short_items_at_piece_borders(spark):
+    """Pieces of 63 words start 54 words apart: the short item is in the first, the one around it only in the second."""
+    filler = lambda n: ["w"] * n
+    docs = []
+    for at in range(40, 70):
+        docs.append((at, " ".join(filler(at) + [f"a{k}" for k in range(9)] + filler(80))))
+        docs.append((100 + at, " ".join(filler(at) + ["a4", "a5", "w", "a4", "a5"] + filler(80))))
+    items = [(1, " ".join(f"a{k}" for k in range(9))), (2, "a4 a5")]
+    got = dc.occurrences(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), spark.createDataFrame(items, "item_id long, text string"), shard_words=64).collect()
+    assert [r.doc_id for r in got] == [d for d, _ in docs]
+    for r in got:
+        at = r.doc_id % 100
+        assert [tuple(s) for s in r.spans] == ([(at, at + 9)] if r.doc_id < 100 else [(at, at + 2), (at + 3, at + 5)])
+        assert r.items == ([1, 2] if r.doc_id < 100 else [2])
+
+
+def test_document_of_more_words_than_an_order_can_hold(spark):
+    n, step = dc.MOST_SYMBOLS + 70_000, dc.SHARD_WORDS - 1
+    r = np.random.default_rng(8)
+    words = np.array([f"w{i}" for i in range(3000)])[r.integers(0, 3000, n)].tolist()
+    item, want = [f"leak{k}" for k in range(14)], []
+    for at in (0, 900, *(k * (step - dc.WINDOW + 1) + d for k in (1, 2, 3, 4) for d in (-30, -3, 20)), n - 14):
+        words[at : at + 14] = item
+        want.append((at, at + 14))
+    docs = [(1, "w1 " * 400_000), (2, " ".join(words)), (3, "w2 w3"), (4, " ".join(item[2:13]))]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame([(7, " ".join(item)), (8, "w1 " * 30 + "none")], "item_id long, text string")
+    got = {x.doc_id: (x.n_words, [tuple(s) for s in x.spans], x.items) for x in dc.occurrences(frame, bench).collect()}
+    assert got == {1: (400_000, [(0, 400_000)], [8]), 2: (n, want, [7]), 3: (2, [], []), 4: (11, [(0, 11)], [7])}
+    assert [x.doc_id for x in dc.clean(frame, bench).select("doc_id").collect()] == [3]
+
+
 def test_blocks_and_empty_tables(spark, monkeypatch):
     docs, items = fixture()
     bench = spark.createDataFrame(items, "item_id long, text string")
