@@ -3,7 +3,9 @@
 The guess cost of a value is the least sum, over all ways of cutting it into pieces, of the pieces' costs in powers of
 ten: common words by rank, dates, repeats, walks over the keyboard or the alphabet, and single characters that have to
 be tried. It is found by dynamic programming over the value's length. A value that is expensive to guess is a secret
-even where no base pattern knows its form; one made of words and dates is a placeholder.
+even where no base pattern knows its form; one made of words and dates is a placeholder. What is a word says a list of
+at most 25,100: about 110 of passwords and placeholders, then ``words.txt``, 25,000 words and parts of words of 3 to 20
+letters in the order in which the byte-pair vocabulary ``byte_bpe_50k`` learned them, which is about that of their use.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 from math import log10
+from pkgutil import get_data
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,7 +44,7 @@ secret test user root pass guest changeme default example sample demo temp dummy
 love money happy summer winter spring autumn monday friday january june july august december house home world office company computer
 internet server system service access account private public service data base database mail email name word phrase code
 """.split()
-RANK = {w: i + 1 for i, w in reversed(list(enumerate(WORDS)))}
+RANK = {w: i + 1 for i, w in reversed(list(enumerate([*WORDS, *get_data(__package__, "words.txt").decode().split()])))}
 LONGEST = max(map(len, RANK))
 LEET = str.maketrans({"@": "a", "4": "a", "0": "o", "1": "l", "3": "e", "5": "s", "7": "t", "$": "s", "!": "i"})
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
@@ -62,32 +65,46 @@ def _near() -> set[str]:
 NEAR = _near()
 
 
+@lru_cache(maxsize=16)
+def _runs(value: str) -> tuple[str, str, list[int], list[list[int]]]:
+    """The value in lower case and without leet; where a walk from each character ends; for each size of a unit, how far its repeats go."""
+    low, n = value.lower(), len(value)
+    walk = list(range(1, n + 1))
+    for i in range(min(n, len(low)) - 2, -1, -1):
+        if low[i : i + 2] in NEAR:
+            walk[i] = walk[i + 1]
+    repeats = []
+    for size in range(1, min(8, n // 2) + 1):
+        same = [0] * (n + 1)
+        for i in range(n - size - 1, -1, -1):
+            if value[i] == value[i + size]:
+                same[i] = same[i + 1] + 1
+        repeats.append([i + size * (1 + k // size) for i, k in enumerate(same)])
+    return low, low.translate(LEET), walk, repeats
+
+
 def _pieces(value: str, start: int) -> Iterator[tuple[int, float, str]]:
     """(end, cost, kind) of the pieces that may start there, other than a single character."""
-    low = value.lower()
+    low, leet, walk, repeats = _runs(value)
     for end in range(start + 3, min(len(value), start + LONGEST) + 1):
-        word = low[start:end]
+        word = plain = low[start:end]
         rank = RANK.get(word)
-        changed = sum(c.isupper() for c in value[start:end])
         if rank is None:
-            plain = word.translate(LEET)
-            rank, changed = RANK.get(plain), changed + sum(a != b for a, b in zip(plain, word))
+            plain = leet[start:end]
+            rank = RANK.get(plain)
         if rank:
+            changed = sum(c.isupper() for c in value[start:end]) + sum(a != b for a, b in zip(plain, word))
             yield end, log10(rank + 1) + 0.3 * changed, "word"
     m = DATE.match(value, start)
     if m:
         yield m.end(), YEAR_COST if m.end() - start == 4 else DATE_COST, "date"
         if m.end() - start > 4 and value[start : start + 2] in ("19", "20"):
             yield start + 4, YEAR_COST, "date"
-    end = start + 1
-    while end < len(low) and low[end - 1 : end + 1] in NEAR:
-        end += 1
+    end = walk[start]
     if end - start >= 3:
         yield end, WALK_COST + log10(end - start), "walk"
-    for size in range(1, min(8, (len(value) - start) // 2) + 1):
-        unit, end = value[start : start + size], start + size
-        while value.startswith(unit, end):
-            end += size
+    for size, ends in enumerate(repeats[: (len(value) - start) // 2], 1):
+        end = ends[start]
         if end - start >= max(3, 2 * size):
             yield end, BRUTE * size + log10((end - start) / size), "repeat"
 
@@ -128,7 +145,7 @@ def base_spans(text: str, low: str) -> list[tuple[int, int, str]]:
 
 
 def find(text: str) -> list[tuple[str, int, int, float | None]]:
-    """All spans, (kind, start, end, guess cost) by start, then kind; base spans have no cost. A guessed value within a base span is not given again."""
+    """All spans, (kind, start, end, guess cost) by start, then kind; base spans have no cost. A guessed value that a base span holds whole is not given again."""
     low = text.lower()
     out = base_spans(text, low)
     if any(s in low for s in _CONTEXT_SIGNS):
@@ -137,10 +154,10 @@ def find(text: str) -> list[tuple[str, int, int, float | None]]:
             start, end = m.span(1)
             while end > start and text[end - 1] in ".:!?)]}":
                 end -= 1
-            if end - start < LEAST_VALUE or any(a < end and start < b for a, b in taken):
+            if end - start < LEAST_VALUE or any(a <= start and end <= b for a, b in taken):
                 continue
             cost = guess_cost(text[start:end])
-            if cost >= LEAST_COST and re.search(r"[^A-Za-z]", text[start:end]):
+            if cost >= LEAST_COST:
                 out.append((start, end, "guess", cost))
     return [(s[2], s[0], s[1], s[3] if len(s) > 3 else None) for s in sorted(out, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))]
 

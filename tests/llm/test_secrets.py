@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from auditlake.llm import secrets
 from auditlake.llm.queries import QUERIES
@@ -66,6 +67,28 @@ def test_context_values():
     assert [s[0] for s in secrets.find("password=xK9mQ2vL7pd")] == ["assign"]
 
 
+def test_letters_only_and_values_that_overlap_base_spans():
+    for text, value in (("client_key=qXvBnMzLpTrWkJhG", "qXvBnMzLpTrWkJhG"), ("pwd: KdmQzRvTpLxWn", "KdmQzRvTpLxWn")):
+        assert secrets.find(text) == [("guess", text.index(value), len(text), secrets.guess_cost(value))]
+    found = secrets.find("password=Tr0ub4dor&3xK9#mQ")
+    assert [s[:3] for s in found] == [("assign", 0, 18), ("guess", 9, 26)]
+    assert [s[0] for s in secrets.find("password=Tr0ub4dorX3xK9.")] == ["assign"]
+
+
+def test_ordinary_words_are_cheap():
+    for word in ("responsibilities", "encryption", "authentication", "Documentation", "international", "management", "representation", "required"):
+        assert secrets.guess_cost(word) < secrets.LEAST_COST and secrets.find(f"the token {word} of it") == []
+    assert 20_000 < len(secrets.RANK) <= 25_200 and all(3 <= len(w) <= 20 or w in secrets.WORDS for w in secrets.RANK)
+
+
+def test_long_values_take_linear_time():
+    for unit in ("a", "ab", "abcdefgh", "Xk9#mQ2v"):
+        value = (unit * 60_000)[:60_000]
+        begin = time.time()
+        secrets.find("pwd: " + value)
+        assert time.time() - begin < 20
+
+
 def test_rows(spark):
     texts = fixture()
     frame = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)] + [(None, "pwd: aaa", "s")] * 2, "doc_id long, text string, spans string")
