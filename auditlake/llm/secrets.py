@@ -11,8 +11,10 @@ letters in the order in which the byte-pair vocabulary ``byte_bpe_50k`` learned
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 from math import log10
 from pkgutil import get_data
 
@@ -30,10 +32,13 @@ LEAST_VALUE, LEAST_COST = 8, 9.0
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
+# A context word starts a word, also one that a change of case starts; longer names come first. What stands behind the
+# match is the value. The separator is a sign, `` is`` with or without a sign, or (group ``bare``) a space alone.
 CONTEXT = re.compile(
-    r"""(?<![a-z])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|(?:api|access|private|client|secret|account)[_-]?(?:key|secret|token)|auth(?:orization|[_-]?token)?|bearer|login)[\]"']?[\x20\t]*(?::=|=>|->|[:=]|\x20is\x20|\x20)[\x20\t]*["'`]?([^\s"'`<>,;]+)""",
+    r"""(?-i:(?<![A-Za-z])|(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z]))(?:(?:api|access|private|client|secret|account|auth)[\x20_-]?(?:key|secret|token)|pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|auth(?:orization)?|bearer|login)[\]"']?(?:[\x20\t]*(?::=|=>|->|[:=])|[\x20\t]*\x20is(?:[\x20\t]*[:=]|\x20)|(?P<bare>[\x20\t]*\x20))[\x20\t]*["'`]?(?=[^\s"'`<>,;])""",
     re.I | re.A,
 )
+VALUE = re.compile(r"""[^\s"'`<>,;]+""", re.A)
 _CONTEXT_SIGNS = ("pass", "pwd", "secret", "token", "credential", "key", "auth", "bearer", "login")
 _ASSIGN_SIGNS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
@@ -129,9 +134,18 @@ def segments(value: str) -> tuple[float, list[tuple[int, int, str]]]:
     return best[-1], out[::-1]
 
 
+@lru_cache(maxsize=16)
+def suffix_costs(value: str) -> list[float]:
+    """The guess cost of the value from each of its characters on."""
+    best = [0.0] * (len(value) + 1)
+    for start in range(len(value) - 1, -1, -1):
+        best[start] = min([BRUTE + best[start + 1], *[cost + PIECE_COST + best[end] for end, cost, _ in _pieces(value, start)]])
+    return best
+
+
 @lru_cache(maxsize=100_000)
 def guess_cost(value: str) -> float:
-    return segments(value)[0]
+    return suffix_costs(value)[0]
 
 
 def base_spans(text: str, low: str) -> list[tuple[int, int, str]]:
@@ -144,21 +158,40 @@ def base_spans(text: str, low: str) -> list[tuple[int, int, str]]:
     return out + [(*m.span(), "hex") for m in HEX.finditer(text)]
 
 
+def _guessed(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int, str, float]]:
+    """Values in a context that cost enough and that no span of ``taken`` (in order) holds whole.
+
+    A value that is dropped may itself hold the next context, so the search goes on at its start; a value behind a bare
+    space also gives way to a context with a sign in it, if what stands before that is cheap (``login my_token=...``).
+    """
+    begins, reach = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
+    first = stop = end = 0
+    m = CONTEXT.search(text)
+    while m:
+        start = m.end()
+        if start >= stop:
+            # not within the value that was looked at last
+            first, stop = start, VALUE.match(text, start).end()
+            end = stop
+            while end > start and text[end - 1] in ".:!?)]}":
+                end -= 1
+        at = bisect_right(begins, start)
+        held = at > 0 and reach[at - 1] >= end
+        cost = (guess_cost(text[first:end]) if start == first else suffix_costs(text[first:end])[start - first]) if end - start >= LEAST_VALUE and not held else 0.0
+        following = CONTEXT.search(text, start)
+        inner = following and m["bare"] and following.start() < stop and not following["bare"]
+        if cost >= LEAST_COST and not (inner and guess_cost(text[start : following.start()]) < LEAST_COST):
+            yield start, end, "guess", cost
+            following = CONTEXT.search(text, stop)
+        m = following
+
+
 def find(text: str) -> list[tuple[str, int, int, float | None]]:
     """All spans, (kind, start, end, guess cost) by start, then kind; base spans have no cost. A guessed value that a base span holds whole is not given again."""
     low = text.lower()
     out = base_spans(text, low)
     if any(s in low for s in _CONTEXT_SIGNS):
-        taken = sorted((a, b) for a, b, _ in out)
-        for m in CONTEXT.finditer(text):
-            start, end = m.span(1)
-            while end > start and text[end - 1] in ".:!?)]}":
-                end -= 1
-            if end - start < LEAST_VALUE or any(a <= start and end <= b for a, b in taken):
-                continue
-            cost = guess_cost(text[start:end])
-            if cost >= LEAST_COST:
-                out.append((start, end, "guess", cost))
+        out += _guessed(text, sorted((a, b) for a, b, _ in out))
     return [(s[2], s[0], s[1], s[3] if len(s) > 3 else None) for s in sorted(out, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))]
 
 

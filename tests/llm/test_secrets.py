@@ -81,6 +81,27 @@ def test_ordinary_words_are_cheap():
     assert 20_000 < len(secrets.RANK) <= 25_200 and all(3 <= len(w) <= 20 or w in secrets.WORDS for w in secrets.RANK)
 
 
+def test_context_words_in_a_row_and_names_with_spaces_or_changes_of_case():
+    value = "xK9#mQ2vL7pd"
+    names = ["secret token: ", "auth token: ", "login password: ", "password is: ", "secret token:", "API key: ", "access key: ", "private key: ", "api key ", "client secret = ", "pwd is ", "secret token is "]
+    names += ["dbPassword= ", "userToken=", "DBPassword: ", "db_password=", "login db_password=", "bearer token ", "secret token password: ", "passphrase => ", 'config[apiKey] = "']
+    for name in names:
+        found = [s for s in secrets.find(name + value) if s[0] == "guess"]
+        assert found == [("guess", len(name), len(name + value), secrets.guess_cost(value))], name
+    assert secrets.find("compass: " + value) == [] and secrets.find("the token: of the secret key: here") == []
+    assert [s[:3] for s in secrets.find(f"login {value}-token: x")] == [("guess", 6, 24)]
+    text = f"secret {value} token: {value[::-1]}, pass {value}"
+    assert [text[a:b] for kind, a, b, _ in secrets.find(text) if kind == "guess"] == [value, value[::-1], value]
+
+
+def test_costs_of_suffixes():
+    for value in ("password2019-04-01asdfghaaaaaa#%", "token:token:xK9#mQ2v", "P@ssw0rdabab", "é🙂x1999"):
+        assert secrets.suffix_costs(value)[:-1] == [secrets.guess_cost(value[i:]) for i in range(len(value))]
+    begin = time.time()
+    assert secrets.find("pwd=" * 20_000) == [] and secrets.find("secret " * 20_000) == []
+    assert time.time() - begin < 20
+
+
 def test_long_values_take_linear_time():
     for unit in ("a", "ab", "abcdefgh", "Xk9#mQ2v"):
         value = (unit * 60_000)[:60_000]
