@@ -130,7 +130,7 @@ def gate(low: Column) -> Column:
     """Whether a text may hold anything; ``low``: the text in lower case, as a column of its own, for it is looked at many times."""
     any_of = lambda words: reduce(or_, [F.contains(low, F.lit(w)) for w in words])
     names = sorted({k.split(" ")[0] for _, k, _, _ in _FAMILIES})
-    return any_of(_SIGNS) | ((F.contains(low, F.lit("under")) | F.contains(low, F.lit(" by"))) & any_of(names)) | (F.contains(low, F.lit("cc")) & low.rlike(_CC))
+    return any_of(_SIGNS) | ((F.contains(low, F.lit("under")) | F.contains(low, F.lit("by"))) & any_of(names)) | (F.contains(low, F.lit("cc")) & low.rlike(_CC))
 
 
 def n_words(text: Column) -> Column:

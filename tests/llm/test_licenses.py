@@ -59,6 +59,39 @@ def test_rules_are_ordered_and_gated(spark):
     assert all(not slow(r.text)[1] and not slow(r.text)[2] for r in gated)
 
 
+def shortest(regex):
+    """The shortest text of a rule's regex, by its parse tree: optional parts left out, first branches taken."""
+    from re import _constants as c, _parser
+
+    def text(items):
+        out = []
+        for op, arg in items:
+            if op is c.LITERAL:
+                out.append(chr(arg))
+            elif op is c.IN:
+                out.append(chr(arg[0][1] if arg[0][0] is c.LITERAL else arg[0][1][0]))
+            elif op is c.SUBPATTERN:
+                out.append(text(arg[3]))
+            elif op is c.BRANCH:
+                out.append(min((text(b) for b in arg[1]), key=lambda t: ("under" in t, len(t))))
+            elif op is c.MAX_REPEAT:
+                out.append(text(arg[2]) * arg[0])
+            else:
+                raise ValueError(op)
+        return "".join(out)
+
+    return text(_parser.parse(regex))
+
+
+def test_every_rule_passes_the_gate_with_any_separator(spark):
+    rules = [shortest(regex) for *_, regex in licenses.RULES]
+    assert all(re.fullmatch(r[4], t) for r, t in zip(licenses.RULES, rules)) and any(" by " in t and "under" not in t for t in rules)
+    texts = [t.replace(" ", by) for t in rules for by in ("\n", "\t", "-", "] (")] + ["this program is covered\nby the gnu gpl 3"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert frame.where(~licenses.gate(licenses.F.lower("text"))).collect() == []
+    assert [[d.label for d in r.found] for r in licenses.scan(frame.where(f"doc_id = {len(texts) - 1}")).collect()] == [["gpl-3"]]
+
+
 def test_query(spark):
     path = "/root/testdata/sf0.001"
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{path}/documents.parquet").collect()}
