@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import bpe, chat, decontaminate, licenses, lines, quality, secrets, simhash, tokens, urls
+from auditlake.llm import bpe, chat, decontaminate, licenses, lines, merkle, quality, secrets, simhash, tokens, urls
 from auditlake.llm.common import table
 from auditlake.session import materialise
 
@@ -174,3 +174,59 @@ select p.page_id, p.host, p.path, f.rule, coalesce(f.action, 'allow') as verdict
 @query("op4_urls", URL_SQL)
 def op4_urls(spark, path):
     return urls.judge(table(spark, path, "pages"), spark.createDataFrame(URL_RULES, "rule string, action string"))
+
+
+#: Unsigned CRC-32 of an ASCII text, in check texts: eight steps of the reversed polynomial for each byte.
+CRC_SQL = "xor(list_reduce(list_transform(range(1, length({0}) + 1), lambda i: ord(({0})[i])::bigint), lambda c, b: list_reduce(range(8), lambda v, k: xor(v >> 1, (v & 1) * 3988292384), xor(c, b)), 4294967295::bigint), 4294967295)"
+
+
+def _leaf_sql(n_chars: str) -> str:
+    fields = ["doc_id", "source", "lang", n_chars, "text"]
+    return "sha256(" + " || ".join(f"coalesce(strlen(({f})::varchar) || ':' || ({f})::varchar, '-')" for f in fields) + ")"
+
+
+MERKLE_SQL = f"""
+with recursive given as (
+  select *, {_leaf_sql("n_chars")} as leaf,
+    {CRC_SQL.format("doc_id::varchar")} % 7 = 0 as touched, {_leaf_sql("n_chars + 1")} as other from documents),
+leaves as (
+  select doc_id, leaf, case when touched and n_chars is not null then other else leaf end as claim,
+    dense_rank() over (order by lang nulls first) - 1 as tree, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as pos,
+    count(*) over (partition by lang) as n from given),
+up as (
+  select tree, 0 as level, pos, leaf as node, n from leaves
+  union all
+  select tree, level + 1, pos // 2, sha256(string_agg(node, '' order by pos)), (n + 1) // 2 from up where n > 1 group by tree, level, pos // 2, n),
+tops as (select tree, node as subroot, level as depth from up where n = 1),
+high as (
+  select 0 as level, tree as pos, subroot as node, (select count(*) from tops) as n from tops
+  union all
+  select level + 1, pos // 2, sha256(string_agg(node, '' order by pos)), (n + 1) // 2 from high where n > 1 group by level, pos // 2, n),
+steps as (
+  select l.doc_id, l.pos, l.tree, u.level, u.node as beside, (u.pos & 1) = 0 as before
+  from leaves l join tops t on t.tree = l.tree cross join range(64) g(level) join up u on u.tree = l.tree and u.level = g.level and u.pos = xor(l.pos >> g.level::int, 1)
+  where g.level < t.depth
+  union all
+  select l.doc_id, l.pos, l.tree, t.depth + g.level, h.node, (h.pos & 1) = 0
+  from leaves l join tops t on t.tree = l.tree cross join range(64) g(level) join high h on h.level = g.level and h.pos = xor(l.tree >> g.level::int, 1)
+  where g.level < (select max(level) from high)),
+ways as (select pos, tree, coalesce(string_agg(beside, '' order by level), '') as way from steps group by pos, tree),
+walk as (
+  select tree, pos, 0 as level, claim as node from leaves
+  union all
+  select w.tree, w.pos, w.level + 1, sha256(case when s.before then s.beside || w.node else w.node || coalesce(s.beside, '') end)
+  from walk w join tops t on t.tree = w.tree and w.level < t.depth + (select max(level) from high) left join steps s on s.tree = w.tree and s.pos = w.pos and s.level = w.level),
+ends as (select tree, pos, max_by(node, level) as folded_root from walk group by tree, pos)
+select l.doc_id, l.leaf, t.subroot, (select node from high where n = 1) as root, sha256(coalesce(w.way, '')) as proof_sha256,
+  e.folded_root, e.folded_root = (select node from high where n = 1) as verified
+from leaves l join tops t on t.tree = l.tree join ends e on e.tree = l.tree and e.pos = l.pos left join ways w on w.tree = l.tree and w.pos = l.pos
+"""
+
+
+@query("op11_merkle", MERKLE_SQL)
+def op11_merkle(spark, path):
+    docs = table(spark, path, "documents").select(*merkle.FIELDS)
+    touched = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0) & F.col("n_chars").isNotNull()
+    claim = F.when(touched, merkle.leaf_digest([F.col(f) + 1 if f == "n_chars" else F.col(f) for f in merkle.FIELDS]))
+    found = merkle.manifest(docs, claim).withColumn("claim", F.coalesce("claim", "leaf"))
+    return merkle.verify(found, "claim").select("doc_id", "leaf", "subroot", "root", F.sha2(F.array_join("siblings", ""), 256).alias("proof_sha256"), "folded_root", "verified")
