@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import bpe, chat, decontaminate, licenses, lines, merkle, quality, secrets, simhash, tokens, urls
+from auditlake.llm import bpe, chat, decontaminate, licenses, lines, merkle, quality, repair, secrets, simhash, tokens, urls
 from auditlake.llm.common import table
 from auditlake.session import materialise
 
@@ -230,3 +230,68 @@ def op11_merkle(spark, path):
     claim = F.when(touched, merkle.leaf_digest([F.col(f) + 1 if f == "n_chars" else F.col(f) for f in merkle.FIELDS]))
     found = merkle.manifest(docs, claim).withColumn("claim", F.coalesce("claim", "leaf"))
     return merkle.verify(found, "claim").select("doc_id", "leaf", "subroot", "root", F.sha2(F.array_join("siblings", ""), 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+DAMAGE_SQL = f"""
+keyed as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as id from conversations),
+drawn as (select *, {CRC_SQL.format("id")} % 20 as draw from keyed),
+damaged as (
+  select conv_id, turn, case when draw = 4 then 'user' else role end as role,
+    case when draw = 1 then '' when draw = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+    unnest(range(case when draw = 0 then 0 when draw = 3 then 2 else 1 end)) as copy from drawn)
+"""
+
+REPAIR_SQL = rf"""
+with recursive {DAMAGE_SQL.strip()},
+placed as (
+  select *, left(role, 1) as initial, row_number() over (partition by conv_id order by turn nulls first, sha256(role || chr(0) || text), copy) as i,
+    row_number() over (partition by conv_id, role, text order by turn nulls first, copy) > 1 as seen,
+    regexp_replace(text, '[\x20\x09-\x0D]+$', '') as bare from damaged),
+faulty as (
+  select *, case when bare = '' then 'blank' when seen then 'duplicate' when right(bare, 1) not in ('.', '!', '?') then 'truncated' else '' end as fault,
+    lag(initial) over (partition by conv_id order by i) || initial not in ('su', 'ua', 'au') as bad from placed),
+p(state, added, made) as (values (0, [], 0), (0, ['user:'], 2), (0, ['user:', 'assistant:'], 3), (1, [], 1), (1, ['user:'], 2), (1, ['user:', 'assistant:'], 3), (2, [], 2), (2, ['assistant:'], 3), (3, [], 3), (3, ['user:'], 2)),
+q(state, letter, initial, paid, made) as (values (0, 'D', null, 2, 0), (1, 'D', null, 2, 1), (2, 'D', null, 2, 2), (3, 'D', null, 2, 3), (0, 'K', 's', 0, 1), (0, 'K', 'u', 0, 2), (1, 'K', 'u', 0, 2), (3, 'K', 'u', 0, 2), (2, 'K', 'a', 0, 3),
+  (0, 'R', null, 1, 2), (1, 'R', null, 1, 2), (3, 'R', null, 1, 2), (2, 'R', null, 1, 3)),
+walk as (
+  select conv_id, 0::bigint as i, 0 as state, {{'cost': 0::bigint, 'audit': '', 'turns': []::varchar[]}} as way from (select distinct conv_id from conversations)
+  union all
+  select w.conv_id, w.i + 1, q.made, min({{'cost': w.way.cost + 5 * len(p.added) + q.paid + case when q.letter <> 'D' and r.fault = 'truncated' then 5 else 0 end,
+    'audit': w.way.audit || repeat('I', len(p.added)::bigint) || q.letter,
+    'turns': w.way.turns || p.added::varchar[] || case q.letter when 'D' then []::varchar[] when 'K' then [r.role || ':' || r.text] else [case q.made when 2 then 'user:' else 'assistant:' end || r.text] end}})
+  from walk w join faulty r on r.conv_id is not distinct from w.conv_id and r.i = w.i + 1 join p on p.state = w.state
+    join q on q.state = p.made and (q.letter = 'D' or (r.fault not in ('blank', 'duplicate') and (q.letter = 'R' or q.initial = r.initial)))
+  group by w.conv_id, w.i, q.made),
+ends as (
+  select w.conv_id, min({{'cost': way.cost + 5 * len(p.added), 'audit': way.audit || repeat('I', len(p.added)::bigint), 'turns': way.turns || p.added::varchar[]}}) as way
+  from walk w join p on p.state = w.state and p.made in (0, 3) where w.i = (select count(*) from damaged d where d.conv_id is not distinct from w.conv_id) group by w.conv_id),
+counted as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (where fault = 'blank') as blank, count(*) filter (where fault = 'duplicate') as duplicate,
+    count(*) filter (where fault = 'truncated') as truncated, count(*) filter (where bad) as illegal from faulty group by conv_id)
+select e.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+  e.way.cost as cost, e.way.audit as audit, sha256(array_to_string(e.way.turns, chr(10))) as repaired_sha256
+from ends e left join counted c on c.conv_id is not distinct from e.conv_id
+"""
+
+
+@query("op13_repair", REPAIR_SQL)
+def op13_repair(spark, path):
+    given = table(spark, path, "conversations").select("conv_id", "turn", F.coalesce("role", F.lit(" ")).alias("role"), F.coalesce("text", F.lit(" ")).alias("text"))
+    named = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")]
+    drawn = given.withColumn("draw", F.crc32(F.concat(named[0], F.lit(":"), named[1]).cast("binary")) % 20)
+    draw = F.col("draw")
+    copies = F.when(draw == 0, 0).when(draw == 3, 2).otherwise(1)
+    damaged = drawn.select(
+        "conv_id",
+        "turn",
+        F.when(draw == 4, "user").otherwise(F.col("role")).alias("role"),
+        F.when(draw == 1, "").when(draw == 2, F.translate("text", repair.ENDS, "")).otherwise(F.col("text")).alias("text"),
+        F.explode(F.array_repeat(F.lit(1), copies)).alias("copy"),
+    )
+    planned = materialise(repair.plans(damaged), "plans")
+    hashed = repair.digests(repair.repaired(damaged, planned)).select(F.col("conv_id").alias("hashed"), F.col("sha256").alias("repaired_sha256"))
+    every = given.select(F.col("conv_id").alias("given")).distinct()
+    found = every.join(planned, F.col("given").eqNullSafe(F.col("conv_id")), "left").join(hashed, F.col("given").eqNullSafe(F.col("hashed")), "left")
+    counts = [F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return found.select(F.col("given").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
