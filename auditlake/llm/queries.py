@@ -244,10 +244,9 @@ damaged as (
 
 REPAIR_SQL = rf"""
 with recursive {DAMAGE_SQL.strip()},
+ordered as (select *, row_number() over (partition by conv_id order by turn nulls first, sha256(role || chr(0) || text), copy) as i from damaged),
 placed as (
-  select *, left(role, 1) as initial, row_number() over (partition by conv_id order by turn nulls first, sha256(role || chr(0) || text), copy) as i,
-    row_number() over (partition by conv_id, role, text order by turn nulls first, copy) > 1 as seen,
-    regexp_replace(text, '[\x20\x09-\x0D]+$', '') as bare from damaged),
+  select *, left(role, 1) as initial, row_number() over (partition by conv_id, role, text order by i) > 1 as seen, regexp_replace(text, '[\x20\x09-\x0D]+$', '') as bare from ordered),
 faulty as (
   select *, case when bare = '' then 'blank' when seen then 'duplicate' when right(bare, 1) not in ('.', '!', '?') then 'truncated' else '' end as fault,
     lag(initial) over (partition by conv_id order by i) || initial not in ('su', 'ua', 'au') as bad from placed),
