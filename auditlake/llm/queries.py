@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import bpe, chat, decontaminate, licenses, lines, merkle, quality, repair, secrets, simhash, tokens, urls
+from auditlake.llm import bpe, chat, decontaminate, jaccard, licenses, lines, merkle, quality, repair, secrets, simhash, tokens, urls
 from auditlake.llm.common import table
 from auditlake.session import materialise
 
@@ -294,3 +294,22 @@ def op13_repair(spark, path):
     found = every.join(planned, F.col("given").eqNullSafe(F.col("conv_id")), "left").join(hashed, F.col("given").eqNullSafe(F.col("hashed")), "left")
     counts = [F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
     return found.select(F.col("given").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+JACCARD_SQL = r"""
+with recursive folded as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+shingled as (
+  select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 3), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4]) end) as s from folded),
+sized as (select doc_id, len(s) as n, s from shingled),
+flat as (select doc_id, n, unnest(s) as token from sized),
+shared as (select a.doc_id as x, b.doc_id as y, any_value(a.n) as nx, any_value(b.n) as ny, count(*) as hits from flat a join flat b on a.token = b.token and a.doc_id <> b.doc_id group by a.doc_id, b.doc_id),
+links as (select x, y from shared where 100 * hits >= 80 * (nx + ny - hits)),
+reach as (select doc_id, doc_id as other from sized union select r.doc_id, l.y from reach r join links l on l.x = r.other)
+select s.doc_id, s.n as n_shingles, min(r.other) as component_id from sized s join reach r on r.doc_id = s.doc_id group by s.doc_id, s.n
+"""
+
+
+@query("op12_jaccard", JACCARD_SQL)
+def op12_jaccard(spark, path):
+    return jaccard.classes(table(spark, path, "documents"))
