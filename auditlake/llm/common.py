@@ -26,6 +26,24 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name`` with as many underscores before it as it takes to be none of the columns of ``docs``, in whatever case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """Each row as one struct ``row``, so that its columns cannot clash with others, beside ``doc_id`` and ``text`` (null: empty)."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+
+def unpacked(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns that ``packed`` put into ``row``."""
+    return rows.select(*[F.col("row")[c].alias(c) for c in columns])
+
+
 def arrow_rows(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[list[list]]:
     """The named columns of each non-empty batch as Python lists."""
     for batch in batches:

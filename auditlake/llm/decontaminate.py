@@ -11,6 +11,7 @@ it is read; its spans and items are carried from shard to shard, so no shard gro
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -286,10 +287,12 @@ class Judged:
     """What is known of a text so far: its words, merged removal spans in order, items."""
 
     def __init__(self):
-        self.words, self.spans, self.items = 0, [], set()
+        self.words, self.spans, self.items, self.longest = 0, [], set(), 0
 
     def take(self, starts: np.ndarray, ends: np.ndarray, items: list[int]) -> None:
         """Adds what a piece gives; pieces come in order and overlap, so spans at the border may belong together."""
+        if len(starts):
+            self.longest = max(self.longest, int((ends - starts).max()))
         got, back = merge(starts, ends), []
         while got and self.spans and self.spans[-1][1] >= got[0][0]:
             back.append(self.spans.pop())
@@ -309,23 +312,74 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, shar
     A null or empty text has no words and no spans; a null ``doc_id`` stays; repeated rows stay and are each judged; an
     empty benchmark finds nothing; an empty table gives no rows.
     """
-    return _found(docs, benchmark, width, shard_words, False)
+    return _found(docs, benchmark, width, shard_words, "spans")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
     """``docs`` without the documents in which a window occurs; columns as before. Nulls as in ``occurrences``."""
-    return _found(docs, benchmark, width, shard_words, True)
+    return _found(docs, benchmark, width, shard_words, "clean")
 
 
-def _found(docs: DataFrame, benchmark: DataFrame, width: int, shard_words: int, keep: bool) -> DataFrame:
+def cut(docs: DataFrame, benchmark: DataFrame, drop: bool = True, width: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """``docs`` with the removal spans cut out of their texts, from a span's first word to the end of its last; ``n_chars``, where there is one, follows.
+
+    With ``drop``, documents that hold a window of full width go instead, so that only items shorter than that are cut
+    out: the words of such an item are no sign of a leak by themselves. Texts without a span, null and empty ones stay
+    as they are; columns as before, whatever their names. An empty benchmark changes nothing.
+    """
+    return _found(docs, benchmark, width, shard_words, "drop" if drop else "cut")
+
+
+#: A word, once A-Z are in lower case.
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+_LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+def without(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text less the words of the spans (in words, merged, in order) and what stands between them."""
+    left, at, waiting = [], 0, list(reversed(spans))
+    begin = None
+    for number, word in enumerate(_WORD.finditer(text.translate(_LOWER))):
+        if not waiting:
+            break
+        start, end = waiting[-1]
+        if number == start:
+            begin = word.start()
+        if number == end - 1:
+            left.append(text[at:begin])
+            at = word.end()
+            waiting.pop()
+    return "".join([*left, text[at:]])
+
+
+def _cut(rows: pa.RecordBatch, out: list[Judged]) -> pa.RecordBatch:
+    """Rows with the spans cut out of ``text``."""
+    if not any(j.spans for j in out):
+        return rows
+    columns = dict(zip(rows.schema.names, rows.columns))
+    texts = columns["text"].to_pylist()
+    kept = [without(t, j.spans) if j.spans else t for t, j in zip(texts, out)]
+    columns["text"] = pa.array(kept, columns["text"].type)
+    if "n_chars" in columns:
+        sizes = [len(k) if j.spans and n is not None else n for n, k, j in zip(columns["n_chars"].to_pylist(), kept, out)]
+        columns["n_chars"] = pa.array(sizes, columns["n_chars"].type)
+    return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, width: int, shard_words: int, how: str) -> DataFrame:
     sent = blocks(benchmark, width)
     most = min(shard_words, MOST_WORDS)
     step = max(width, most - 1)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def answer(rows: pa.RecordBatch, out: list[Judged]) -> pa.RecordBatch:
-        if keep:
+        if how == "clean":
             return rows.filter(pa.array([not j.spans for j in out], pa.bool_()))
+        if how == "drop":
+            stays = [j.longest < width for j in out]
+            rows, out = rows.filter(pa.array(stays, pa.bool_())), [j for j, s in zip(out, stays) if s]
+        if how != "spans":
+            return _cut(rows, out)
         return pa.RecordBatch.from_arrays(
             [rows.column(0), pa.array([j.words for j in out], pa.int64()), pa.array([[{"start": a, "end": b} for a, b in j.spans] for j in out], kind), pa.array([sorted(j.items) for j in out], pa.list_(pa.int64()))],
             ["doc_id", "n_words", "spans", "items"],
@@ -382,6 +436,6 @@ def _found(docs: DataFrame, benchmark: DataFrame, width: int, shard_words: int,
             search()
             yield from answers()
 
-    if keep:
+    if how != "spans":
         return docs.mapInArrow(run, docs.schema)
     return id_and_text(docs).mapInArrow(run, SCHEMA)

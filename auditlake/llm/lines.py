@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import arrow_rows, id_and_text
+from auditlake.llm.common import arrow_rows, free_name, id_and_text
 from auditlake.session import materialise
 
 LEAST_CHARS = 20
@@ -125,10 +125,11 @@ def repeated_lines(docs: DataFrame, least: int = LEAST_CHARS, least_docs: int =
     return lines.join(kept, "key").where("doc_id < last").select("doc_id", "key")
 
 
-def _with_lost(docs: DataFrame, least: int, least_docs: int, most_bits: int) -> DataFrame:
-    """``docs`` and one more column, ``_lost``: the keys of the lines that the row loses."""
-    lost = repeated_lines(id_and_text(docs), least, least_docs, most_bits).groupBy("doc_id").agg(F.collect_set("key").alias("_lost")).withColumnRenamed("doc_id", "_loser")
-    return docs.join(lost, docs["doc_id"] == lost["_loser"], "left").drop("_loser")
+def _with_lost(docs: DataFrame, name: str, least: int, least_docs: int, most_bits: int) -> DataFrame:
+    """``docs`` and one more column, ``name``: the keys of the lines that the row loses."""
+    loser = free_name(docs, "loser")
+    lost = repeated_lines(id_and_text(docs), least, least_docs, most_bits).groupBy(F.col("doc_id").alias(loser)).agg(F.collect_set("key").alias(name))
+    return docs.join(lost, F.col("doc_id").cast("long") == F.col(loser), "left").drop(loser)
 
 
 def _cut(text: str, gone: list[str] | None) -> tuple[int, int, str]:
@@ -149,31 +150,32 @@ def drop_repeats(docs: DataFrame, least: int = LEAST_CHARS, least_docs: int = LE
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts, lost in arrow_rows(batches, "doc_id", "text", "_lost"):
+        for ids, texts, lost in arrow_rows(batches, "doc_id", "text", "lost"):
             for lo in range(0, len(ids), 500):
                 rows = zip(*(_cut(t, gone) for t, gone in zip(texts[lo : lo + 500], lost[lo : lo + 500])))
                 kinds = (pa.int64(), pa.int64(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(ids[lo : lo + 500], pa.int64()), *(pa.array(x, k) for x, k in zip(rows, kinds))], ["doc_id", "n_lines", "n_dropped", "kept"])
 
-    return _with_lost(id_and_text(docs), least, least_docs, most_bits).mapInArrow(cut, "doc_id long, n_lines long, n_dropped long, kept string")
+    return _with_lost(id_and_text(docs), "lost", least, least_docs, most_bits).mapInArrow(cut, "doc_id long, n_lines long, n_dropped long, kept string")
 
 
 def rewrite(docs: DataFrame, least: int = LEAST_CHARS, least_docs: int = LEAST_DOCS, most_bits: int = MOST_BITS) -> DataFrame:
-    """``docs`` with the repeated lines taken out of ``text``; ``n_chars``, where there is one, follows. A null text stays null, other columns stay."""
+    """``docs`` with the repeated lines taken out of ``text``; ``n_chars``, where there is one, follows. A null text stays null; other columns stay, whatever their names."""
+    name = free_name(docs, "lost")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
                 names = part.schema.names
-                texts, lost = part.column(names.index("text")).to_pylist(), part.column(names.index("_lost")).to_pylist()
+                texts, lost = part.column(names.index("text")).to_pylist(), part.column(names.index(name)).to_pylist()
                 kept = [t if t is None else _cut(t, gone)[2] for t, gone in zip(texts, lost)]
                 columns = dict(zip(names, part.columns))
                 columns["text"] = pa.array(kept, pa.string())
                 if "n_chars" in columns:
                     sizes = [n if t is k or t is None else len(k) for n, t, k in zip(columns["n_chars"].to_pylist(), texts, kept)]
                     columns["n_chars"] = pa.array(sizes, columns["n_chars"].type)
-                del columns["_lost"]
+                del columns[name]
                 yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return _with_lost(docs, least, least_docs, most_bits).mapInArrow(cut, docs.schema)
+    return _with_lost(docs, name, least, least_docs, most_bits).mapInArrow(cut, docs.schema)

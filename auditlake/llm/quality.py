@@ -13,6 +13,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from auditlake.llm.common import packed, unpacked
+from auditlake.session import materialise
+
 WINDOW = 8
 LEAST_WORDS = 20
 MOST_REPEATED_PERCENT = 30
@@ -27,7 +30,11 @@ _SPACE = " \t\n\x0b\x0c\r"
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """``docs`` with one more column, ``_f``: a struct of counts. A null text is empty; all counts of it are 0."""
+    """``docs`` with one more column, ``_f``: a struct of counts. A null text is empty; all counts of it are 0.
+
+    ``_f`` and, as helpers, ``_w``, ``_k``, ``_o`` and ``_l`` are names of its own: give rows with columns of any name as
+    ``packed`` makes them.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     bare = F.btrim(text, F.lit(_SPACE))
     # one row per document stays one row throughout; helper columns are in a struct of a name of their own
@@ -146,9 +153,9 @@ def verdicts(judged: DataFrame, model: tuple[float, list[dict[int, float]], list
 
 
 def filter_docs(docs: DataFrame) -> DataFrame:
-    """``docs`` without the texts that the verdict rejects; columns as before. The estimates are made from all rows first."""
-    model = fit(features(docs.select("text")))
-    judged = verdicts(features(docs), model)
-    # a row goes on once for each entry of an array of one or none: a filter would be pushed below the counts and make them all again
-    once = F.explode(F.when(F.col("_kept"), F.array(F.lit(1))).otherwise(F.array().cast("array<int>")))
-    return judged.withColumn("_once", once).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """``docs`` without the texts that the verdict rejects; columns as before, whatever their names. The estimates are made from all rows first.
+
+    The counts are written beside the rows, so that they are made once for the estimates and for the verdicts.
+    """
+    counted = materialise(features(packed(docs).select("row", "text")).drop("text"), "counted")
+    return unpacked(verdicts(counted, fit(counted)).where("_kept"), docs.columns)

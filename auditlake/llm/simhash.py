@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import arrow_rows, id_and_text
+from auditlake.llm.common import arrow_rows, id_and_text, packed, unpacked
 from auditlake.llm.components import components
 from auditlake.session import materialise
 
@@ -62,14 +62,14 @@ def fingerprint(text: str) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``bits`` (the fingerprint as a signed long) for each row."""
+    """``doc_id``, ``bits`` (the fingerprint as a signed long), ``said`` (SHA-256 of the text) for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in arrow_rows(batches, "doc_id", "text"):
+        for ids, texts, said in arrow_rows(batches, "doc_id", "text", "said"):
             bits = np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(bits)], ["doc_id", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(bits), pa.array(said, pa.string())], ["doc_id", "bits", "said"])
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, bits long")
+    return id_and_text(docs).withColumn("said", F.sha2("text", 256)).mapInArrow(run, "doc_id long, bits long, said string")
 
 
 def syndromes(words: np.ndarray) -> np.ndarray:
@@ -203,23 +203,34 @@ def links(prints: DataFrame, homes: int = HOMES) -> DataFrame:
     return dealt.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "away").mapInArrow(_compare, "low long, high long")
 
 
+def _classes(rows: DataFrame, homes: int) -> DataFrame:
+    """``rows`` (as ``fingerprints`` gives them, written) with ``component_id``."""
+    prints = materialise(rows.groupBy("bits").agg(F.min("doc_id").alias("node")), "prints")
+    roots = components(links(prints.where("node is not null"), homes))
+    named = prints.join(roots, "node", "left").select(F.col("bits").alias("print"), F.coalesce("root", "node").alias("component_id"))
+    return rows.join(named, F.col("bits") == F.col("print")).drop("print")
+
+
 def classes(docs: DataFrame, homes: int = HOMES) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``bits`` and ``component_id``, the smallest ``doc_id`` that can be reached over links.
 
     Documents without words (null, empty, white space) have fingerprint 0 and are linked like any other. Repeated rows
     stay, each with its class. A row without ``doc_id`` gets its class but is nobody's smallest id and links no others;
-    where no row of a class has an id, the class is null. An empty table gives none.
+    where no row of a class has an id, the class is null. Columns other than ``doc_id`` and ``text`` play no part. An
+    empty table gives none.
     """
-    rows = materialise(fingerprints(docs), "fingerprints")
-    prints = materialise(rows.groupBy("bits").agg(F.min("doc_id").alias("node")), "prints")
-    roots = components(links(prints.where("node is not null"), homes))
-    named = prints.join(roots, "node", "left").select(F.col("bits").alias("print"), F.coalesce("root", "node").alias("component_id"))
-    return rows.join(named, F.col("bits") == F.col("print")).select("doc_id", "bits", "component_id")
+    return _classes(materialise(fingerprints(docs).select("doc_id", "bits"), "fingerprints"), homes)
 
 
 def representatives(docs: DataFrame, homes: int = HOMES) -> DataFrame:
-    """``docs`` with one document of each class, that of the smallest ``doc_id`` (one row of it); rows without ``doc_id`` stay. Columns as before."""
-    found = classes(docs, homes)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    one = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where("doc_id is null"))
+    """``docs`` with one row of each class: of those with its smallest ``doc_id`` that of the smallest fingerprint, then of the smallest digest of the text.
+
+    A ``doc_id`` on rows of different texts thus keeps one row in each of their classes; of rows equal in ``doc_id`` and
+    text one stays. Rows without ``doc_id`` stay. Columns as before, whatever their names.
+    """
+    rows = materialise(fingerprints(docs), "fingerprints")
+    best = _classes(rows, homes).where("doc_id is not null").groupBy("component_id").agg(F.min(F.struct("doc_id", "bits", "said")).alias("best"))
+    kept = best.select(F.col("best.doc_id").alias("kept_id"), F.col("best.said").alias("kept_text"))
+    given = packed(docs).withColumn("said", F.sha2("text", 256))
+    one = given.where("doc_id is not null").join(kept, (F.col("doc_id") == F.col("kept_id")) & (F.col("said") == F.col("kept_text")), "left_semi").dropDuplicates(["doc_id", "said"])
+    return unpacked(one.unionByName(given.where("doc_id is null")), docs.columns)
