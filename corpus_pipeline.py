@@ -4,9 +4,9 @@ Every stage takes ``(spark, docs, sf_dir)``; all but the last return the columns
 
 * quality: documents that the base rules or the posterior reject go;
 * line_dedup: repeated lines are taken out of the texts, ``n_chars`` follows;
-* near_dedup: of each class of near-duplicates the document with the smallest ``doc_id`` stays (one row of it); rows
+* near_dedup: of each class of near-duplicates one row of the smallest ``doc_id`` stays; rows
   without ``doc_id`` belong to no class and stay;
-* decontaminate: documents that hold a benchmark window go;
+* decontaminate: documents that hold a benchmark window of full width go; items shorter than that are cut out of the texts;
 * encode: one row of token ids per document, with the digests of the ids and of the text decoded from them.
 """
 
@@ -42,7 +42,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+    return decontaminate.cut(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
