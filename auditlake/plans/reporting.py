@@ -318,4 +318,4 @@ def _(t):
         c("o_custkey").alias("package_id"), c("o_orderkey").alias("doc_id"), c("o_orderkey").alias("doc_ord"), F.lit("all").alias("issuer_name"),
         F.concat(F.lit("INV-"), (c("o_orderkey") % 50).cast("string")).alias("invoice_number"), c("o_orderdate").cast("date").cast("string").alias("issue_date"),
         (F.round(c("o_totalprice") / 20000) * 20000).alias("total_gross"), c("o_orderdate").cast("timestamp").alias("ts"))
-    return twins.duplicate_candidates(docs, "ts", "stream-invoices")
+    return twins.duplicate_candidates(docs, "ts", "stream-invoices")[0]
