@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlake import constants as K
-from auditlake.functions.text import split_words, tokenise
+from auditlake.functions.text import split_words
 
 
 # --- chunking -----------------------------------------------------------------
@@ -52,92 +52,83 @@ def chunk(docs: DataFrame, max_chars: int = K.CHUNK_MAX_CHARS, overlap: int = K.
     return spans.select(*cols, "chunk_index", F.substr("_whole", F.col("_span.start") + 1, F.col("_span.stop") - F.col("_span.start")).alias("text"))
 
 
-def _best(rows: DataFrame, order: list, n: int) -> DataFrame:
+def best_per_query(rows: DataFrame, order: list, n: int) -> DataFrame:
     """First ``n`` rows per query with their rank from 0; the limit on the row number runs before the shuffle as well."""
     w = Window.partitionBy("query_id").orderBy(*order)
     return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n).withColumn("rank", F.col("rank") - 1)
 
 
-# --- keyword ranking ------------------------------------------------------------
-
-def bm25(chunks: DataFrame, queries: DataFrame, n: int, k1: float = K.BM25_K1, b: float = K.BM25_B, epsilon: float = K.BM25_EPSILON) -> DataFrame:
-    """Top ``n`` chunks per query: (query_id, chunk_id, score, rank from 0).
-
-    Document frequencies cover the whole vocabulary (the floor for common terms
-    needs its mean), but term counts are shuffled only for terms that some query
-    asks for.  Contributions are summed as decimals, so copies of a text tie.
-    """
-    docs = chunks.select("chunk_id", tokenise(F.col("text")).alias("tokens")).withColumn("dl", F.size("tokens"))
-    stats = docs.agg(F.struct(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))).scalar()
-    n_docs, avgdl = stats["n_docs"], stats["avgdl"]
-    df = docs.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weighted = df.select("term", (F.log(n_docs - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
-    floor = weighted.agg(F.avg("idf") * epsilon).scalar()
-    asked = queries.select("query_id", F.explode(tokenise(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    vocabulary = asked.select("term").distinct()
-    terms = weighted.join(vocabulary, "term", "left_semi").select(
-        "term", F.when(F.col("idf") < 0, floor).otherwise(F.col("idf")).alias("idf"))
-    tf = (
-        docs.select("chunk_id", "dl", F.explode("tokens").alias("term"))
-        .join(vocabulary, "term", "left_semi")
-        .groupBy("chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    )
-    gain = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
-    scored = (
-        tf.join(terms, "term").withColumn("gain", gain.cast("decimal(20,10)"))
-        .join(asked, "term").groupBy("query_id", "chunk_id").agg(F.sum(F.col("gain") * F.col("qtf").cast("decimal(9,0)")).alias("score"))
-    )
-    return _best(scored.filter("score > 0"), [F.desc("score"), "chunk_id"], n).withColumn("score", F.col("score").cast("double"))
-
-
 # --- vector ranking -------------------------------------------------------------
 
-#: Query vectors that tasks hold at once.
-QUERY_BLOCK = 10_000
+#: Vectors of a part, queries of a block, and how many of either are compared at a time (64 MB of similarities).
+VECTOR_PART, QUERY_BLOCK = 1 << 17, 4096
+AT_ONCE = (8192, 1024)
 
 
-def vector_topk(vectors: DataFrame, queries: DataFrame, n: int, blocks: int = 1) -> DataFrame:
+def vector_topk(vectors: DataFrame, queries: DataFrame, n: int, part: int = VECTOR_PART, block: int = QUERY_BLOCK) -> DataFrame:
     """Exact cosine top ``n`` per query: (query_id, vec_id, similarity, rank from 0).
 
-    Each task scores its vectors against one block of queries and passes on its
-    own best ``n`` per query, so the shuffle carries top lists, not scores.  The
-    queries are dealt over ``blocks`` by hash; a block of more than
-    ``QUERY_BLOCK`` queries is refused, so give as many blocks as that takes.
+    Queries are rows like the vectors, however many there are. Vectors are dealt to parts and queries to blocks, of
+    bounded size on average; a task compares one part with one block and passes on the best ``n`` of each query, so the
+    last shuffle carries top lists, not scores. Of equal similarities the smaller id comes first. Rows without a vector
+    or an id are left out.
     """
-    hits = [_block_topk(vectors, queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i), n) for i in range(blocks)]
-    out = hits[0]
-    for more in hits[1:]:
-        out = out.unionByName(more)
-    return _best(out, [F.desc("similarity"), "vec_id"], n)
-
-
-def _unit(matrix: np.ndarray) -> np.ndarray:
+    vectors = vectors.select("vec_id", F.col("vector").cast("array<double>").alias("vector")).where("vec_id is not null and vector is not null")
+    queries = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).where("query_id is not null and vector is not null")
+    many, asked = vectors.count(), queries.count()
+    spare = min(vectors.sparkSession.sparkContext.defaultParallelism, many // 1024)
+    parts, blocks = max(1, -(-many // part), spare), max(1, -(-asked // block))
+
+    def dealt(rows: DataFrame, key: str, own: str, other: str, own_many: int, other_many: int) -> DataFrame:
+        return rows.withColumn(own, F.pmod(F.xxhash64(key), F.lit(own_many)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(other_many - 1))))
+
+    left = dealt(vectors, "vec_id", "part", "block", parts, blocks)
+    right = dealt(queries, "query_id", "block", "part", blocks, parts)
+    kinds = {c: t for c, t in vectors.dtypes + queries.dtypes}
+    schema = f"query_id {kinds['query_id']}, vec_id {kinds['vec_id']}, similarity double"
+    hits = left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInArrow(_nearest(n), schema)
+    return best_per_query(hits, [F.desc("similarity"), "vec_id"], n)
+
+
+def _unit(vectors: pa.ChunkedArray) -> np.ndarray:
+    rows = vectors.combine_chunks()
+    matrix = rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
     length = np.linalg.norm(matrix, axis=1, keepdims=True)
     return matrix / np.where(length == 0, 1.0, length)
 
 
-def _block_topk(vectors: DataFrame, queries: DataFrame, n: int) -> DataFrame:
-    pdf = queries.select("query_id", "vector").limit(QUERY_BLOCK + 1).toPandas()
-    if len(pdf) > QUERY_BLOCK:
-        raise ValueError(f"more than {QUERY_BLOCK} queries in a block: raise blocks")
-    ids = pdf["query_id"].to_numpy()
-    matrix = _unit(np.stack([np.asarray(v, dtype=np.float64) for v in pdf["vector"]])) if len(pdf) else np.zeros((0, 1))
-
-    def score(batches):
-        # the task's best so far: similarities and ids, at most n per query
-        best_sims, best_ids = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), dtype=np.int64)
-        for batch in batches:
-            if not len(batch) or not len(ids):
-                continue
-            sims = np.round(matrix @ _unit(np.stack([np.asarray(v, dtype=np.float64) for v in batch["vector"]])).T, 12)
-            sims = np.hstack([best_sims, sims])
-            vec_ids = np.hstack([best_ids, np.broadcast_to(batch["vec_id"].to_numpy(), (len(ids), len(batch)))])
-            order = np.lexsort((vec_ids, -sims), axis=1)[:, :n]
-            best_sims, best_ids = np.take_along_axis(sims, order, 1), np.take_along_axis(vec_ids, order, 1)
-        if best_sims.size:
-            yield pd.DataFrame({"query_id": np.repeat(ids, best_sims.shape[1]), "vec_id": best_ids.ravel(), "similarity": best_sims.ravel()})
-
-    return vectors.select("vec_id", "vector").mapInPandas(score, "query_id bigint, vec_id bigint, similarity double")
+def _top(query: np.ndarray, ids: np.ndarray, similarity: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The best ``n`` of each query, by similarity and id."""
+    order = np.lexsort((ids, -similarity, query))
+    query = query[order]
+    first = np.flatnonzero(np.append(True, query[1:] != query[:-1])) if len(query) else np.zeros(0, dtype=np.int64)
+    nth = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query))))
+    kept = order[nth < n]
+    return query[nth < n], ids[kept], similarity[kept]
+
+
+def _nearest(n: int):
+    """Function that compares the vectors and queries of one cell."""
+
+    def run(vectors: pa.Table, queries: pa.Table) -> pa.Table:
+        found = []
+        if len(vectors) and len(queries):
+            ids, own, asked = vectors["vec_id"].to_numpy(), _unit(vectors["vector"]), _unit(queries["vector"])
+            for q in range(0, len(asked), AT_ONCE[1]):
+                best = (np.zeros(0, dtype=np.int64), ids[:0], np.zeros(0))
+                for v in range(0, len(own), AT_ONCE[0]):
+                    near = np.round(asked[q : q + AT_ONCE[1]] @ own[v : v + AT_ONCE[0]].T, 12)
+                    # no more than the n-th largest of each query, and its equals, need be sorted
+                    least = np.partition(near, -n, axis=1)[:, -n, None] if near.shape[1] > n else -np.inf
+                    i, j = np.nonzero(near >= least)
+                    more = (i + q, ids[v + j], near[i, j])
+                    best = _top(*(np.concatenate(x) for x in zip(best, more)), n)
+                found.append(best)
+        query, near_ids, similarity = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))
+        kinds = queries.schema.field("query_id").type, vectors.schema.field("vec_id").type
+        return pa.table({"query_id": queries["query_id"].combine_chunks().take(pa.array(query)).cast(kinds[0]), "vec_id": pa.array(near_ids).cast(kinds[1]), "similarity": pa.array(similarity)})
+
+    return run
 
 
 # --- fusion -----------------------------------------------------------------------
@@ -161,7 +152,7 @@ def fuse(vector_hits: DataFrame, keyword_hits: DataFrame, top_k: int, k: int = K
     order = F.struct(F.when(F.col("v_first").isNull(), 1).otherwise(0).alias("s"), F.coalesce("v_first", "b_first").alias("r"))
     scored = both.select("query_id", hit["chunk_id"].alias("chunk_id"), hit["text"].alias("text"), F.col("v_rank").alias("vector_rank"), F.col("b_rank").alias("keyword_rank"),
                          (part("v_rank") + part("b_rank")).alias("score"), order.alias("o"))
-    return _best(scored, [F.desc("score"), "o"], top_k).drop("o")
+    return best_per_query(scored, [F.desc("score"), "o"], top_k).drop("o")
 
 
 def rerank(hits: DataFrame, queries: DataFrame, weight: float = K.RERANK_WEIGHT) -> DataFrame:
@@ -180,9 +171,3 @@ def format_hits(hits: DataFrame, snippet: int = 200) -> DataFrame:
     line = F.concat(F.lit("[Forrás: "), F.col("source"), F.lit(", relevancia: "), F.format_string("%.3f", F.col("score")), F.lit("]\n"), short)
     rows = hits.select("query_id", F.struct(F.col("new_rank").alias("r"), line.alias("t")).alias("x"))
     return rows.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["t"]), "\n\n---\n\n").alias("output"))
-
-
-def index_stats(chunks: DataFrame) -> DataFrame:
-    """Size of the index by source."""
-    return chunks.withColumn("n", F.size(tokenise(F.col("text")))).groupBy("source").agg(
-        F.count(F.lit(1)).alias("chunk_count"), F.sum("n").alias("token_count"), F.countDistinct("package_id").alias("document_count"))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from auditlake.operators import retrieval
+from auditlake.operators import index, retrieval
 from auditlake.plans.registry import query
+from auditlake.session import shared_dir
 
 c = F.col
 SIZE, OVERLAP, TOP = 2000, 200, 5
@@ -52,11 +53,18 @@ BM25_SQL = rf"""
  bm as (select * from (select *, row_number() over (partition by query_id order by score desc, chunk_id) - 1 as rank from sc) where rank < 10 and score > 0)"""
 
 
+def indexed(chunks):
+    """The chunks written to an index of their own."""
+    path = shared_dir(chunks.sparkSession, "index")
+    index.upsert(chunks, path)
+    return index.open_index(chunks.sparkSession, path)
+
+
 @query("bm25_topk", f"with q as (select item_id as query_id, text as query from {{benchmark}}), {BM25_SQL} select query_id, chunk_id, rank, round(cast(score as double), 5) as score from bm")
 def _(t):
     chunks = t.documents.select(c("doc_id").alias("chunk_id"), "text")
     queries = t.benchmark.select(c("item_id").alias("query_id"), c("text").alias("query"))
-    return retrieval.bm25(chunks, queries, 2 * TOP).withColumn("score", F.round("score", 5))
+    return index.bm25(indexed(chunks), queries, 2 * TOP).withColumn("score", F.round("score", 5))
 
 
 VEC_SQL = """
@@ -96,7 +104,7 @@ def fused(t):
     texts = t.documents.select(c("doc_id").alias("chunk_id"), "text")
     vectors = retrieval.vector_topk(t.embeddings.select("vec_id", c("embedding").alias("vector")), vector_queries(t), 2 * TOP)
     hv = vectors.withColumnRenamed("vec_id", "chunk_id").join(texts, "chunk_id").select("query_id", "chunk_id", "text", "rank")
-    hb = retrieval.bm25(texts, query_texts(t), 2 * TOP).join(texts, "chunk_id").select("query_id", "chunk_id", "text", "rank")
+    hb = index.bm25(indexed(texts), query_texts(t), 2 * TOP).join(texts, "chunk_id").select("query_id", "chunk_id", "text", "rank")
     return retrieval.fuse(hv, hb, TOP)
 
 
@@ -119,4 +127,30 @@ def _(t):
 
 @query("index_stats", rf"select source, count(*) as chunk_count, cast(sum(len({TOKENS.format('text')})) as bigint) as token_count, count(distinct doc_id) as document_count from {{documents}} group by 1")
 def _(t):
-    return retrieval.index_stats(t.documents.select("source", "text", c("doc_id").alias("package_id")))
+    return index.stats(indexed(t.documents.select("source", "text", c("doc_id").alias("package_id"), c("doc_id").alias("chunk_id"))))
+
+
+#: All documents are written first; then German ones are written again with other texts, and French ones deleted.
+CHANGED_SQL = rf"""
+d0 as (select doc_id, case when lang = 'de' then source || ' ' || left(text, 300) else text end as text, source from {{documents}} where lang <> 'fr')"""
+
+
+def changed(t):
+    """An index after an upsert of all documents, an upsert of some with other texts, and a delete."""
+    path = shared_dir(t.spark, "index")
+    chunks = t.documents.select(c("doc_id").alias("chunk_id"), "text", "source", c("doc_id").alias("package_id"), "lang")
+    index.upsert(chunks, path)
+    index.upsert(chunks.where("lang = 'de'").withColumn("text", F.concat("source", F.lit(" "), F.substring("text", 1, 300))), path)
+    index.delete(chunks.where("lang = 'fr'"), path)
+    return index.open_index(t.spark, path)
+
+
+@query("index_upsert", f"with q as (select item_id as query_id, text as query from {{benchmark}}), {CHANGED_SQL}, {BM25_SQL.replace('{documents}', 'd0')} select query_id, chunk_id, rank, round(cast(score as double), 5) as score from bm")
+def _(t):
+    queries = t.benchmark.select(c("item_id").alias("query_id"), c("text").alias("query"))
+    return index.bm25(changed(t), queries, 2 * TOP).withColumn("score", F.round("score", 5))
+
+
+@query("index_upsert_stats", rf"with {CHANGED_SQL} select source, count(*) as chunk_count, cast(sum(len({TOKENS.format('text')})) as bigint) as token_count, count(distinct doc_id) as document_count from d0 group by 1")
+def _(t):
+    return index.stats(changed(t))

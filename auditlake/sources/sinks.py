@@ -1,4 +1,4 @@
-"""Findings, report and index tables."""
+"""Findings and report tables."""
 
 from __future__ import annotations
 
@@ -21,13 +21,3 @@ def write_by_package(df: DataFrame, path: str, fmt: str = "parquet", mode: str =
 def read_package(spark: SparkSession, path: str, package_id, fmt: str = "parquet", buckets: int = BUCKETS) -> DataFrame:
     bucket = F.pmod(F.xxhash64(F.lit(package_id)), F.lit(buckets))
     return spark.read.format(fmt).load(path).filter((F.col("package_bucket") == bucket) & (F.col("package_id") == package_id)).drop("package_bucket")
-
-
-def add_chunks(chunks: DataFrame, path: str) -> None:
-    """Append chunks to the index table."""
-    write_by_package(chunks, path)
-
-
-def clear_index(chunks: DataFrame, path: str) -> None:
-    """Leave an empty index of the same schema."""
-    chunks.limit(0).withColumn("package_bucket", F.lit(0).cast("bigint")).write.mode("overwrite").parquet(path)

@@ -5,7 +5,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from auditlake.operators import evaluate, extract, portfolio, report, retrieval, turns
+from auditlake.operators import evaluate, extract, index, portfolio, report, retrieval, turns
+from auditlake.plans.retrieval import indexed
 from auditlake.sources import ingest, sinks
 
 c = F.col
@@ -35,7 +36,7 @@ def test_bm25_against_formula(spark):
         return sum(idf.get(w, 0) * t.count(w) * 2.5 / (t.count(w) + 1.5 * (0.25 + 0.75 * len(t) / avg)) for w in q)
     query = ["tax", "law", "tax", "the"]
     want = sorted(((-round(score(query, t), 5), i) for i, t in tok.items()))[:8]
-    got = retrieval.bm25(spark.createDataFrame(list(texts.items()), "chunk_id int, text string"), spark.createDataFrame([(1, "Tax law, tax the")], "query_id int, query string"), 8)
+    got = index.bm25(indexed(spark.createDataFrame(list(texts.items()), "chunk_id int, text string")), spark.createDataFrame([(1, "Tax law, tax the")], "query_id int, query string"), 8)
     assert [(-round(r.score, 5), r.chunk_id) for r in got.orderBy("rank").collect()] == [w for w in want if w[0] < 0]
 
 
@@ -45,10 +46,32 @@ def test_vector_topk_in_batches(spark):
     v = spark.createDataFrame(list(vec.items()), "vec_id int, vector array<double>").repartition(4)
     q = spark.createDataFrame([(i, vec[i]) for i in range(5)], "query_id bigint, vector array<double>")
     one = {tuple(r) for r in retrieval.vector_topk(v, q, 3).select("query_id", "vec_id", "rank").collect()}
-    many = {tuple(r) for r in retrieval.vector_topk(v, q, 3, blocks=3).select("query_id", "vec_id", "rank").collect()}
+    many = {tuple(r) for r in retrieval.vector_topk(v, q, 3, part=7, block=2).select("query_id", "vec_id", "rank").collect()}
     assert one == many and all((i, i, 0) in one for i in range(5))
 
 
+def test_vector_topk_of_equal_vectors_and_odd_rows(spark):
+    v = spark.createDataFrame([(i, [1.0, float(i % 2)]) for i in range(40)] + [(99, None), (None, [1.0, 1.0]), (77, [0.0, 0.0])], "vec_id bigint, vector array<float>")
+    q = spark.createDataFrame([(1, [2.0, 0.0]), (2, [0.0, 0.0]), (3, None)], "query_id int, vector array<double>")
+    for sizes in ({}, {"part": 6, "block": 1}):
+        got = [(r.query_id, r.vec_id, r["rank"]) for r in retrieval.vector_topk(v, q, 4, **sizes).orderBy("query_id", "rank").collect()]
+        assert got == [(1, i, k) for k, i in enumerate((0, 2, 4, 6))] + [(2, i, k) for k, i in enumerate((0, 1, 2, 3))]
+    assert retrieval.vector_topk(v.limit(0), q, 4).count() == retrieval.vector_topk(v, q.limit(0), 4).count() == 0
+
+
+def test_vector_topk_of_many_queries(spark):
+    """More queries than a block holds: no driver, no error, and no product of rows in the plan."""
+    q = spark.range(25_000).select(c("id").alias("query_id"), F.array(F.cos(c("id")), F.sin(c("id")), F.lit(0.5)).alias("vector"))
+    v = spark.range(300).select(c("id").alias("vec_id"), F.array(F.cos(c("id") * 7), F.sin(c("id") * 7), F.lit(0.5)).alias("vector"))
+    hits = retrieval.vector_topk(v, q, 2)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "WindowGroupLimit" in plan
+    got = hits.where("rank = 0")
+    assert got.count() == 25_000
+    near = {r.query_id: r.vec_id for r in got.where("query_id < 300").collect()}
+    assert all(near[i] == min(range(300), key=lambda j: (-round(math.cos(i - 7 * j), 9), j)) for i in range(0, 300, 37))
+
+
 def test_fuse_and_rerank(spark):
     hit = "query_id int, chunk_id int, text string, rank int"
     v = spark.createDataFrame([(1, 10, "alpha", 0), (1, 11, "beta", 1)], hit)
@@ -145,8 +168,6 @@ def test_sink_round_trip(spark, tmp_path):
     df = spark.createDataFrame([("p", 1), ("q", 2)], "package_id string, n int")
     sinks.write_by_package(df, str(tmp_path / "t"))
     assert [r.n for r in sinks.read_package(spark, str(tmp_path / "t"), "q").collect()] == [2]
-    sinks.clear_index(df, str(tmp_path / "t"))
-    assert spark.read.parquet(str(tmp_path / "t")).count() == 0
 
 
 def test_report_assembly(spark):
@@ -175,7 +196,7 @@ def test_top_lists_are_limited_before_the_shuffle(spark):
     texts = spark.createDataFrame([(1, "tax law")], "chunk_id int, text string")
     asked = spark.createDataFrame([(1, "tax")], "query_id bigint, query string")
     vectors = spark.createDataFrame([(1, [1.0, 0.0])], "vec_id bigint, vector array<double>")
-    for df in (retrieval.fuse(hits, hits, 3), retrieval.bm25(texts, asked, 3), retrieval.vector_topk(vectors, vectors.withColumnRenamed("vec_id", "query_id"), 3)):
+    for df in (retrieval.fuse(hits, hits, 3), index.bm25(indexed(texts), asked, 3), retrieval.vector_topk(vectors, vectors.withColumnRenamed("vec_id", "query_id"), 3)):
         assert "WindowGroupLimit" in df._jdf.queryExecution().executedPlan().toString()
 
 
