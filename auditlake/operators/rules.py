@@ -9,6 +9,10 @@ lines of a document are partial aggregates, never collected line lists.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +32,54 @@ FINDING_COLUMNS = [
 ]
 
 
+@dataclass(frozen=True)
+class Rule:
+    """A registered rule: ``build`` takes the column names of its scope's table and returns finding structs, or arrays of them if ``several``."""
+
+    check_id: str
+    scope: str
+    build: Callable[[list[str]], list[Column]]
+    several: bool = False
+
+
+#: Registered rules by scope, in order. Scopes are the tables that rules run on: invoice, contract, wording, line.
+RULES: dict[str, list[Rule]] = {"invoice": [], "contract": [], "wording": [], "line": []}
+
+
+def register(check_id: str, scope: str, regulation: str | None = None, applies_to: list[str] | None = None, hungarian_only: bool = False, several: bool = False):
+    """Add a rule to the audit: the decorated function builds its findings from the columns of the scope's table.
+
+    A ``check_id`` that is not known yet brings its ``regulation`` and the document types that it ``applies_to`` ("*"
+    for all), and is dispatched like the others from then on. A rule of a dispatched check runs only where that applies.
+    """
+    if check_id not in CHECK and regulation is not None:
+        CHECK[check_id] = (check_id, regulation, hungarian_only, applies_to or ["*"])
+        REGULATION[check_id] = regulation
+
+    def add(build):
+        RULES[scope].append(Rule(check_id, scope, build, several))
+        return build
+
+    return add
+
+
+def unregister(check_id: str) -> None:
+    """Take a check and its rules out again."""
+    CHECK.pop(check_id, None)
+    REGULATION.pop(check_id, None)
+    for scope, kept in RULES.items():
+        RULES[scope] = [r for r in kept if r.check_id != check_id]
+
+
+def run_scope(scope: str, table: DataFrame, keys: tuple = ("package_id", "doc_id")) -> DataFrame:
+    """Findings of all rules of a scope on its table, in one pass; rules of dispatched checks need ``doc_type`` and ``language``."""
+    single, arrays = [], []
+    for rule in RULES[scope]:
+        made = rule.build(table.columns)
+        (arrays if rule.several else single).extend(masked(rule.check_id, made) if rule.check_id in CHECK else made)
+    return emit(table, single, keys, arrays or None).select(*keys, *[c for c in FINDING_COLUMNS if c not in keys])
+
+
 def text_of(*parts) -> Column:
     """Message text from strings and columns; a NULL part counts as blank."""
     return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
@@ -39,7 +91,8 @@ def finding(when: Column, severity, description, rationale, check_id: str, seq:
     def col(x):
         return x if isinstance(x, Column) else F.lit(x)
 
-    rule_ord = int(check_id[6:8]) if check_id.startswith("check_") else 0
+    number = re.match(r"check_(\d+)", check_id)
+    rule_ord = int(number.group(1)) if number else 0
     reg = regulation or REGULATION.get(check_id)
     return F.when(
         when,
@@ -82,7 +135,7 @@ def dispatch(docs: DataFrame) -> DataFrame:
     pairs = F.filter(
         F.array(*[
             F.when(applicable(c, dt, lang), F.struct(F.lit(c).alias("check_id"), F.lit(reg).alias("regulation")))
-            for c, reg, _, _ in K.CHECKS
+            for c, reg, _, _ in CHECK.values()
         ]),
         lambda x: x.isNotNull(),
     )
@@ -127,12 +180,7 @@ def mandatory_line_fields(lines: DataFrame) -> DataFrame:
     flags = lines.groupBy("package_id", "doc_id").agg(
         *[F.bool_and(missing(c)).alias(c) for c, _, _ in K.INVOICE_LINE_FIELDS]
     )
-    return emit(flags, [
-        finding(F.col(c), sev, f"Missing mandatory line-item element: {label}",
-                f"Per {K.REG_INVOICE}, '{label}' is mandatory for every line item. None of the items contain it.",
-                "check_01_invoice_mandatory", 10 + i)
-        for i, (c, label, sev) in enumerate(K.INVOICE_LINE_FIELDS)
-    ])
+    return emit(flags, lines_without(F.col))
 
 
 def tax_id_digit(tax_id: Column, who, seq: int) -> Column:
@@ -164,29 +212,16 @@ def rounded_amounts(headers: DataFrame, lines: DataFrame) -> DataFrame:
         headers.select("package_id", "doc_id", "total_net", "total_gross")
     )
     def used(c):
-        return (F.coalesce(F.col(c), F.lit(0.0)) != 0).cast("int")
+        return _rounds(c)[0]
 
     def rounds(c):
-        return F.coalesce(numbers.is_round(F.col(c)), F.lit(False)).cast("int")
+        return _rounds(c)[1]
 
     counts = amounts.groupBy("package_id", "doc_id").agg(
         F.sum(used("total_net") + used("total_gross")).alias("n_amounts"),
         F.sum(rounds("total_net") + rounds("total_gross")).alias("n_round"),
-    ).withColumn("ratio", F.try_divide(F.col("n_round"), F.col("n_amounts")))
-    pct = F.concat(plain_whole(F.col("ratio") * 100), F.lit("%"))
-    shown = F.concat(F.col("n_round").cast("string"), F.lit("/"), F.col("n_amounts").cast("string"), F.lit(" ("), pct, F.lit(")"))
-    enough = F.col("n_amounts") >= K.ROUNDED_MIN_AMOUNTS
-    high = F.col("ratio") > K.ROUNDED_HIGH_RATIO
-    return emit(counts, [
-        finding(enough & high, "medium", text_of("High proportion of rounded amounts: ", shown),
-                text_of(pct, " of the amounts are suspiciously rounded (divisible by 10,000 and >10,000). "
-                             "Above 25% may indicate fraud (Journal of Accountancy, 2018)."),
-                "check_05_rounded_amounts"),
-        finding(enough & ~high & (F.col("ratio") > K.ROUNDED_LOW_RATIO), "low",
-                text_of("Notable proportion of rounded amounts: ", shown),
-                text_of(pct, " of the amounts are rounded. Above 15% is higher than the typical baseline."),
-                "check_05_rounded_amounts"),
-    ], ("package_id", "doc_id", "n_amounts", "n_round"))
+    )
+    return emit(counts, round_amounts(F.col("n_amounts"), F.col("n_round")), ("package_id", "doc_id", "n_amounts", "n_round"))
 
 
 def materiality(total: Column) -> Column:
@@ -394,11 +429,7 @@ def line_sum(headers: DataFrame, lines: DataFrame) -> DataFrame:
     """Sum of line nets against the document net; lines are summed before the join."""
     sums = lines.groupBy("package_id", "doc_id").agg(F.sum(numbers.money(F.col("total_net"))).cast("double").alias("line_net"))
     joined = headers.select("package_id", "doc_id", "total_net").join(sums, ["package_id", "doc_id"])
-    calc, net = F.col("line_net"), F.col("total_net")
-    return emit(joined, [math_error(
-        (calc > 0) & (F.abs(calc - net) > 1),
-        text_of("Line items' net total (", plain_whole(calc), ") does not match the document total (", plain_whole(net), ")"), 0)],
-        ("package_id", "doc_id", "line_net", "total_net"))
+    return emit(joined, [sum_of_lines(F.col("line_net"), F.col("total_net"))], ("package_id", "doc_id", "line_net", "total_net"))
 
 
 def line_math() -> list[Column]:
@@ -461,38 +492,120 @@ def masked(check_id: str, findings: list[Column]) -> list[Column]:
     return [F.when(on, f) for f in findings]
 
 
-def invoice_findings(headers: DataFrame, lines: DataFrame) -> DataFrame:
-    """Every rule that applies to invoices, in one pass over headers and few over lines."""
-    per_header = (
-        [totals(F.col("total_net"), F.col("total_vat"), F.col("total_gross")), due_before_issue(F.col("issue_date"), F.col("payment_due_date"))]
-        + masked("check_01_invoice_mandatory", mandatory_fields() + [buyer_tax_id(F.col("total_vat"), F.col("customer_tax_id"))])
-        + masked("check_02_tax_cdv", invoice_tax_ids())
-        + [materiality(F.col("total_gross"))]
-        + negative_amounts(["total_net", "total_vat", "total_gross"])
-        + plausible_dates(headers.columns)
-    )
-    hungarian = headers.filter(F.lower("language").isin(K.HU_LANGUAGES)).select("package_id", "doc_id")
-    parts = [
-        emit(headers, per_header, arrays=[sanctions(F.col("issuer_name"), "issuer"), sanctions(F.col("customer_name"), "customer")]),
-        emit(lines, line_math() + [vat_rate_plausible(F.col("vat_rate"), F.col("description"))]),
-        line_sum(headers, lines),
-        rounded_amounts(headers, lines),
-        mandatory_line_fields(lines).join(hungarian, ["package_id", "doc_id"], "left_semi"),
+def _rounds(c: str) -> tuple[Column, Column]:
+    """Whether an amount counts, and whether it is suspiciously round."""
+    return (F.coalesce(F.col(c), F.lit(0.0)) != 0).cast("int"), F.coalesce(numbers.is_round(F.col(c)), F.lit(False)).cast("int")
+
+
+def with_line_totals(headers: DataFrame, lines: DataFrame) -> DataFrame:
+    """``headers`` with what the rules need of all lines of a document, from one partial aggregation of the lines.
+
+    ``line_net`` (sum), ``amounts`` and ``rounds`` (amounts of lines and header that count, and those that are round),
+    and for each mandatory element ``without_<element>`` (missing on every line); null or 0 for a document without lines.
+    """
+    used, rounds = zip(*[_rounds(c) for c in ("total_net", "total_gross")])
+
+    def missing(c: str) -> Column:
+        return is_empty(F.col(c)) if lines.schema[c].dataType.typeName() == "string" else F.col(c).isNull()
+
+    per_document = lines.groupBy("package_id", "doc_id").agg(
+        F.sum(numbers.money(F.col("total_net"))).cast("double").alias("line_net"), F.sum(used[0] + used[1]).alias("amounts"), F.sum(rounds[0] + rounds[1]).alias("rounds"),
+        *[F.bool_and(missing(c)).alias(f"without_{c}") for c, _, _ in K.INVOICE_LINE_FIELDS])
+    joined = headers.join(per_document, ["package_id", "doc_id"], "left")
+    return joined.withColumns({"amounts": F.coalesce("amounts", F.lit(0)) + used[0] + used[1], "rounds": F.coalesce("rounds", F.lit(0)) + rounds[0] + rounds[1]})
+
+
+def round_amounts(amounts: Column, rounds: Column) -> list[Column]:
+    """Findings of a document by the number of its amounts and of round ones among them."""
+    ratio = F.try_divide(rounds, amounts)
+    pct = F.concat(plain_whole(ratio * 100), F.lit("%"))
+    shown = F.concat(rounds.cast("string"), F.lit("/"), amounts.cast("string"), F.lit(" ("), pct, F.lit(")"))
+    enough, high = amounts >= K.ROUNDED_MIN_AMOUNTS, ratio > K.ROUNDED_HIGH_RATIO
+    return [
+        finding(enough & high, "medium", text_of("High proportion of rounded amounts: ", shown),
+                text_of(pct, " of the amounts are suspiciously rounded (divisible by 10,000 and >10,000). "
+                             "Above 25% may indicate fraud (Journal of Accountancy, 2018)."),
+                "check_05_rounded_amounts"),
+        finding(enough & ~high & (ratio > K.ROUNDED_LOW_RATIO), "low", text_of("Notable proportion of rounded amounts: ", shown),
+                text_of(pct, " of the amounts are rounded. Above 15% is higher than the typical baseline."), "check_05_rounded_amounts"),
     ]
-    out = parts[0].select(*FINDING_COLUMNS)
-    for p in parts[1:]:
-        out = out.unionByName(p.select(*FINDING_COLUMNS))
-    return out
 
 
-def contract_findings(contracts: DataFrame) -> DataFrame:
+def lines_without(field=lambda c: F.col(f"without_{c}")) -> list[Column]:
+    """Findings of a document none of whose lines has an element; ``field`` tells whether that is so."""
+    return [
+        finding(field(c), sev, f"Missing mandatory line-item element: {label}",
+                f"Per {K.REG_INVOICE}, '{label}' is mandatory for every line item. None of the items contain it.", "check_01_invoice_mandatory", 10 + i)
+        for i, (c, label, sev) in enumerate(K.INVOICE_LINE_FIELDS)
+    ]
+
+
+def sum_of_lines(calc: Column, net: Column) -> Column:
+    return math_error(
+        (calc > 0) & (F.abs(calc - net) > 1),
+        text_of("Line items' net total (", plain_whole(calc), ") does not match the document total (", plain_whole(net), ")"), 0)
+
+
+def _register() -> None:
+    """The rules that come with the library."""
     c = F.col
-    return emit(contracts, [contract_dates(c("effective_date"), c("expiry_date"), "validation")]
-                + completeness(c("termination_terms"), c("governing_law"), c("penalty"), c("total_value"), c("currency"), c("confidentiality_clause"))
-                + [proportionality(c("penalty"), c("total_value"), c("currency")), contract_dates(c("effective_date"), c("expiry_date"))]
-                + masked("check_02_tax_cdv", party_tax_ids([(c("party_a"), c("party_a_tax_id")), (c("party_b"), c("party_b_tax_id"))]))
-                + [risk_country(c("party_a_tax_id"), c("party_a"), 200), risk_country(c("party_b_tax_id"), c("party_b"), 201)],
-                arrays=[sanctions(c("party_a"), "party"), sanctions(c("party_b"), "party")])
+    for check_id, scope, build, several in [
+        ("basic_math_error", "invoice", lambda _: [totals(c("total_net"), c("total_vat"), c("total_gross")), sum_of_lines(c("line_net"), c("total_net"))], False),
+        ("basic_date_error", "invoice", lambda _: [due_before_issue(c("issue_date"), c("payment_due_date"))], False),
+        ("check_01_invoice_mandatory", "invoice", lambda _: [*mandatory_fields(), buyer_tax_id(c("total_vat"), c("customer_tax_id")), *lines_without()], False),
+        ("check_02_tax_cdv", "invoice", lambda _: invoice_tax_ids(), False),
+        ("check_05_rounded_amounts", "invoice", lambda _: round_amounts(c("amounts"), c("rounds")), False),
+        ("check_07_materiality", "invoice", lambda _: [materiality(c("total_gross"))], False),
+        ("check_13_aml_sanctions", "invoice", lambda _: [sanctions(c("issuer_name"), "issuer"), sanctions(c("customer_name"), "customer")], True),
+        ("plausibility_plausibility", "invoice", lambda columns: negative_amounts(["total_net", "total_vat", "total_gross"]) + plausible_dates(columns), False),
+        ("basic_math_error", "line", lambda _: line_math(), False),
+        ("plausibility_plausibility", "line", lambda _: [vat_rate_plausible(c("vat_rate"), c("description"))], False),
+        ("basic_date_error", "contract", lambda _: [contract_dates(c("effective_date"), c("expiry_date"), "validation")], False),
+        ("check_02_tax_cdv", "contract", lambda _: party_tax_ids([(c("party_a"), c("party_a_tax_id")), (c("party_b"), c("party_b_tax_id"))]), False),
+        ("check_03_contract_completeness", "contract",
+         lambda _: completeness(c("termination_terms"), c("governing_law"), c("penalty"), c("total_value"), c("currency"), c("confidentiality_clause")), False),
+        ("check_04_proportionality", "contract", lambda _: [proportionality(c("penalty"), c("total_value"), c("currency"))], False),
+        ("check_13_aml_sanctions", "contract", lambda _: [risk_country(c("party_a_tax_id"), c("party_a"), 200), risk_country(c("party_b_tax_id"), c("party_b"), 201)], False),
+        ("check_13_aml_sanctions", "contract", lambda _: [sanctions(c("party_a"), "party"), sanctions(c("party_b"), "party")], True),
+        ("check_14_contract_dates", "contract", lambda _: [contract_dates(c("effective_date"), c("expiry_date"))], False),
+        ("check_08_gdpr_28", "wording", lambda _: data_processing(c("low")), False),
+        ("check_09_dd_red_flags", "wording", lambda _: red_flags(c("low"), c("total_value")), False),
+        ("check_10_incoterms", "wording", lambda _: incoterms(c("body")), False),
+        ("check_11_ifrs_har", "wording", lambda _: ifrs_anomalies(c("low")), False),
+    ]:
+        register(check_id, scope, several=several)(build)
+
+
+_register()
+
+
+def invoice_findings(headers: DataFrame, lines: DataFrame, keys: tuple = ("package_id", "doc_id")) -> DataFrame:
+    """Every rule that applies to invoices: one pass over headers with the totals of their lines, one over lines.
+
+    A ``file_name`` among ``keys`` must be in both tables.
+    """
+    return run_scope("invoice", with_line_totals(headers, lines), keys).unionByName(run_scope("line", lines, keys))
+
+
+def contract_findings(contracts: DataFrame, keys: tuple = ("package_id", "doc_id")) -> DataFrame:
+    return run_scope("contract", contracts, keys)
+
+
+def wordings(documents: DataFrame) -> DataFrame:
+    """Contracts and reports as the wording rules read them: ``body`` (the searchable text) and ``low`` (in lower case).
+
+    Needs quotes and risk_elements (arrays of text), clauses (array of name and content), contract_type, and for
+    financial reports line_descriptions (array), report_type and standard.
+    """
+    base = rule_text(F.concat_ws(" ", "quotes"), F.col("clauses"), F.concat_ws(" ", "risk_elements"), F.col("contract_type"))
+    report = report_rule_text(base, F.col("line_descriptions"), F.col("report_type"), F.col("standard"))
+    whole = documents.withColumn("body", F.when(F.col("doc_type") == "financial_report", report).otherwise(base))
+    return whole.withColumn("low", F.lower("body"))
+
+
+def wording_findings(documents: DataFrame, keys: tuple = ("package_id", "doc_id")) -> DataFrame:
+    """Rules on what contracts and reports say."""
+    return run_scope("wording", wordings(documents), keys)
 
 
 def first_per_package(findings: DataFrame, order=("stage", "doc_id", "rule_ord", "seq")) -> DataFrame:

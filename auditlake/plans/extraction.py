@@ -159,9 +159,12 @@ QUOTES_SQL = "q as (select package_id, doc_id, unnest([q1, q2, q3, q4]) as quote
     "g as (select package_id, doc_id, count(*) filter (ok) as n_valid, count(*) filter (not ok) as n_invalid from k group by 1, 2)"
 
 
+def quoted(t):
+    return t.v_quote.withColumn("quotes", F.array("q1", "q2", "q3", "q4")).withColumn("file_name", F.concat(F.lit("doc_"), c("doc_id").cast("string"), F.lit(".txt")))
+
+
 def checked(t):
-    docs = t.v_quote.withColumn("quotes", F.array("q1", "q2", "q3", "q4")).withColumn("file_name", F.concat(F.lit("doc_"), c("doc_id").cast("string"), F.lit(".txt")))
-    return candidates.check_quotes(docs)
+    return candidates.check_quotes(quoted(t))
 
 
 @query("quote_check", f"with {QUOTES_SQL} select doc_id, quote, bool_or(ok) as found from k group by 1, 2")

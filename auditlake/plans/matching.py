@@ -193,12 +193,15 @@ def _(t):
     return duplicates.near_duplicates(docs, "gross_bucket")
 
 
-@query("dup_findings", """
+DUPLICATES_SQL = """
 with g as (select *, count(*) over w as n, min(doc_id) over w as f from {v_invoice} where trim(invoice_number) <> '' window w as (partition by package_id, lower(trim(issuer_name)), lower(trim(invoice_number)))),
  p as (select a.package_id, a.doc_id, min(b.doc_id) as f from {v_invoice} a join {v_invoice} b on a.package_id = b.package_id and a.issuer_name = b.issuer_name and a.gross_bucket = b.gross_bucket and a.invoice_number <> b.invoice_number
   where abs(date_diff('day', cast(a.issue_date as date), cast(b.issue_date as date))) <= 13 group by 1, 2)
 select package_id, doc_id, 'high' as severity, 'Duplicate invoice number: ' || lower(trim(invoice_number)) || ' (' || f || ' vs ' || doc_id || ')' as description from g where n > 1 and doc_id > f
-union all select package_id, doc_id, 'medium', 'Same issuer and amount, different invoice number: ' || f || ' vs ' || doc_id from p""")
+union all select package_id, doc_id, 'medium', 'Same issuer and amount, different invoice number: ' || f || ' vs ' || doc_id from p"""
+
+
+@query("dup_findings", DUPLICATES_SQL)
 def _(t):
     docs = invoices(t)
     found = duplicates.exact_duplicate_findings(docs).unionByName(duplicates.near_duplicate_findings(docs, "gross_bucket"))
