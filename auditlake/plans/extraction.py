@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from auditlake import constants as K
-from auditlake.operators import candidates, extract
+from auditlake.operators import candidates, dynamic, extract
 from auditlake.plans.registry import query, sql_list
 from auditlake.plans.scalar import WORDS_SQL
 
@@ -130,6 +130,51 @@ def _(t):
     return extract.flatten_universal(docs).select("package_id", "doc_id", "invoice_number", "issue_date", "total_gross", "currency", "issuer_name", "customer_name")
 
 
+#: Universal payloads that can be read, as JSON.
+JSON_SQL = "(select *, json(payload) as j from {v_universal} where json_valid(payload))"
+
+
+def party_sql(which: int, words: list[str], but: list[str]) -> str:
+    """Name of the first party with a role, else of the party at a place."""
+    role = "lower(coalesce(x ->> '$.role', ''))"
+    hit = " or ".join(f"contains({role}, '{w}')" for w in words)
+    no = " or ".join(f"contains({role}, '{w}')" for w in but) or "false"
+    parties = "from_json(j -> '$.parties', '[\"json\"]')"
+    return f"coalesce(list_filter({parties}, lambda x: json_type(x) = 'OBJECT' and ({hit}) and not ({no}))[1] ->> '$.name', case when json_type(j, '$.parties[{which}]') = 'OBJECT' then j ->> '$.parties[{which}].name' end)"
+
+
+FLAT = {
+    "invoice_number": "j ->> '$.document_number'", "document_type": "coalesce(nullif(j ->> '$.document_type', ''), doc_type)", "issue_date": "j ->> '$.dates.issue'", "fulfillment_date": "j ->> '$.dates.fulfillment'",
+    "payment_due_date": "j ->> '$.dates.payment_due'", "signature_date": "j ->> '$.dates.signature'", "total_net": "try_cast(j ->> '$.amounts.total_net' as double)", "total_gross": "j ->> '$.amounts.total_gross'",
+    "currency": "case when json_type(j, '$.amounts.currency') is null then 'USD' else j ->> '$.amounts.currency' end", "issuer": party_sql(0, K.ISSUER_ROLES, []), "customer": party_sql(1, K.CUSTOMER_ROLES, K.ISSUER_ROLES),
+    "line_items": "case when json_array_length(j, '$.line_items') > 0 then json_array_length(j, '$.line_items')::varchar end", "contract_type": "j ->> '$.contract_elements.contract_type'", "penalty": "j ->> '$.contract_elements.penalty.amount'",
+    "confidentiality_clause": "j ->> '$.contract_elements.confidentiality_clause'", "key_clauses": "case when json_array_length(j, '$.contract_elements.key_clauses') > 0 then j ->> '$.contract_elements.key_clauses[0].content' end",
+    "_quotes": "j ->> '$._quotes[1]'", "_source": "j ->> '$._source.file_name'"}
+FLAT_SQL = f"f as (select package_id, doc_id, j, {', '.join(f'{v} as {k}' for k, v in FLAT.items())} from {JSON_SQL} where json_exists(j, '$.dates'))"
+
+
+@query("flatten_payload", f"""with {FLAT_SQL} select package_id, doc_id, {', '.join(FLAT)}, array_to_string(list_sort(list_filter([{', '.join(f"case when {k} is not null then '{k}' end" for k in FLAT)}, case when invoice_number is not null then 'document_number' end], lambda x: x is not null)), ',') as fields from f
+union all select package_id, doc_id, {', '.join(f'null as {k}' for k in FLAT)}, case when json_valid(payload) then 'parties,total_gross' end from {{v_universal}} where not json_valid(payload) or not json_exists(json(payload), '$.dates')""")
+def _(t):
+    """Every field of universal payloads; those of another shape keep their own fields, broken ones have none."""
+    flat = dynamic.flat_payloads(t.v_universal)
+    part = {"issuer": "name", "customer": "name", "penalty": "amount", "_source": "file_name"}
+    value = {k: F.col("flat")[k] for k in FLAT}
+    shown = {k: dynamic.text(dynamic.get(v, part[k]) if k in part else v) for k, v in value.items()}
+    shown["total_net"] = dynamic.number(value["total_net"])
+    shown["line_items"] = F.size(F.try_variant_get(value["line_items"], "$", "array<variant>")).cast("string")
+    shown["key_clauses"] = F.try_variant_get(value["key_clauses"], "$[0].content", "string")
+    shown["_quotes"] = F.try_variant_get(value["_quotes"], "$[1]", "string")
+    return flat.select("package_id", "doc_id", *[v.alias(k) for k, v in shown.items()], F.array_join("fields", ",").alias("fields"))
+
+
+@query("alias_items", f"""select doc_id, i as ord, case i when 0 then case when doc_id % 3 = 0 then '' else cast(doc_id % 3 as varchar) end else '' end as item_code, case i when 0 then 'bolt m' || (doc_id % 7) else 'nut' end as description,
+  case i when 0 then cast(doc_id % 9 as double) else 2.5::double end as quantity from {JSON_SQL}, (values (0), (2)) x(i) where json_array_length(j, '$.line_items') > 0""")
+def _(t):
+    """Line items whose fields go by several names; what is no object is no item."""
+    return dynamic.items(t.v_universal.select("doc_id", "payload")).select("doc_id", "ord", "item_code", "description", "quantity")
+
+
 @query("merge_chunks", """
 select conv_id, arg_min(text, turn) filter (role = 'assistant') as answer, arg_min(text, turn) filter (turn > 1) as later, array_to_string(list(role || cast(turn as varchar) order by turn), ',') as trail
 from {conversations} group by 1""")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from auditlake.functions.numbers import money
-from auditlake.operators import duplicates, matching
+from auditlake.operators import duplicates, dynamic, matching
 from auditlake.plans.registry import query
 from auditlake.plans.scalar import TIER_SQL
 
@@ -80,6 +80,14 @@ def _(t):
     return out.select(*KEYS, "seq", F.substring_index("field_name", " ", 1).alias("field_level"), "severity")
 
 
+@query("match_alias", f"with {HEADERS_SQL} {amounts_sql()}")
+def _(t):
+    """The same comparison from payloads that name their amounts in different ways."""
+    found = dynamic.trio_headers(t.v_alias, KEYS)
+    out = matching.explode_results(found, [matching.levelled_amounts(a, b, i, set(found.columns)) for i, (a, b) in enumerate(matching.PAIRS)])
+    return out.select(*KEYS, "seq", F.substring_index("field_name", " ", 1).alias("field_level"), "severity")
+
+
 @query("match_items", items_sql("{v_inv_line}", "{v_po_line}"))
 def _(t):
     x = items(t, "invoice", "purchase_order")

@@ -212,6 +212,37 @@ union all select package_id, doc_id, concat('scan_', cast(doc_id as string), '.t
 union all select package_id, doc_id, concat('scan_', cast(doc_id as string)), 'financial_report', report_text from {v_text}
 union all select package_id, doc_id, concat('letter_', cast(doc_id as string), '.eml'), 'other', letter_text from {v_text}"""
 
+# universal payloads as JSON text (with <> for braces until the end): parties with and without roles, a null and a missing currency, other shapes, and broken ones
+VIEWS["v_universal"] = """
+select package_id, doc_id, 'invoice' as doc_type,
+  translate(case when doc_id % 11 = 0 then concat('<"parties":[<"name":"', customer_name, '">],"total_gross":5>')
+    when doc_id % 23 = 0 then '<"dates": broken'
+    else concat('<"document_number":"', invoice_number, '","document_type":', case doc_id % 4 when 0 then 'null' when 1 then '""' else '"bill"' end,
+      ',"dates":<"issue":"', issue_date, '","payment_due":"', payment_due_date, '"', case when fulfillment_date is null then '' else concat(',"fulfillment":"', fulfillment_date, '"') end,
+      ',"signature":', case when doc_id % 2 = 0 then 'null' else concat('"', issue_date, '"') end, '>',
+      case when doc_id % 13 = 0 then '' else concat(',"amounts":<"total_net":', cast(cast(total_net as decimal(18,2)) as string), ',"total_gross":"', cast(cast(total_gross as decimal(18,2)) as string), '"',
+        case doc_id % 3 when 0 then ',"currency":null' when 1 then '' else ',"currency":"EUR"' end, '>') end,
+      ',"parties":[', case doc_id % 5
+        when 0 then concat('<"name":"', issuer_name, '","role":"Lessee">,<"name":"', customer_name, '","role":"main Vendor">')
+        when 1 then concat('<"name":"', issuer_name, '","role":null>,<"name":"', customer_name, '">')
+        when 2 then concat('"', issuer_name, '",<"name":"', customer_name, '","role":"BUYER">')
+        when 3 then concat('<"name":"', issuer_name, '","role":"supplier of the customer">') else '' end, ']',
+      ',"line_items":', case when doc_id % 2 = 0 then '[]' else concat('[<"qty":"', cast(doc_id % 9 as string), ' ","name":" Bolt ','M', cast(doc_id % 7 as string), '","sku":', cast(doc_id % 3 as string), '>,"text",<"mennyiseg":2.5,"megnevezes":"","name":"Nut">]') end,
+      ',"contract_elements":<"contract_type":"lease","penalty":<"amount":', cast(doc_id % 2 as string), '>,"confidentiality_clause":false,"key_clauses":', case when doc_id % 6 = 0 then '[]' else '[<"name":"Term","content":"one year">]' end, '>',
+      ',"_quotes":["a","b"],"_confidence":<>,"_source":<"file_name":"f', cast(doc_id as string), '.pdf">>') end, '<>', concat(chr(123), chr(125))) as payload
+from {v_invoice}"""
+
+# trio documents as payloads that name their amounts in different ways
+VIEWS["v_alias"] = """
+select package_id, doc_id, doc_type, doc_ord, translate(payload, '<>', concat(chr(123), chr(125))) as payload from (
+select package_id, doc_id, 'invoice' as doc_type, 1 as doc_ord, concat('<"issue_date":"', issue_date, '","total":77,',
+  case doc_id % 4 when 0 then '"total_gross":null,"gross_total":' when 1 then '"total_gross":"n/a","brutto_vegosszeg":' when 2 then '"brutto_osszeg":' else '"total_gross":' end, case when doc_id % 2 = 0 then concat('"', cast(cast(total_gross as decimal(18,2)) as string), ' Ft"') else cast(cast(total_gross as decimal(18,2)) as string) end,
+  ',', case doc_id % 3 when 0 then '"net_amount":' when 1 then '"total_net":[],"netto_osszeg":' else '"total_net":' end, cast(cast(total_net as decimal(18,2)) as string), '>') as payload from {v_invoice}
+union all
+select package_id, doc_id, 'purchase_order', 1, concat('<"issue_date":"', order_date, '","gross_amount":', case when total_gross is null then 'null' else cast(cast(total_gross as decimal(18,2)) as string) end, ',"netto_vegosszeg":"', cast(cast(total_net as decimal(18,2)) as string), '">') from {v_po}
+union all
+select package_id, doc_id, 'delivery_note', 1, concat('<"notes":"none"', case when total_net is null then '' else concat(',"net_total":', cast(cast(total_net as decimal(18,2)) as string)) end, '>') from {v_dn})"""
+
 # amounts and dates the way people type them
 VIEWS["v_messy"] = """
 select o_orderkey as doc_id, case o_orderkey % 16
