@@ -218,3 +218,12 @@ def merge_parts(parts: DataFrame, key: list[str], ord_col: str, scalars: list[st
 def business_fields(payload: Column) -> Column:
     """Payload map without bookkeeping fields."""
     return F.map_filter(payload, lambda k, _: ~k.startswith("_"))
+
+
+def package_view(docs: DataFrame, payload: str = "payload") -> DataFrame:
+    """Documents of a package as they are shown: package_id, doc_id, label and the names of their business fields, sorted.
+
+    Documents without a type, or without a payload or with an empty one, are left out.
+    """
+    kept = docs.where(F.col("doc_type").isNotNull() & (F.col("doc_type") != "") & (F.coalesce(F.size(payload), F.lit(0)) > 0))
+    return kept.select("package_id", "doc_id", labels.doc_label(F.col("doc_type")).alias("label"), F.array_sort(F.map_keys(business_fields(F.col(payload)))).alias("fields"))

@@ -233,3 +233,49 @@ def diff_documents(a: DataFrame, b: DataFrame, keys: list[str], nested: list[str
         same, result(F.lit(True), 0, "match", "ok", text_of("'", f, "' matches"), f)
     ).otherwise(result(F.lit(True), 0, "mismatch", "warning", text_of("'", f, "' differs: '", va, "' vs '", vb, "'"), f, expected_str=va, actual_str=vb))
     return explode_results(both, [rows], keys)
+
+
+# --- two documents by request -------------------------------------------------------
+
+def compare_requests(requests: DataFrame, docs: DataFrame, items: DataFrame) -> DataFrame:
+    """Compare the two documents of each request, three-way where the third of their trio is in the package.
+
+    ``requests``: request_id, package_id, file_a, file_b.  ``docs``: package_id, file_name, doc_ord, doc_type, fields
+    (map of the payload's text fields), total_gross, total_net, amount, date.  ``items``: package_id, file_name,
+    item_code, description, quantity, ord.  Two documents of different trio types whose package has one of the third type
+    (the first by doc_ord) are matched with it; all others are compared field by field, over the union of their fields.
+    Result: request_id, mode (three_way or two_documents), third_file and the match results.  A request one of whose
+    files is unknown gives one row, of mode not_found.
+    """
+    known = docs.select("package_id", "file_name", "doc_type")
+    asked = requests.select("request_id", "package_id", "file_a", "file_b")
+    for side in ("a", "b"):
+        asked = asked.join(known.select("package_id", F.col("file_name").alias(f"file_{side}"), F.col("doc_type").alias(f"type_{side}")), ["package_id", f"file_{side}"], "left")
+    trio = [F.coalesce(F.col(f"type_{s}").isin(K.TRIO_TYPES), F.lit(False)) for s in ("a", "b")]
+    pair = trio[0] & trio[1] & (F.col("type_a") != F.col("type_b"))
+    found = F.col("type_a").isNotNull() & F.col("type_b").isNotNull()
+    placed = third_document(asked, docs).withColumn("third_file", F.when(pair, F.col("third_file")))
+    placed = materialise(placed.withColumn("mode", F.when(~found, "not_found").when(F.col("third_file").isNotNull(), "three_way").otherwise("two_documents")), "requests")
+    empty = placed.where("mode = 'not_found'").select("request_id", "mode", "third_file")
+    sides = placed.select("request_id", "package_id", "mode", F.explode(F.array_compact(F.array(*[
+        F.struct(F.lit(side).alias("side"), F.col(file).alias("file_name")) for side, file in (("a", "file_a"), ("b", "file_b"), ("third", "third_file"))]))).alias("x"))
+    sides = sides.select("request_id", "package_id", "mode", "x.*").where("file_name is not null")
+
+    # three documents: one row of headers for each request, keyed like a package of its own
+    three = sides.where("mode = 'three_way'")
+    read = three.join(docs, ["package_id", "file_name"])
+    value = F.struct("total_gross", "total_net", "amount", "date")
+    heads = read.groupBy("package_id", F.col("request_id").alias("doc_id")).agg(*[F.first(F.when(F.col("doc_type") == k, value), ignorenulls=True).alias(k) for k in K.TRIO_TYPES])
+    headers = heads.select(*KEYS, *[F.col(f"{k}.{f}").alias(f"{k}_{f}") for k in K.TRIO_TYPES for f in ("total_gross", "total_net", "amount", "date")])
+    own = three.join(items, ["package_id", "file_name"]).join(known, ["package_id", "file_name"]).withColumn("doc_id", F.col("request_id"))
+    columns = [*KEYS, "item_code", "description", "quantity", "ord"]
+    matched = three_way(headers, {k: own.where(F.col("doc_type") == k).select(*columns) for k in K.TRIO_TYPES})
+
+    # two documents: their fields side by side
+    two = sides.where("mode = 'two_documents'").join(docs.select("package_id", "file_name", "fields"), ["package_id", "file_name"])
+    long = two.select("package_id", F.col("request_id").alias("doc_id"), "side", F.explode("fields").alias("field_name", "value")).where(~F.col("field_name").startswith("_"))
+    a, b = (long.where(F.col("side") == side).select(*KEYS, "field_name", F.col("value").alias(f"value_{side}")) for side in ("a", "b"))
+    differing = diff_documents(a, b, KEYS)
+
+    results = matched.unionByName(differing).withColumnRenamed("doc_id", "request_id").drop("package_id")
+    return placed.select("request_id", "mode", "third_file").join(results, "request_id").unionByName(empty, allowMissingColumns=True)

@@ -179,6 +179,55 @@ def _(t):
     return matching.third_document(asked, t.v_document).select("package_id", "doc_id", "third_type", "third_file")
 
 
+#: Every order asks for its invoice against its purchase order (matched with the first delivery note of the package, if
+#: there is one), its delivery note against its contract, and its invoice against a file that is not there.
+ASKED_SQL = f"""
+ o as (select i.package_id, i.doc_id, i.total_net as n1, p.total_net as n2, i.total_gross as g1, p.total_gross as g2, i.issue_date as d1, p.order_date as d2 from {{v_invoice}} i join {{v_po}} p on i.doc_id = p.doc_id),
+ fd as (select package_id, arg_min(file_name, doc_ord) as third_file, arg_min(doc_ord // 4, doc_ord) as third from {{v_document}} where doc_type = 'delivery_note' group by 1),
+ dn as (select d.package_id, d.doc_id, d.total_net as n3 from {{v_dn}} d),
+ h as (select o.package_id, o.doc_id, o.g1 as invoice_total_gross, o.n1 as invoice_total_net, o.d1 as invoice_date, o.g2 as purchase_order_total_gross, o.n2 as purchase_order_total_net, o.d2 as purchase_order_date,
+   cast(null as double) as delivery_note_total_gross, n3 as delivery_note_total_net from o join fd using (package_id) join dn on dn.doc_id = fd.third),
+ c as (select c.package_id, c.doc_id, c.total_value, c.currency, d.n3 from {{v_contract}} c join dn d on d.doc_id = c.doc_id)"""
+
+
+def requested(t):
+    """Requests, documents and (no) items of the query below."""
+    base = t.v_invoice.select("package_id", "doc_id")
+    file = lambda kind, end: F.concat(F.lit(f"{kind}_"), c("doc_id").cast("string"), F.lit(end))
+    asked = [("three", file("invoice", ".pdf"), file("order", ".png")), ("two", file("delivery", ".docx"), file("contract", ".txt")), ("none", file("invoice", ".pdf"), F.lit("missing.pdf"))]
+    requests = None
+    for i, (_, a, b) in enumerate(asked):
+        part = base.select((c("doc_id") * 3 + i).alias("request_id"), "package_id", a.alias("file_a"), b.alias("file_b"))
+        requests = part if requests is None else requests.unionByName(part)
+    text = lambda x: c(x).cast("decimal(18,2)").cast("string")
+
+    def docs(view, name, kind, date, gross, net, fields):
+        listed = F.map_filter(F.create_map(*[x for k, v in fields.items() for x in (F.lit(k), v)]), lambda _, v: v.isNotNull())
+        return view.select("package_id", name.alias("file_name"), (c("doc_id") * 4 + kind).alias("doc_ord"), "doc_type", listed.alias("fields"), gross.alias("total_gross"), net.alias("total_net"), F.lit(None).cast("double").alias("amount"), date.alias("date"))
+
+    null, none = F.lit(None).cast("double"), F.lit(None).cast("string")
+    every = docs(t.v_invoice, file("invoice", ".pdf"), 0, c("issue_date"), c("total_gross"), c("total_net"), {"total_gross": text("total_gross")})
+    every = every.unionByName(docs(t.v_po, file("order", ".png"), 2, c("order_date"), c("total_gross"), c("total_net"), {"total_gross": text("total_gross")}))
+    every = every.unionByName(docs(t.v_dn, file("delivery", ".docx"), 1, none, c("total_gross"), c("total_net"), {"total": text("total_net"), "_source": F.lit("x"), "note": F.lit("Paid in EUR")}))
+    every = every.unionByName(docs(t.v_contract, file("contract", ".txt"), 3, none, null, null, {"total": text("total_value"), "currency": c("currency"), "note": F.lit(" paid in eur")}))
+    return requests, every, t.v_inv_line.where("false").select("package_id", none.alias("file_name"), "item_code", "description", "quantity", none.alias("ord"))
+
+
+@query("compare_auto", f"""with {ASKED_SQL}, am as ({amounts_sql()})
+select doc_id * 3 as request_id, 'three_way' as mode, third_file, field_level as field, severity from am join fd using (package_id)
+union all select doc_id * 3, 'three_way', third_file, 'date', 'warning' from h join fd using (package_id) where invoice_date < purchase_order_date
+union all select doc_id * 3, 'two_documents', null, 'total_gross', case when g2 is null then 'warning' else {TIER_SQL.format(a='g1', b='g2')} end from o where package_id not in (select package_id from fd) and (g2 is null or {TIER_SQL.format(a='g1', b='g2')} is not null)
+union all select doc_id * 3 + 1, 'two_documents', null, 'total', case when n3 is null then 'warning' else {TIER_SQL.format(a='n3', b='total_value')} end from c where n3 is null or {TIER_SQL.format(a='n3', b='total_value')} is not null
+union all select doc_id * 3 + 1, 'two_documents', null, 'note', 'ok' from c union all select doc_id * 3 + 1, 'two_documents', null, 'currency', 'warning' from c where currency is not null
+union all select doc_id * 3 + 1, 'not_found', null, null, null from {{v_invoice}} where doc_id not in (select doc_id from dn)
+union all select doc_id * 3 + 2, 'not_found', null, null, null from {{v_invoice}}""")
+def _(t):
+    """Each request by its own way: three-way, two documents, or not found."""
+    found = matching.compare_requests(*requested(t))
+    field = F.when(c("mode") == "three_way", F.substring_index("field_name", " ", 1)).otherwise(c("field_name"))
+    return found.select("request_id", "mode", "third_file", field.alias("field"), "severity")
+
+
 def invoices(t):
     return t.v_invoice.withColumn("doc_ord", c("doc_id"))
 
