@@ -3,13 +3,15 @@
 Equal sets are one node. Any two sets of similarity t share a token among the first of each in a common order (rare
 tokens first), so lists of these prefix tokens hold every candidate. Two kinds of work are skipped:
 
-* *Lists* are kept by size and position and cut into blocks. Where the sizes of two blocks are too far apart, or what
-  follows the token in both is too little for the overlap that is asked for, the blocks are skipped without a look
-  at their pairs (``fitting``).
-* *Answers*: every list names a leader, the most copied of its sets. The similarity of each set to its leaders is
-  computed first. Sets linked with their leader are linked with each other already; and since 1 - similarity is a
-  metric, of two sets that differ much in their distance from the leader none is an answer of the other. What
-  remains of a set's answers is derived from the leader's in this way, and only these pairs are compared in full.
+* *Lists* are kept by size and position and cut into blocks. Two sets can share no more than what stands before the
+  token in both, the token, and what follows it in both; blocks whose sizes or positions leave too little for the
+  overlap that is asked for are skipped without a look at their pairs (``fitting``).
+* *Answers*: every list names a leader, first the most copied of its sets, and a set's similarity to the leader with
+  which it shares most lists is computed. Sets linked with the same leader are linked with each other already. One
+  more turn with several other leaders, for lists that are not of one class yet, leaves few sets outside; these are held
+  against the classes they meet: only if they share as many lists with a class as a similar set must share
+  with one of its members (``shared``), and then only against members that the leader's computed answers leave open
+  (1 - similarity is a metric, so two sets that differ much in their distance from a leader are not similar).
 
 Tokens are 64-bit hashes. The order needs only the frequent tokens, found by counters of bounded number over all rows;
 any order gives the same result. Lists of frequent tokens are dealt out by size and number.
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlake.llm.common import arrow_rows, id_and_text
@@ -40,6 +42,8 @@ BATCH = 1 << 22
 BLOCK = 128
 HOMES = 20_000
 PAIRS = 4096
+#: Leaders that a set is compared with, by turn, before it is held against classes.
+LEADERS = (1, 6)
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
@@ -204,20 +208,29 @@ def entries(found: DataFrame, known, homes: int = HOMES) -> DataFrame:
     return found.select("node", "n", "prefix").mapInArrow(run, "list long, node long, place long")
 
 
+def shared(n, m):
+    """Least number of prefix tokens that similar sets of ``n`` and ``m`` tokens have in common.
+
+    Of the common tokens all up to the end of the prefix that ends first are in both prefixes; the rest follow it.
+    """
+    length = lambda x: x - (PERCENT * x + 99) // 100 + 1
+    return np.maximum(1, enough(n, m) - np.maximum(n - length(n), m - length(m)))
+
+
 def fitting(n: np.ndarray, pos: np.ndarray, away: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (i < j) of entries of one list, in order of size, that may be similar; block by block, with blocks skipped by size and position."""
     rest, starts = n - pos, range(0, len(n), BLOCK)
     low, high = [int(n[s]) for s in starts], [int(n[min(s + BLOCK, len(n)) - 1]) for s in starts]
-    left = [int(rest[s : s + BLOCK].max()) for s in starts]
+    behind, before = [int(rest[s : s + BLOCK].max()) for s in starts], [int(pos[s : s + BLOCK].max()) for s in starts]
     for a, s in enumerate(starts):
         for b in range(a, len(low)):
             if PERCENT * low[b] > 100 * high[a]:
                 break
-            if min(left[a], left[b]) < enough(low[a], low[b]):
+            if min(before[a], before[b]) + min(behind[a], behind[b]) < enough(low[a], low[b]):
                 continue
             t = b * BLOCK
             x, y = slice(s, s + BLOCK), slice(t, t + BLOCK)
-            fit = np.minimum(rest[x, None], rest[None, y]) >= enough(n[x, None], n[None, y])
+            fit = np.minimum(pos[x, None], pos[None, y]) + np.minimum(rest[x, None], rest[None, y]) >= enough(n[x, None], n[None, y])
             fit &= PERCENT * n[None, y] <= 100 * n[x, None]
             fit &= ~(away[x, None] & away[None, y])
             if a == b:
@@ -254,8 +267,8 @@ def _unpack(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return place >> 32, place & (AWAY - 1), (place & AWAY) != 0
 
 
-def led(listed: DataFrame) -> DataFrame:
-    """The entries that have a partner in their list: list, node, place, leader (null where its size does not fit)."""
+def partnered(listed: DataFrame) -> DataFrame:
+    """The entries that have a partner in their list: list, node, place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, node, place in _lists(batches, ["list", "node", "place"]):
@@ -264,64 +277,126 @@ def led(listed: DataFrame) -> DataFrame:
             kept = np.zeros(len(key), dtype=bool)
             two = start[size == 2]
             x, y = two, two + 1
-            fit = (np.minimum((n - pos)[x], (n - pos)[y]) >= enough(n[x], n[y])) & (PERCENT * np.maximum(n[x], n[y]) <= 100 * np.minimum(n[x], n[y])) & ~(away[x] & away[y])
+            fit = (np.minimum(pos[x], pos[y]) + np.minimum((n - pos)[x], (n - pos)[y]) >= enough(n[x], n[y])) & (PERCENT * np.maximum(n[x], n[y]) <= 100 * np.minimum(n[x], n[y])) & ~(away[x] & away[y])
             kept[x[fit]] = kept[y[fit]] = True
             for s, m in zip(start[size > 2].tolist(), size[size > 2].tolist()):
                 order = s + np.lexsort((pos[s : s + m], n[s : s + m]))
                 for i, j in fitting(n[order], pos[order], away[order]):
                     kept[order[i]] = kept[order[j]] = True
-            if not kept.any():
-                continue
-            key, node, place, n = key[kept], node[kept], place[kept], n[kept]
-            start, size = _edges(key)
-            leader = np.repeat(np.minimum.reduceat(node, start), size)
-            at = np.flatnonzero(leader == node)
-            its = np.zeros(len(key), dtype=np.int64)
-            its[start] = n[at[np.searchsorted(at, start)]]
-            its = np.repeat(its[start], size)
-            far = PERCENT * np.maximum(n, its) > 100 * np.minimum(n, its)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node), pa.array(place), pa.array(leader, mask=far)], ["list", "node", "place", "leader"])
+            if kept.any():
+                yield pa.RecordBatch.from_arrays([pa.array(key[kept]), pa.array(node[kept]), pa.array(place[kept])], ["list", "node", "place"])
+
+    return listed.repartition("list").sortWithinPartitions("list").mapInArrow(run, "list long, node long, place long")
+
 
-    return listed.repartition("list").sortWithinPartitions("list").mapInArrow(run, "list long, node long, place long, leader long")
+def _by_list(rooted: DataFrame) -> DataFrame:
+    return rooted.repartition("list").sortWithinPartitions("list")
 
 
-def open_pairs(known_entries: DataFrame) -> DataFrame:
-    """Pairs (a, b) that the leaders do not settle: list, node, place, root (of what is linked so far) and similarity to the list's leader (null if unknown)."""
-    margin = (100 - PERCENT) / 100 + 1e-9
+def unsettled(rooted: DataFrame) -> DataFrame:
+    """The lists (list, node, place, root) whose entries are not all of one class yet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, node, place, root, near in _lists(batches, ["list", "node", "place", "root", "near"]):
+        for columns in _lists(batches, ["list", "node", "place", "root"]):
+            start, size = _edges(columns[0])
+            kept = np.repeat(np.maximum.reduceat(columns[3], start) != np.minimum.reduceat(columns[3], start), size)
+            if kept.any():
+                yield pa.RecordBatch.from_arrays([pa.array(c[kept]) for c in columns], ["list", "node", "place", "root"])
+
+    return _by_list(rooted).mapInArrow(run, "list long, node long, place long, root long")
+
+
+def leader_pairs(rooted: DataFrame, turn: int, done: DataFrame | None) -> DataFrame:
+    """Pairs (a, b) of a leader and a set of another class: for each set the leaders of most of its lists, if these are half as many as similar sets must share.
+
+    The leaders of a list are the least of its sets, by number in the first turn and by a hash of its own in the others;
+    how many, ``LEADERS`` says, of a list as of a set. Pairs of ``done`` (a, b) are left out.
+    """
+    leaders = LEADERS[turn]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in _lists(batches, ["list", "node", "place", "root"]):
+            order = columns[1] if turn == 0 else _mixed(columns[1].view(np.uint64) + np.uint64(turn)).view(np.int64)
+            key, node, place, root = (c[np.lexsort((order, columns[0]))] for c in columns)
+            n, _, _ = _unpack(place)
+            start, size = _edges(key)
+            for k in range(leaders):
+                lead = np.repeat(start + np.minimum(k, size - 1), size)
+                kept = (np.repeat(size, size) > k) & (root != root[lead]) & (PERCENT * np.maximum(n, n[lead]) <= 100 * np.minimum(n, n[lead]))
+                if kept.any():
+                    at = lead[kept]
+                    yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(node[kept]), pa.array(shared(n[kept], n[at]))], ["a", "b", "need"])
+
+    met = _by_list(rooted).mapInArrow(run, "a long, b long, need long").groupBy("a", "b", "need").agg(F.count("*").alias("many")).where("2 * many >= need")
+    if done is not None:
+        met = met.join(done.select("a", "b"), ["a", "b"], "left_anti")
+    if leaders == 1:
+        best = met.groupBy("b").agg(F.max(F.struct("many", (-F.col("a")).alias("leader"))).alias("best"))
+        return best.select((-F.col("best.leader")).alias("a"), "b")
+    nth = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("many"), "a"))
+    return met.withColumn("nth", nth).where(F.col("nth") <= leaders).select("a", "b")
+
+
+def open_classes(rooted: DataFrame) -> DataFrame:
+    """(node, class): sets that share as many lists with a class of a lower number as they must with a similar member of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, node, place, root in _lists(batches, ["list", "node", "place", "root"]):
             n, pos, away = _unpack(place)
             start, size = _edges(key)
             several = np.maximum.reduceat(root, start) != np.minimum.reduceat(root, start)
-            low, high = [], []
+            out = []
             for s, m in zip(start[several].tolist(), size[several].tolist()):
                 order = s + np.lexsort((pos[s : s + m], n[s : s + m]))
+                met: dict[tuple[int, int], list] = {}
                 for i, j in fitting(n[order], pos[order], away[order]):
                     i, j = order[i], order[j]
-                    open_ = (root[i] != root[j]) & ~(np.abs(near[i] - near[j]) > margin)  # of an unknown similarity the comparison is false
-                    low.append(np.minimum(node[i], node[j])[open_])
-                    high.append(np.maximum(node[i], node[j])[open_])
-            if low:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(low)), pa.array(np.concatenate(high))], ["a", "b"])
-
-    return known_entries.repartition("list").sortWithinPartitions("list").mapInArrow(run, "a long, b long").distinct()
+                    apart = root[i] != root[j]
+                    i, j = i[apart], j[apart]
+                    i, j = np.where(root[i] > root[j], i, j), np.where(root[i] > root[j], j, i)
+                    # the first token that two similar sets share has all they share from there on
+                    opens = np.minimum(n[i] - pos[i], n[j] - pos[j]) >= enough(n[i], n[j])
+                    need = shared(n[i], n[j])
+                    # once for each set and class
+                    where = np.lexsort((need, root[j], i))
+                    i, other, need, opens = i[where], root[j][where], need[where], opens[where]
+                    new = np.flatnonzero(np.append(True, (i[1:] != i[:-1]) | (other[1:] != other[:-1]))) if len(i) else np.zeros(0, dtype=np.int64)
+                    for x, r, k, o in zip(i[new].tolist(), other[new].tolist(), need[new].tolist(), np.logical_or.reduceat(opens, new).tolist() if len(new) else []):
+                        had = met.setdefault((x, r), [k, o])
+                        had[0], had[1] = min(had[0], k), had[1] or o
+                out += [(node[x], r, k, o) for (x, r), (k, o) in met.items()]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], ["node", "class", "need", "opens"])
+
+    met = _by_list(rooted).mapInArrow(run, "node long, class long, need long, opens boolean")
+    return met.groupBy("node", "class").agg(F.count("*").alias("many"), F.min("need").alias("need"), F.max("opens").alias("opens")).where("many >= need and opens").select("node", "class")
+
+
+def open_pairs(rooted: DataFrame, found: DataFrame, roots: DataFrame, done: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets and members of the classes they are open to, less those that sizes or the members' first leader rule out, and those of ``done``."""
+    sized = found.select("node", "n")
+    members = sized.join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select(F.col("node").alias("b"), F.col("n").alias("m"), F.coalesce("root", "node").alias("class"))
+    pairs = open_classes(rooted).join(members, "class").join(sized, "node").where(F.lit(PERCENT) * F.greatest("n", "m") <= 100 * F.least("n", "m")).select(F.col("node").alias("a"), "b")
+    first = done.where("turn = 0").select(F.col("b"), F.col("a").alias("leader"), F.col("near").alias("its"))
+    known = done.select(F.col("a").alias("leader"), F.col("b").alias("a"), F.col("near").alias("own"))
+    far = F.abs(F.col("own") - F.col("its")) > (100 - PERCENT) / 100 + 1e-9
+    open_ = pairs.join(first, "b", "left").join(known, ["leader", "a"], "left").where(~F.coalesce(far, F.lit(False)))
+    return open_.select("a", "b").join(done.select(F.col("a"), F.col("b")), ["a", "b"], "left_anti").distinct()
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, tokens (packed) for the nodes ``wanted`` (node, doc, digest), made again from the texts."""
+    """node, tokens (packed) for the nodes ``wanted`` (node, doc, digest), made again from the texts. A text in several rows of its ``doc_id`` may come several times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for node, digest, texts in arrow_rows(batches, "node", "digest", "text"):
-            for lo in range(0, len(node), 500):
-                made = [(k, s) for k, d, s in zip(node[lo : lo + 500], digest[lo : lo + 500], map(shingles, texts[lo : lo + 500])) if xxhash.xxh3_128_digest(s.tobytes()) == d]
+            rows = list({(k, t): (k, d, t) for k, d, t in zip(node, digest, texts)}.values())
+            for lo in range(0, len(rows), 500):
+                made = [(k, s) for k, d, s in ((k, d, shingles(t)) for k, d, t in rows[lo : lo + 500]) if xxhash.xxh3_128_digest(s.tobytes()) == d]
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in made], pa.int64()), pa.array([s.tobytes() for _, s in made], pa.binary())], ["node", "tokens"])
 
-    made = docs.join(wanted, F.col("doc_id") == F.col("doc")).select("node", "digest", "text").mapInArrow(run, "node long, tokens binary")
-    # the same text may stand in several rows of one doc_id
-    return materialise(made.groupBy("node").agg(F.first("tokens").alias("tokens")), "sets")
+    return docs.join(wanted, F.col("doc_id") == F.col("doc")).select("node", "digest", "text").mapInArrow(run, "node long, tokens binary")
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,14 +418,16 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64(), pa.bool_()))], ["a", "b", "near", "linked"])
 
 
-def compare(pairs: DataFrame, stored: DataFrame) -> DataFrame:
-    """Similarity of each pair (a, b): a, b, near, linked. A set's partners are compared in parts of PAIRS at most, on average."""
+def compare(pairs: DataFrame, docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Similarity of each pair (a, b) of nodes: a, b, near, linked. A set's partners are compared in parts of PAIRS at most, on average."""
+    pairs = materialise(pairs, "pairs")
     many = pairs.groupBy("a").count().where(F.col("count") > PAIRS).select(F.col("a").alias("_a"), F.ceil(F.col("count") / PAIRS).alias("_parts"))
     dealt = pairs.join(many, F.col("a") == F.col("_a"), "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("_parts", F.lit(1))).alias("part"))
-    sets_ = stored.select("node", "tokens")
-    others = dealt.join(sets_, F.col("b") == F.col("node")).select("a", "part", "b", "tokens")
-    owns = dealt.select("a", "part").distinct().join(sets_, F.col("a") == F.col("node")).select("a", "part", F.lit(None).cast("long").alias("b"), "tokens")
-    rows = others.union(owns).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    owns = dealt.select("a", "part").distinct().select(F.col("a").alias("_node"), "a", "part", F.lit(None).cast("long").alias("b"))
+    places = owns.union(dealt.select("b", "a", "part", "b"))
+    wanted = found.join(places.select("_node").distinct(), F.col("node") == F.col("_node")).select("node", "doc", "digest")
+    rows = whole_sets(docs, wanted).join(places, F.col("node") == F.col("_node")).select("a", "part", "b", "tokens")
+    rows = rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
     return materialise(rows.mapInArrow(_overlaps, "a long, b long, near double, linked boolean"), "compared")
 
 
@@ -371,18 +448,18 @@ def classes(docs: DataFrame, homes: int = HOMES, most: int = COUNTERS) -> DataFr
     known = context.broadcast(frequent(texts, most))
     rows = materialise(sets(texts, known), "rows")
     found = nodes(rows)
-    lists = materialise(led(entries(found, known, homes)), "lists")
-    wanted = lists.select("node").distinct().join(found, "node").select("node", "doc", "digest")
-    stored = whole_sets(texts, wanted)
-    first = compare(lists.where("leader != node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), stored)
-    roots = materialise(components(_linked(first)), "roots")
-    same = (F.col("leader") == F.col("a")) & (F.col("node") == F.col("b"))
-    at = lists.join(first.select("a", "b", "near"), same, "left").join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
-    near = F.when(F.col("leader") == F.col("node"), 1.0).otherwise(F.coalesce("near", F.lit(float("nan"))))
-    second = compare(open_pairs(at.select("list", "node", "place", F.coalesce("root", "node").alias("root"), near.alias("near"))), stored)
-    roots = components(_linked(first).union(_linked(second)))
-    rooted = found.select("digest", "doc", "node").join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("digest", "doc", F.coalesce("root", "node").alias("root"))
-    least = rooted.groupBy(F.col("root").alias("_root")).agg(F.min("doc").alias("component"))
-    named = rooted.join(least, F.col("root") == F.col("_root")).select(F.col("digest").alias("_digest"), "component")
+    rooted = materialise(partnered(entries(found, known, homes)), "lists").withColumn("root", F.col("node"))
+    done, roots = None, None
+    for turn in range(len(LEADERS)):
+        new = compare(leader_pairs(rooted, turn, done), texts, found).withColumn("turn", F.lit(turn))
+        done = new if done is None else done.unionByName(new)
+        roots = materialise(components(_linked(done)), "roots")
+        again = rooted.drop("root").join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("list", "node", "place", F.coalesce("root", "node").alias("root"))
+        rooted = materialise(unsettled(again), "unsettled")
+    last = compare(open_pairs(rooted, found, roots, done), texts, found)
+    roots = components(_linked(done).union(_linked(last)))
+    named = found.select("digest", "doc", "node").join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("digest", "doc", F.coalesce("root", "node").alias("root"))
+    least = named.groupBy(F.col("root").alias("_root")).agg(F.min("doc").alias("component"))
+    named = named.join(least, F.col("root") == F.col("_root")).select(F.col("digest").alias("_digest"), "component")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))
     return rows.select("doc_id", "n", "digest").join(named, F.col("digest") == F.col("_digest"), "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))

@@ -100,6 +100,23 @@ def test_bounds():
     assert jaccard.prefix_length(0) == 0
 
 
+def test_similar_sets_share_enough_of_their_prefixes():
+    r = random.Random(11)
+    close = 0
+    for _ in range(3000):
+        n = r.randrange(5, 60)
+        x = set(r.sample(range(200), n))
+        y = set(x)
+        for _ in range(r.randrange(0, max(2, n // 5))):
+            y.discard(r.choice(sorted(y))) if r.random() < 0.5 else y.add(r.randrange(200))
+        if not similar(x, y):
+            continue
+        close += 1
+        first = lambda s: set(sorted(s)[: jaccard.prefix_length(len(s))])
+        assert len(first(x) & first(y)) >= jaccard.shared(len(x), len(y))
+    assert close > 500
+
+
 def test_blocks_skip_no_pair(monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 8)
     r = np.random.default_rng(1)
@@ -111,7 +128,7 @@ def test_blocks_skip_no_pair(monkeypatch):
             (i, j)
             for i in range(70)
             for j in range(i + 1, 70)
-            if 80 * n[j] <= 100 * n[i] and min(n[i] - pos[i], n[j] - pos[j]) >= jaccard.enough(n[i], n[j]) and not (away[i] and away[j])
+            if 80 * n[j] <= 100 * n[i] and min(pos[i], pos[j]) + min(n[i] - pos[i], n[j] - pos[j]) >= jaccard.enough(n[i], n[j]) and not (away[i] and away[j])
         }
         assert got == want
 
