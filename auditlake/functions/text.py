@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from functools import lru_cache, reduce
 from operator import or_
@@ -31,63 +32,80 @@ def is_empty(c: Column) -> Column:
     return is_null_alias(c)
 
 
+def _bare(ch: str) -> str:
+    """Compatibility decomposition of a character without combining marks."""
+    return "".join(x for x in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(x))
+
+
+#: Hangul syllables decompose by rule: first of these, then how many vowels and finals each leading consonant has.
+HANGUL_FIRST, HANGUL_LAST, HANGUL_VOWELS, HANGUL_FINALS = 0xAC00, 0xD7A3, 21, 28
+
+
 @lru_cache(maxsize=1)
-def accent_table() -> tuple[str, str]:
-    """``translate`` arguments made by rule: characters whose compatibility
-    decomposition is one base character, then the combining marks to drop."""
-    source, target = [], []
-    for code in range(0x80, 0xFFFE):
-        if 0xD800 <= code <= 0xDFFF:
+def decompositions() -> tuple[str, str, dict[str, str]]:
+    """All planes, by rule: characters that become one other and what they become, with the combining marks to drop at the end of the
+    former, and those that become several. Hangul syllables are left out."""
+    source, target, marks, wide = [], [], [], {}
+    for code in range(0x80, 0x110000):
+        if 0xD800 <= code <= 0xDFFF or HANGUL_FIRST <= code <= HANGUL_LAST:
             continue
         ch = chr(code)
-        if unicodedata.combining(ch):
+        base = _bare(ch)
+        if base == ch:
             continue
-        base = "".join(x for x in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(x))
-        if base != ch and len(base) == 1:
+        if not base:
+            marks.append(ch)
+        elif len(base) == 1:
             source.append(ch)
             target.append(base)
-    marks = [chr(c) for c in range(0x300, 0xFFFE) if unicodedata.combining(chr(c))]
-    return "".join(source + marks), "".join(target)
-
-
-@lru_cache(maxsize=1)
-def wide_forms() -> dict[str, str]:
-    """Letters and signs below U+2200 and U+FB00-FB06 that decompose to several characters."""
-    out = {}
-    for code in list(range(0xA0, 0x2200)) + list(range(0xFB00, 0xFB07)):
-        ch = chr(code)
-        base = "".join(x for x in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(x))
-        if len(base) > 1 and code < 0x1F00 or len(base) > 1 and code >= 0x2000:
-            out[ch] = base
-    return out
+        else:
+            wide[ch] = base
+    return "".join(source + marks), "".join(target), wide
 
 
-def _coarse_class(chars) -> str:
-    """Character class of a few ranges that covers ``chars``; a cheap pre-test."""
+def _ranges(chars) -> str:
+    """Contents of a character class that holds just ``chars``."""
     ranges: list[list[int]] = []
     for code in sorted(map(ord, chars)):
-        if ranges and code - ranges[-1][1] <= 16:
+        if ranges and code == ranges[-1][1] + 1:
             ranges[-1][1] = code
         else:
             ranges.append([code, code])
-    return "[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ranges) + "]"
+    return "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges)
+
+
+@lru_cache(maxsize=1)
+def _wide_class() -> str:
+    return f"\\x{{{HANGUL_FIRST:X}}}-\\x{{{HANGUL_LAST:X}}}" + _ranges(decompositions()[2])
+
+
+def _hangul(syllable: Column) -> Column:
+    """Jamo of a Hangul syllable."""
+    def jamo(first: int, many: int, step: int) -> Column:
+        forms = [_bare(chr(HANGUL_FIRST + i * step)) for i in range(many)]
+        at = (F.ascii(syllable) - HANGUL_FIRST) / F.lit(step)
+        return F.element_at(F.array(*[F.lit(f[first:first + 1]) for f in forms]), (F.floor(at) % many + 1).cast("int"))
+
+    block = HANGUL_VOWELS * HANGUL_FINALS
+    return F.concat(jamo(0, (HANGUL_LAST - HANGUL_FIRST + 1) // block, block), jamo(1, HANGUL_VOWELS, HANGUL_FINALS), jamo(2, HANGUL_FINALS, 1))
 
 
 def strip_accents(c: Column) -> Column:
-    """Compatibility decomposition without combining marks.
+    """Compatibility decomposition without combining marks, of every character of Unicode.
 
-    Single-character forms go through one ``translate``.  The few forms that
-    become several characters (ligatures, fractions, the ellipsis) are replaced
-    through a map, and only in texts that hold one.
+    Forms of one character go through one ``translate``. Those that become
+    several (ligatures, fractions, Hangul …) are cut out of texts that hold one
+    and looked up; what stands between them stays in one piece.
     """
-    source, target = accent_table()
-    wide = wide_forms()
-    pairs = F.create_map(*[F.lit(x) for kv in wide.items() for x in kv])
-    char_class = _coarse_class(wide)
+    source, target, wide = decompositions()
+    # one literal, folded to a map once
+    pairs = F.from_json(F.lit(json.dumps(wide)), "map<string,string>")
+    some = _wide_class()
+    pieces = F.regexp_extract_all(c, F.lit(f"([^{some}]+|[{some}])"), 1)
     widened = F.array_join(
-        F.transform(F.split(c, ""), lambda ch: F.coalesce(F.try_element_at(pairs, ch), ch)), ""
+        F.transform(pieces, lambda p: F.when(p.rlike(f"^[\\x{{{HANGUL_FIRST:X}}}-\\x{{{HANGUL_LAST:X}}}]$"), _hangul(p)).otherwise(F.coalesce(F.try_element_at(pairs, p), p))), ""
     )
-    return F.translate(F.when(c.rlike(char_class), widened).otherwise(c), source, target)
+    return F.translate(F.when(c.rlike(f"[{some}]"), widened).otherwise(c), source, target)
 
 
 def fold(c: Column) -> Column:

@@ -22,28 +22,29 @@ def fragments(c: Column, size: int = FRAGMENT) -> Column:
     )
 
 
-def _short_pieces(c: Column, size: int) -> Column:
-    """All pieces shorter than a fragment, so that very short names find their containers."""
-    return F.flatten(F.array(*[fragments(c, n) for n in range(1, size)]))
+def _short_pieces(c: Column, size: int, lengths: Column) -> Column:
+    """All pieces shorter than a fragment, of the lengths that very short names have."""
+    return F.flatten(F.array(*[F.when(F.array_contains(lengths, n), fragments(c, n)).otherwise(F.array().cast("array<string>")) for n in range(1, size)]))
 
 
 def _contained_in(needles: DataFrame, hay: DataFrame, needle: str, straw: str, scope: list[str], size: int) -> DataFrame:
-    """(scope, needle, straw) where the needle is a substring of the straw."""
-    long_hay = hay.select(*scope, straw, F.explode(fragments(F.col(straw), size)).alias("_piece"))
-    # pieces below fragment size serve only scopes that hold such short needles
-    short_needles = needles.filter(F.length(needle) < size)
-    short_base = hay.join(short_needles.select(*scope).distinct(), scope, "left_semi") if scope else hay
-    short_hay = short_base.select(*scope, straw, F.explode(F.array_distinct(_short_pieces(F.col(straw), size))).alias("_piece"))
-    # how many straws hold each piece; only pieces that a needle asks for are counted
+    """(scope, needle, straw) where the needle is a substring of the straw.
+
+    Straws are cut into fragments, and into shorter pieces only of lengths that some needle has. Of all pieces only those
+    that a needle holds are kept, before they are counted or joined.
+    """
     asked = needles.select(*scope, needle, F.explode(fragments(F.col(needle), size)).alias("_piece"))
-    freq = long_hay.unionByName(short_hay).groupBy(*scope, "_piece").agg(F.count(F.lit(1)).alias("_n"))
-    # inner join drops needles holding a piece that no straw holds; the rarest piece remains
-    counted = asked.join(freq, scope + ["_piece"], "left")
-    probe = counted.groupBy(*scope, needle).agg(
+    wanted = asked.select(*scope, "_piece").distinct()
+    # at most ``size`` - 1 lengths; null where no needle is short
+    lengths = needles.filter(F.length(needle) < size).agg(F.collect_set(F.length(needle))).scalar()
+    pieces = F.concat(fragments(F.col(straw), size), _short_pieces(F.col(straw), size, lengths))
+    postings = hay.select(*scope, straw, F.explode(F.array_distinct(pieces)).alias("_piece")).join(wanted, scope + ["_piece"], "left_semi")
+    freq = postings.groupBy(*scope, "_piece").agg(F.count(F.lit(1)).alias("_n"))
+    # a needle holding a piece that no straw holds is in none; else the rarest piece leads to all that may hold it
+    probe = asked.join(freq, scope + ["_piece"], "left").groupBy(*scope, needle).agg(
         F.min(F.coalesce(F.col("_n"), F.lit(0))).alias("_least"),
         F.min_by("_piece", F.struct(F.coalesce(F.col("_n"), F.lit(0)), F.col("_piece"))).alias("_piece"),
     ).filter(F.col("_least") > 0).drop("_least")
-    postings = long_hay.unionByName(short_hay)
     return (
         probe.join(postings, scope + ["_piece"])
         .filter(F.contains(F.col(straw), F.col(needle)))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from auditlake import constants as K
 from auditlake.functions.text import strip, strip_accents
 from auditlake.operators.names import substring_lookup
+from auditlake.session import materialise
 
 MIN_ANSWER_CHARS = 20
 
@@ -62,13 +63,16 @@ def resolve_files(questions: DataFrame, docs: DataFrame) -> DataFrame:
     """Files a question refers to: full names, or else names sharing a word of four letters or more.
 
     (package_id, question_id, question) with (package_id, file_name).  Full
-    names are an equi-join; words are looked up by fragment.
+    names are an equi-join; words are looked up by fragment, in the questions
+    that name no file.  Files and open questions are written, because each of
+    these steps reads them.
     """
     asked = questions.withColumn("low", F.lower("question"))
-    files = docs.select("package_id", "file_name", F.lower("file_name").alias("low_name"))
+    files = materialise(docs.select("package_id", "file_name", F.lower("file_name").alias("low_name")), "files")
     full = asked.select("package_id", "question_id", F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit("(?U)" + K.FILE_NAME_PATTERN.replace(r"\b", "")), 1))).alias("low_name"))
     explicit = full.join(files, ["package_id", "low_name"]).select("package_id", "question_id", "file_name").distinct()
-    open_questions = asked.join(explicit.select("package_id", "question_id").distinct(), ["package_id", "question_id"], "left_anti")
+    explicit = materialise(explicit, "explicit")
+    open_questions = materialise(asked.join(explicit.select("package_id", "question_id").distinct(), ["package_id", "question_id"], "left_anti").select("package_id", "question_id", "low"), "open-questions")
     stem = F.regexp_replace("low_name", r"\.[^.]*$", "")
     words = files.select("package_id", "file_name", F.explode(F.array_distinct(F.filter(F.split(F.translate(stem, "_-", "  "), r"\s+"), lambda w: F.length(w) > 3))).alias("word"))
     hits = substring_lookup(words.select("package_id", "word").distinct(), open_questions.select("package_id", "low").distinct(), "word", "low", ["package_id"])

@@ -10,7 +10,8 @@ from auditlake.plans import matching as match_plans
 from auditlake.plans import portfolio as dd_plans
 from auditlake.plans.registry import query
 from auditlake.plans.scalar import _case
-from auditlake.sources import ingest, payloads
+from auditlake.session import shared_dir
+from auditlake.sources import ingest, payloads, sinks
 from auditlake.streaming import twins
 
 c = F.col
@@ -55,16 +56,40 @@ def _(t):
     return t.documents.select("doc_id", ingest.triage_page(native, ocr).alias("p")).select("doc_id", "p.text", "p.is_scanned")
 
 
-@query("table_markdown", r"""
-with r as (select c_nationkey, c_custkey, replace(trim(c_name || chr(10) || 'x'), chr(10), ' ') as a, case when c_custkey % 3 = 0 then '' else c_mktsegment || ' with a very long trailing remark' end as b, c_custkey % 4 as w from {customer} where c_custkey % 11 <> 5),
- h as (select c_nationkey, min(c_custkey) as h, arg_min(case when w = 0 then 1 else 2 end, c_custkey) as n from r group by 1),
- l as (select c_nationkey, c_custkey, case when n = 1 then '| ' || a || ' |' else '| ' || a || ' | ' || case when w = 0 then '' else b end || ' |' end
-   || case when c_custkey = h then chr(10) || case when n = 1 then '| --- |' else '| --- | --- |' end else '' end as line from r join h using (c_nationkey))
-select c_nationkey, array_to_string(list(line order by c_custkey), chr(10)) as markdown from l group by 1""")
+#: Customers of one Markdown table: a table is a block of a nation's customers, so that its size is bounded.
+TABLE_ROWS = 50
+
+
+@query("table_markdown", rf"""
+with r as (select c_nationkey, c_custkey // {TABLE_ROWS} as block, c_custkey, replace(trim(c_name || chr(10) || 'x'), chr(10), ' ') as a, case when c_custkey % 3 = 0 then '' else c_mktsegment || ' with a very long trailing remark' end as b, c_custkey % 4 as w from {{customer}} where c_custkey % 11 <> 5),
+ h as (select c_nationkey, block, min(c_custkey) as h, arg_min(case when w = 0 then 1 else 2 end, c_custkey) as n from r group by 1, 2),
+ l as (select c_nationkey, block, c_custkey, case when n = 1 then '| ' || a || ' |' else '| ' || a || ' | ' || case when w = 0 then '' else b end || ' |' end
+   || case when c_custkey = h then chr(10) || case when n = 1 then '| --- |' else '| --- | --- |' end else '' end as line from r join h using (c_nationkey, block))
+select c_nationkey, block, array_to_string(list(line order by c_custkey), chr(10)) as markdown from l group by 1, 2""")
+def _(t):
+    cells = t.sql(f"""select c_nationkey, c_custkey div {TABLE_ROWS} as block, c_custkey as row_no, case when c_custkey % 11 = 5 then array('', ' ') when c_custkey % 4 = 0 then array(concat(c_name, chr(10), 'x '))
+        else array(concat(' ', c_name, chr(10), 'x'), case when c_custkey % 3 = 0 then null else concat(c_mktsegment, ' with a very long trailing remark') end) end as cells from {{customer}}""")
+    return ingest.table_markdown(cells, ["c_nationkey", "block"])
+
+
+@query("src_files", """select source, count(*) as n_texts, cast(sum(length(text)) as bigint) as n_chars, 'txt' as route from {documents} where text <> '' group by 1""")
+def _(t):
+    """Texts written as files by source, then taken in from the folder: route, decoding, texts."""
+    path = shared_dir(t.spark, "texts")
+    t.documents.where("text <> ''").select("source", F.replace("text", F.lit("\n"), F.lit("\u0001")).alias("value")).write.partitionBy("source").text(path)
+    files = ingest.read_files(t.spark, path, "*.txt")
+    texts = files.select(F.regexp_extract("path", "/source=([^/]+)/", 1).alias("source"), "route", F.explode(F.split(F.regexp_replace(ingest.decode_text(c("content")), "\n$", ""), "\n")).alias("text"))
+    return texts.groupBy("source", "route").agg(F.count(F.lit(1)).alias("n_texts"), F.sum(F.length("text")).alias("n_chars"))
+
+
+@query("sink_findings", """select package_id, severity, count(*) as n, min(description) as first from {v_finding} group by 1, 2""")
 def _(t):
-    cells = t.sql("""select c_nationkey, c_custkey as row_no, case when c_custkey % 11 = 5 then array('', ' ') when c_custkey % 4 = 0 then array(concat(c_name, chr(10), 'x '))
-        else array(concat(' ', c_name, chr(10), 'x'), case when c_custkey % 3 = 0 then null else concat(c_mktsegment, ' with a very long trailing remark') end) end as cells from {customer}""")
-    return ingest.table_markdown(cells, ["c_nationkey"])
+    """Findings written by package in two appends, and read back."""
+    path = shared_dir(t.spark, "findings")
+    for part in (c("severity") == "high", c("severity") != "high"):
+        sinks.write_by_package(t.v_finding.where(part), path)
+    back = t.spark.read.parquet(path)
+    return back.groupBy("package_id", "severity").agg(F.count(F.lit(1)).alias("n"), F.min("description").alias("first"))
 
 
 @query("payload_read", r"""

@@ -114,3 +114,16 @@ def test_labels(spark):
     assert column(spark, ["invoice", "letter"], labels.evidence_score) == [8, 3]
     assert column(spark, ["invoice", "letter"], labels.doc_label) == ["Invoice", "Other"]
     assert column(spark, [0.8, 0.81], labels.confidence_label, "double") == ["uncertain", "confident"]
+
+
+def test_strip_accents_of_every_character(spark):
+    """Each code point alone and between others equals the public decomposition without marks."""
+    import unicodedata
+
+    bare = lambda t: "".join(x for x in unicodedata.normalize("NFKD", t) if not unicodedata.combining(x))
+    every = [chr(i) for i in range(1, 0x110000) if not 0xD800 <= i <= 0xDFFF]
+    rows = ["".join(every[i : i + 500]) for i in range(0, len(every), 500)] + every[0x80:0x3000:7] + ["a\ufb01b\uac01c \u00bd", "", "\ud7a3\uac00"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, t string").repartition(8).select("i", text.strip_accents(F.col("t")).alias("b")).collect()
+    assert len(got) == len(rows)
+    wrong = [(rows[r.i][:5], r.b[:5]) for r in got if r.b != bare(rows[r.i])]
+    assert not wrong, wrong[:5]
