@@ -76,7 +76,8 @@ def upsert(chunks: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     """
     spark, gen = chunks.sparkSession, _next(chunks.sparkSession, path)
     more = [F.col(c).cast("string").alias(c) if c in chunks.columns else F.lit(None).cast("string").alias(c) for c in ("package_id", "source")]
-    rows = chunks.select("chunk_id", *more, term_counts(tokenise(F.col("text"))).alias("terms"))
+    # exploded from an array of one: what reads the counts would else be pushed below them as a filter that makes them again
+    rows = chunks.select("chunk_id", *more, F.explode(F.array(term_counts(tokenise(F.col("text"))))).alias("terms"))
     length = F.aggregate(F.coalesce("terms", F.array()), F.lit(0), lambda s, t: s + t["tf"])
     sized = rows.withColumn("dl", length)
     postings = sized.select("chunk_id", "dl", F.explode("terms").alias("t")).select("t.term", "chunk_id", "t.tf", "dl").withColumn("bucket", bucket_of(F.col("term"), buckets))

@@ -84,7 +84,8 @@ def levelled_amounts(a: str, b: str, seq: int, cols: set[str]) -> Column:
 
 
 def explode_results(df: DataFrame, results: list[Column], keys=KEYS) -> DataFrame:
-    return df.select(*keys, F.explode(F.filter(F.array(*results), lambda r: r.isNotNull())).alias("r")).select(*keys, "r.*")
+    kept = F.filter(F.array(*results), lambda r: r.isNotNull())
+    return df.select(*keys, F.explode(F.array(kept)).alias("_every")).select(*keys, F.explode("_every").alias("r")).select(*keys, "r.*")
 
 
 def date_result(issue: Column, ordered: Column, seq: int) -> Column:

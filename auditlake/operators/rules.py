@@ -117,7 +117,8 @@ def emit(df: DataFrame, findings: list[Column], keys: tuple = ("package_id", "do
         # NULL arrays (nothing to test) count as empty
         more = F.flatten(F.filter(F.array(*arrays), lambda a: a.isNotNull()))
         every = F.concat(every, more) if findings else more
-    return df.select(*keys, F.explode(every).alias("f")).select(*keys, "f.*")
+    # exploded from an array of one first: a test for empty arrays would else be pushed to the scan and run all rules twice
+    return df.select(*keys, F.explode(F.array(every)).alias("_every")).select(*keys, F.explode("_every").alias("f")).select(*keys, "f.*")
 
 
 def applicable(check_id: str, doc_type: Column, language: Column) -> Column:
@@ -599,8 +600,9 @@ def wordings(documents: DataFrame) -> DataFrame:
     """
     base = rule_text(F.concat_ws(" ", "quotes"), F.col("clauses"), F.concat_ws(" ", "risk_elements"), F.col("contract_type"))
     report = report_rule_text(base, F.col("line_descriptions"), F.col("report_type"), F.col("standard"))
-    whole = documents.withColumn("body", F.when(F.col("doc_type") == "financial_report", report).otherwise(base))
-    return whole.withColumn("low", F.lower("body"))
+    # put together once, however many rules read it
+    once = documents.withColumn("body", F.explode(F.array(F.when(F.col("doc_type") == "financial_report", report).otherwise(base))))
+    return once.withColumn("low", F.explode(F.array(F.lower("body"))))
 
 
 def wording_findings(documents: DataFrame, keys: tuple = ("package_id", "doc_id")) -> DataFrame:
