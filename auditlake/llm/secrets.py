@@ -11,6 +11,7 @@ letters in the order in which the byte-pair vocabulary ``byte_bpe_50k`` learned
 from __future__ import annotations
 
 import re
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
@@ -70,27 +71,8 @@ def _near() -> set[str]:
 NEAR = _near()
 
 
-@lru_cache(maxsize=16)
-def _runs(value: str) -> tuple[str, str, list[int], list[list[int]]]:
-    """The value in lower case and without leet; where a walk from each character ends; for each size of a unit, how far its repeats go."""
-    low, n = value.lower(), len(value)
-    walk = list(range(1, n + 1))
-    for i in range(min(n, len(low)) - 2, -1, -1):
-        if low[i : i + 2] in NEAR:
-            walk[i] = walk[i + 1]
-    repeats = []
-    for size in range(1, min(8, n // 2) + 1):
-        same = [0] * (n + 1)
-        for i in range(n - size - 1, -1, -1):
-            if value[i] == value[i + size]:
-                same[i] = same[i + 1] + 1
-        repeats.append([i + size * (1 + k // size) for i, k in enumerate(same)])
-    return low, low.translate(LEET), walk, repeats
-
-
-def _pieces(value: str, start: int) -> Iterator[tuple[int, float, str]]:
-    """(end, cost, kind) of the pieces that may start there, other than a single character."""
-    low, leet, walk, repeats = _runs(value)
+def _words(value: str, low: str, leet: str, start: int) -> Iterator[tuple[int, float, str]]:
+    """(end, cost, kind) of the words and dates that start there."""
     for end in range(start + 3, min(len(value), start + LONGEST) + 1):
         word = plain = low[start:end]
         rank = RANK.get(word)
@@ -105,47 +87,86 @@ def _pieces(value: str, start: int) -> Iterator[tuple[int, float, str]]:
         yield m.end(), YEAR_COST if m.end() - start == 4 else DATE_COST, "date"
         if m.end() - start > 4 and value[start : start + 2] in ("19", "20"):
             yield start + 4, YEAR_COST, "date"
-    end = walk[start]
-    if end - start >= 3:
-        yield end, WALK_COST + log10(end - start), "walk"
-    for size, ends in enumerate(repeats[: (len(value) - start) // 2], 1):
-        end = ends[start]
-        if end - start >= max(3, 2 * size):
-            yield end, BRUTE * size + log10((end - start) / size), "repeat"
+
+
+def _pieces(value: str) -> Iterator[tuple[int, list[tuple[int, float, str]]]]:
+    """For each start, from the last character to the first: (end, cost, kind) of its pieces other than a single character.
+
+    Ends of walks and repeats follow from those one character on, so only one of each is kept, however long the value.
+    """
+    low = value.lower()
+    leet, n = low.translate(LEET), len(value)
+    sizes = range(1, min(8, n // 2) + 1)
+    walk, same = n, [0] * (len(sizes) + 1)
+    for start in range(n - 1, -1, -1):
+        if not (start + 1 < n and low[start : start + 2] in NEAR):
+            walk = start + 1
+        out = list(_words(value, low, leet, start))
+        if walk - start >= 3:
+            out.append((walk, WALK_COST + log10(walk - start), "walk"))
+        for size in sizes:
+            same[size] = same[size] + 1 if start + size < n and value[start] == value[start + size] else 0
+            length = size * (1 + same[size] // size)
+            if length >= max(3, 2 * size):
+                out.append((start + length, BRUTE * size + log10(length / size), "repeat"))
+        yield start, out
+
+
+def _costs(value: str, choice: list | None = None) -> array:
+    """The least guess cost of the value from each of its characters on, eight bytes each; ``choice`` takes the piece that gives it."""
+    best = array("d", bytes(8 * (len(value) + 1)))
+    for start, pieces in _pieces(value):
+        least, taken = BRUTE + best[start + 1], (start + 1, "brute")
+        for end, cost, kind in pieces:
+            cost += PIECE_COST + best[end]
+            if cost < least:
+                least, taken = cost, (end, kind)
+        best[start] = least
+        if choice is not None:
+            choice[start] = taken
+    return best
 
 
 def segments(value: str) -> tuple[float, list[tuple[int, int, str]]]:
     """The least guess cost of a value and the pieces that give it; single characters in a row are one brute-force piece."""
-    best: list[float] = [0.0] + [float("inf")] * len(value)
-    back: list[tuple[int, str]] = [(0, "")] * (len(value) + 1)
-    for start in range(len(value)):
-        for end, cost, kind in ((start + 1, BRUTE, "brute"), *_pieces(value, start)):
-            cost += best[start] + (PIECE_COST if kind != "brute" else 0.0)
-            if cost < best[end]:
-                best[end], back[end] = cost, (start, kind)
-    out, end = [], len(value)
-    while end:
-        start, kind = back[end]
+    choice: list = [None] * len(value)
+    cost, out, start = _costs(value, choice)[0], [], 0
+    while start < len(value):
+        end, kind = choice[start]
         if out and kind == "brute" == out[-1][2]:
-            out[-1] = (start, out[-1][1], kind)
+            out[-1] = (out[-1][0], end, kind)
         else:
             out.append((start, end, kind))
-        end = start
-    return best[-1], out[::-1]
+        start = end
+    return cost, out
+
+
+#: Values up to this length are kept in the caches; of longer ones only the last.
+KEPT_CHARS = 1000
 
 
 @lru_cache(maxsize=16)
-def suffix_costs(value: str) -> list[float]:
+def _kept_costs(value: str) -> array:
+    return _costs(value)
+
+
+@lru_cache(maxsize=1)
+def _last_costs(value: str) -> array:
+    return _costs(value)
+
+
+def suffix_costs(value: str) -> array:
     """The guess cost of the value from each of its characters on."""
-    best = [0.0] * (len(value) + 1)
-    for start in range(len(value) - 1, -1, -1):
-        best[start] = min([BRUTE + best[start + 1], *[cost + PIECE_COST + best[end] for end, cost, _ in _pieces(value, start)]])
-    return best
+    return _kept_costs(value) if len(value) <= KEPT_CHARS else _last_costs(value)
 
 
 @lru_cache(maxsize=100_000)
+def _kept_cost(value: str) -> float:
+    return _costs(value)[0]
+
+
 def guess_cost(value: str) -> float:
-    return suffix_costs(value)[0]
+    return _kept_cost(value) if len(value) <= KEPT_CHARS else suffix_costs(value)[0]
 
 
 def base_spans(text: str, low: str) -> list[tuple[int, int, str]]:
