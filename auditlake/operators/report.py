@@ -62,16 +62,29 @@ def extraction_json(docs: DataFrame, fields: list[str]) -> DataFrame:
     return docs.select("package_id", "file_name", body.alias("extraction"))
 
 
-def assemble(docs: DataFrame, findings: DataFrame, runs: DataFrame, comparison: DataFrame | None = None, portfolio: DataFrame | None = None) -> DataFrame:
+def insights_section(insights: DataFrame) -> DataFrame:
+    """What a package analysis says, as a report shows it: a missing summary is blank, missing lists are empty, a missing type is general.
+
+    ``insights``: package_id, executive_summary, findings and key_observations (lists of text), package_type.
+    """
+    none = F.array().cast("array<string>")
+    return insights.select(
+        "package_id", F.coalesce("executive_summary", F.lit("")).alias("executive_summary"), F.coalesce("findings", none).alias("findings"), F.coalesce("key_observations", none).alias("key_observations"),
+        F.coalesce(F.when(F.col("package_type") != "", F.col("package_type")), F.lit("general")).alias("package_type"))
+
+
+def assemble(docs: DataFrame, findings: DataFrame, runs: DataFrame, comparison: DataFrame | None = None, portfolio: DataFrame | None = None, insights: DataFrame | None = None) -> DataFrame:
     """One JSON report per package: counts by severity and by origin, effort, documents by type, optional sections.
 
+    ``insights`` (one row for each package, see :func:`insights_section`) gives ``package_insights``; packages without a row have no such section.
+
     The findings belong to the report as rows keyed by package, severity and
     rank (:func:`top_findings` without limits), since their number has no bound.
     """
     kinds = docs.groupBy("package_id").agg(*[F.count_if(F.col("doc_type") == k).alias(f"n_{k}") for k in K.DOC_LABELS if k != "other"])
     out = effort(docs, runs).join(severity_counts(findings), "package_id", "left").join(split_by_origin(findings).drop("n_info"), "package_id", "left")
     out = out.join(kinds.select("package_id", F.struct(*[c for c in kinds.columns if c != "package_id"]).alias("documents")), "package_id", "left")
-    for name, part in (("comparison", comparison), ("dd_analysis", portfolio)):
+    for name, part in (("comparison", comparison), ("dd_analysis", portfolio), ("package_insights", None if insights is None else insights_section(insights))):
         if part is not None:
             rest = [c for c in part.columns if c != "package_id"]
             out = out.join(part.select("package_id", F.struct(*rest).alias(name)), "package_id", "left")

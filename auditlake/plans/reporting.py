@@ -176,6 +176,25 @@ def _(t):
                       number("n_high").alias("n_high"), number("dd_analysis.contract_count").alias("contract_count"))
 
 
+INSIGHTS_SQL = """select c_custkey as package_id, case when c_custkey % 4 = 0 then null else concat('Summary of ', c_name) end as executive_summary,
+  case c_custkey % 3 when 0 then null when 1 then array('late payment', c_mktsegment) else array('one') end as findings, case when c_custkey % 2 = 0 then array(c_name) end as key_observations,
+  case c_custkey % 5 when 0 then '' when 1 then null else c_mktsegment end as package_type from {customer} where c_custkey % 7 <> 0"""
+
+
+@query("report_insights", """
+select d.package_id, case when c_custkey % 7 <> 0 then case when c_custkey % 4 = 0 then '' else 'Summary of ' || c_name end end as executive_summary,
+  case when c_custkey % 7 <> 0 then case c_custkey % 3 when 0 then 0 when 1 then 2 else 1 end end as n_findings, case when c_custkey % 7 <> 0 and c_custkey % 3 = 1 then c_mktsegment end as second_finding,
+  case when c_custkey % 7 <> 0 and c_custkey % 2 = 0 then c_name end as observation, case when c_custkey % 7 <> 0 then case when c_custkey % 5 < 2 then 'general' else c_mktsegment end end as package_type
+from (select distinct package_id from {v_document}) d join {customer} on c_custkey = d.package_id""")
+def _(t):
+    """The insights section of the report, read back from its JSON; packages without an analysis have none."""
+    out = report.assemble(t.v_document, t.v_finding, runs(t), insights=t.sql(INSIGHTS_SQL))
+    part = F.from_json(F.get_json_object("report", "$.package_insights"), "executive_summary string, findings array<string>, key_observations array<string>, package_type string")
+    read = out.select("package_id", part.alias("p"))
+    return read.select("package_id", c("p.executive_summary").alias("executive_summary"), F.size("p.findings").alias("n_findings"), F.get("p.findings", F.lit(1)).alias("second_finding"),
+                       F.get("p.key_observations", F.lit(0)).alias("observation"), c("p.package_type").alias("package_type")).withColumn("n_findings", F.when(c("n_findings") >= 0, c("n_findings")))
+
+
 # --- turns -------------------------------------------------------------------------
 
 CHAT_SQL = """select conv_id, turn, role, concat(case (conv_id + turn) % 9 when 0 then 'Compare these: ' when 1 then 'Ellenőrizd, check: ' when 2 then 'Where is the penalty? ' when 3 then 'Which documents are there? '
@@ -321,7 +340,7 @@ def _(t):
 @query("stream_dedup", "select distinct user_id as package_id, event_type || ' failed' as description from {events}")
 def _(t):
     found = twins.stream_table(t.spark, t.path, "events").select(c("user_id").alias("package_id"), F.concat("event_type", F.lit(" failed")).alias("description"), c("ts").cast("timestamp").alias("ts"))
-    return twins.run_to_table(twins.first_findings(found, "ts", "3650 days"), "stream-dedup").select("package_id", "description")
+    return twins.run_to_table(twins.first_findings(found, "ts"), "stream-dedup").select("package_id", "description")
 
 
 @query("stream_merge", """
