@@ -187,12 +187,13 @@ select doc_id, case when raw is null then ''
   when raw like '%<item>%' then array_to_string(list_filter(list_transform(regexp_extract_all(raw, '<item>\s*(.*?)\s*</item>', 1), lambda x: trim(x)), lambda x: x <> ''), '|')
   when contains(raw, chr(10)) then array_to_string(list_transform(list_filter(list_transform(string_split(raw, chr(10)), lambda x: trim(x)), lambda x: x <> ''),
       lambda x: regexp_replace(regexp_replace(x, '^[-*•]\s+', ''), '^\d+[.)]\s+', '')), '|')
-  else trim(raw) end as items from r""")
+  else trim(raw) end as items, coalesce(nullif(trim(raw), '') || '|', '') || 'end' as listed from r""")
 def _(t):
     raw = t.sql("""select doc_id, case doc_id % 4 when 0 then concat('<item> flag ', invoice_number, ' </item><item></item><item>late</item>')
         when 1 then concat('- first ', invoice_number, chr(10), '2) second', chr(10), ' * third')
         when 2 then concat(' only ', invoice_number) else null end as raw from {v_invoice}""")
-    return raw.select("doc_id", F.array_join(text.list_markup(F.col("raw")), "|").alias("items"))
+    return raw.select("doc_id", F.array_join(text.list_markup(F.col("raw")), "|").alias("items"),
+                      F.array_join(text.list_markup_array(F.array("raw", F.lit(" "), F.lit(None).cast("string"), F.lit(" end\n"))), "|").alias("listed"))
 
 
 TIER_SQL = """case when {a} is null or {b} is null or ({a} = 0 and {b} = 0) then null
@@ -210,11 +211,15 @@ def _(t):
 
 
 @query("fn_doc_label", "select file_name, " + _case(K.DOC_LABELS, "doc_type", "Other") + """ as label,
-  case when doc_ord % 10 > 8 then 'confident' else 'uncertain' end as certainty from {v_document}""")
+  case when doc_ord % 10 > 8 then 'confident' else 'uncertain' end as certainty, case when language = 'hu' then 'Invoice' else """ + _case(K.DOC_LABELS, "doc_type", "Other") + """ end as shown,
+  case when language = 'de' then 'other' else doc_type end as known from {v_document}""")
 def _(t):
+    given = F.when(F.col("language") == "hu", "Invoice").otherwise("Rechnung")
     return t.v_document.select(
         "file_name", labels.doc_label(F.col("doc_type")).alias("label"),
         labels.confidence_label(F.col("doc_ord") % 10 / 10).alias("certainty"),
+        labels.display_label(given, F.col("doc_type")).alias("shown"),
+        labels.known_type(F.when(F.col("language") == "de", "Beleg").otherwise(F.col("doc_type"))).alias("known"),
     )
 
 

@@ -55,7 +55,7 @@ VIEWS["v_contract"] = """
 select o_custkey as package_id, o_orderkey as doc_id, 'contract' as doc_type, 'en' as language,
   case when o_orderkey % 4 = 0 then 'NDA' when o_orderkey % 4 = 1 then 'service' else 'lease' end as contract_type,
   c_name as party_a, concat('Vendor ', cast(o_orderkey % 5 as string)) as party_b,
-  concat(substr('RUBYIRKPDEFRUSHUATITESPLCZROSKSIHRBGGRPTNLBESEDKFI', cast(c_nationkey as int) * 2 + 1, 2), lpad(cast(c_custkey as string), 9, '0')) as party_a_tax_id,
+  concat(split_part('RU BY IR KP DE FR US HU AT IT ES PL CZ RO SK SI HR BG GR PT NL BE SE DK FI', ' ', cast(c_nationkey as int) + 1), lpad(cast(c_custkey as string), 9, '0')) as party_a_tax_id,
   case when o_orderkey % 3 = 0 then null else '12345676-2-41' end as party_b_tax_id,
   o_totalprice * case when o_orderkey % 10 = 0 then 30 else 1 end as total_value,
   case when o_orderkey % 2 = 0 then 'USD' else 'EUR' end as currency,
