@@ -227,7 +227,7 @@ from leaves l join tops t on t.tree = l.tree join ends e on e.tree = l.tree and
 def op11_merkle(spark, path):
     docs = table(spark, path, "documents").select(*merkle.FIELDS)
     touched = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0) & F.col("n_chars").isNotNull()
-    claim = F.when(touched, merkle.leaf_digest([F.col(f) + 1 if f == "n_chars" else F.col(f) for f in merkle.FIELDS]))
+    claim = F.when(touched, merkle.leaf_digest([F.try_add(f, F.lit(1)) if f == "n_chars" else F.col(f) for f in merkle.FIELDS]))
     found = merkle.manifest(docs, claim).withColumn("claim", F.coalesce("claim", "leaf"))
     return merkle.verify(found, "claim").select("doc_id", "leaf", "subroot", "root", F.sha2(F.array_join("siblings", ""), 256).alias("proof_sha256"), "folded_root", "verified")
 
