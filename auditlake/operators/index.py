@@ -24,6 +24,8 @@ from auditlake.operators.retrieval import best_per_query
 #: Folders of a generation's postings, and parts that the rows of one folder are dealt to when they are written.
 BUCKETS = 32
 PARTS = 4
+#: Scores are summed in this fraction of one.
+UNIT = 10 ** 10
 
 
 def bucket_of(term: Column, buckets: int = BUCKETS) -> Column:
@@ -83,7 +85,10 @@ def upsert(chunks: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     postings = sized.select("chunk_id", "dl", F.explode("terms").alias("t")).select("t.term", "chunk_id", "t.tf", "dl").withColumn("bucket", bucket_of(F.col("term"), buckets))
     spread = postings.repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(PARTS)))
     spread.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/gen={gen}")
-    sized.select("chunk_id", "package_id", "source", "dl", F.lit(False).alias("deleted")).write.mode("overwrite").parquet(f"{path}/chunks/gen={gen}")
+    # the length alone needs no counts
+    tokens = tokenise(F.col("text"))
+    n_tokens = F.when(tokens.isNull(), 0).otherwise(F.size(tokens))
+    chunks.select("chunk_id", *more, n_tokens.alias("dl"), F.lit(False).alias("deleted")).write.mode("overwrite").parquet(f"{path}/chunks/gen={gen}")
     _finish(spark, path, gen)
 
 
@@ -164,8 +169,9 @@ def compact(spark: SparkSession, path: str, to: str, buckets: int = BUCKETS) ->
 def bm25(index: Index, queries: DataFrame, n: int, k1: float = K.BM25_K1, b: float = K.BM25_B, epsilon: float = K.BM25_EPSILON) -> DataFrame:
     """Top ``n`` chunks per query (query_id, query): (query_id, chunk_id, score, rank from 0).
 
-    Queries are rows, as many as there are; of the postings only those of asked terms are read. Contributions are summed
-    as decimals, so copies of a text tie.
+    Queries are rows, as many as there are; of the postings only those of asked terms are read. Those are shuffled by chunk,
+    so that a chunk's scores for all queries are summed where they arise and no pair of query and chunk is shuffled.
+    Contributions are summed as whole numbers of 10^-10, so copies of a text tie.
     """
     asked = queries.select("query_id", F.explode(term_counts(tokenise(F.col("query")))).alias("t")).select("query_id", "t.term", F.col("t.tf").alias("qtf"))
     asked = asked.withColumn("bucket", bucket_of(F.col("term")))
@@ -177,9 +183,9 @@ def bm25(index: Index, queries: DataFrame, n: int, k1: float = K.BM25_K1, b: flo
     wanted = asked.select("bucket", "term").distinct()
     terms = index.terms.join(wanted, ["bucket", "term"]).select("bucket", "term", weight.alias("idf"))
     gain = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(index.avgdl)))
-    weighted = index.postings.join(terms, ["bucket", "term"]).select("bucket", "term", "chunk_id", gain.cast("decimal(20,10)").alias("gain"))
-    scored = weighted.join(asked, ["bucket", "term"]).groupBy("query_id", "chunk_id").agg(F.sum(F.col("gain") * F.col("qtf").cast("decimal(9,0)")).alias("score"))
-    return best_per_query(scored.filter("score > 0"), [F.desc("score"), "chunk_id"], n).withColumn("score", F.col("score").cast("double"))
+    weighted = index.postings.join(terms, ["bucket", "term"]).select("term", "chunk_id", F.round(gain.cast("decimal(20,10)") * UNIT).cast("bigint").alias("gain"))
+    scored = weighted.repartition("chunk_id").join(asked.drop("bucket"), "term").groupBy("query_id", "chunk_id").agg(F.sum(F.col("gain") * F.col("qtf")).alias("score"))
+    return best_per_query(scored.filter("score > 0"), [F.desc("score"), "chunk_id"], n).withColumn("score", F.col("score").cast("double") / UNIT)
 
 
 def stats(index: Index) -> DataFrame:
