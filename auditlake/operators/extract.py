@@ -15,19 +15,31 @@ from auditlake import constants as K
 from auditlake.functions import labels
 from auditlake.functions.dates import iso_parts
 from auditlake.functions.numbers import parse_money
-from auditlake.functions.text import strip
+from auditlake.functions.text import let, strip
 
 I = "(?iUd)"     # any case, Unicode classes, only \n ends a line
 EXACT = "(?Ud)"
 
 
+def ascii_lower(c: Column) -> Column:
+    """Lower case of a text of ASCII characters only, NULL for others."""
+    return F.when(F.octet_length(c) == F.length(c), F.lower(c))
+
+
 def keyword_type(c: Column, default: Column) -> Column:
-    """First document type whose pattern occurs, in priority order."""
-    rules = [(kind, c.rlike(I + pattern)) for kind, pattern in K.CLASSIFY_PATTERNS]
-    out = F.when(rules[0][1], rules[0][0])
-    for kind, hit in rules[1:]:
-        out = out.when(hit, kind)
-    return out.otherwise(default)
+    """First document type whose pattern occurs, in priority order.
+
+    Patterns are tried only on texts that hold one of their stems, or other letters than ASCII. All stands in a lambda: as
+    generated code it would be one method too long for the JVM to compile.
+    """
+    def first(text: Column, low: Column) -> Column:
+        rules = [(kind, F.coalesce(_has(low, *K.CLASSIFY_STEMS[kind]), F.lit(True)) & text.rlike(I + pattern)) for kind, pattern in K.CLASSIFY_PATTERNS]
+        out = F.when(rules[0][1], rules[0][0])
+        for kind, hit in rules[1:]:
+            out = out.when(hit, kind)
+        return out.otherwise(default)
+
+    return let(c, lambda text: let(ascii_lower(text), lambda low: first(text, low)))
 
 
 def detect_language(c: Column, prefix: int | None = None) -> Column:
@@ -44,7 +56,7 @@ def detect_language(c: Column, prefix: int | None = None) -> Column:
 
 def classify(docs: DataFrame) -> DataFrame:
     """Add doc_type, label, confidence, language; the file name decides before the text."""
-    name = F.translate(F.col("file_name"), "_-", "  ")
+    name = F.replace(F.replace(F.col("file_name"), F.lit("_"), F.lit(" ")), F.lit("-"), F.lit(" "))
     nothing = F.lit(None).cast("string")
     staged = docs.withColumn("_by_name", keyword_type(name, nothing)).withColumn(
         "_by_text", F.when(F.col("_by_name").isNull(), keyword_type(F.coalesce(F.col("text"), F.lit("")), nothing)))
@@ -86,7 +98,7 @@ def _present(items: list[Column]) -> Column:
     return F.filter(F.array(*items), lambda q: q.isNotNull())
 
 
-def invoice_fields(c: Column) -> Column:
+def _invoice(c: Column) -> tuple:
     spans = {"invoice_number": _span(c, I + K.INVOICE_NUMBER_PATTERN)}
     spans |= {f: _span(c, _date_pattern(label)) for f, label in K.INVOICE_DATE_LABELS}
     spans |= {f"{f}_name": F.nullif(strip(F.regexp_extract(c, I + label + K.PARTY_TAIL, 1)), F.lit("")) for f, label in K.PARTY_LABELS}
@@ -109,19 +121,27 @@ def invoice_fields(c: Column) -> Column:
             F.when(q.isNotNull(), F.struct(F.lit(k).alias("key"), F.lit("high").alias("value"))) for k, q in quoted]))
         return out
 
-    return _staged(spans, build)
+    return spans, build
+
+
+def invoice_fields(c: Column) -> Column:
+    return _staged(*_invoice(c))
+
+
+def _numbered(c: Column, pattern: str) -> tuple:
+    return {"span": _span(c, I + pattern)}, lambda s: {
+        "document_number": _number_of(s["span"], pattern), "quotes": _present([s["span"]])}
 
 
 def numbered_document(c: Column, pattern: str) -> Column:
-    return _staged({"span": _span(c, I + pattern)}, lambda s: {
-        "document_number": _number_of(s["span"], pattern), "quotes": _present([s["span"]])})
+    return _staged(*_numbered(c, pattern))
 
 
 def _has(c: Column, *words) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(c, F.lit(w)) for w in words])
 
 
-def contract_fields(c: Column) -> Column:
+def _contract(c: Column) -> tuple:
     spans = {"text": c, "low": F.lower(c)}
     spans |= {f: _span(c, _date_pattern(label)) for f, label in K.CONTRACT_DATE_LABELS}
     spans["law"] = F.nullif(F.regexp_extract(c, I + K.GOVERNING_LAW_PATTERN, 1), F.lit(""))
@@ -140,40 +160,60 @@ def contract_fields(c: Column) -> Column:
         out["quotes"] = _present([s[f] for f, _ in K.CONTRACT_DATE_LABELS] + [s["ending"]])
         return out
 
-    return _staged(spans, build)
+    return spans, build
 
 
-def report_fields(c: Column) -> Column:
+def contract_fields(c: Column) -> Column:
+    return _staged(*_contract(c))
+
+
+def _report(c: Column) -> tuple:
     spans = {"text": c, "low": F.lower(c)} | {f: _span(c, _date_pattern(label)) for f, label in K.REPORT_PERIOD_LABELS}
-    return _staged(spans, lambda s: {
+    return spans, lambda s: {
         "report_type": F.when(_has(s["low"], "income statement", "p&l", "profit"), "income_statement").when(_has(s["low"], "balance sheet", "merleg"), "balance_sheet")
         .when(_has(s["low"], "cash flow"), "cash_flow"),
         "accounting_standard": F.when(_has(s["text"], "IFRS"), "IFRS").when(_has(s["text"], "US-GAAP", "US GAAP"), "US-GAAP")
         .when(_has(s["text"], "HU-GAAP", "HÁR"), "HU-GAAP").when(_has(s["text"], "HGB"), "DE-HGB"),
-        **{f: _date_of(s[f]) for f, _ in K.REPORT_PERIOD_LABELS}})
+        **{f: _date_of(s[f]) for f, _ in K.REPORT_PERIOD_LABELS}}
+
+
+def report_fields(c: Column) -> Column:
+    return _staged(*_report(c))
+
+
+def _universal(c: Column) -> tuple:
+    return {"span": _span(c, EXACT + K.DATE_PATTERN)}, lambda s: {"signature_date": _date_of(s["span"])}
 
 
 def universal_fields(c: Column) -> Column:
-    return _staged({"span": _span(c, EXACT + K.DATE_PATTERN)}, lambda s: {"signature_date": _date_of(s["span"])})
+    return _staged(*_universal(c))
 
 
 def extract_all(docs: DataFrame) -> DataFrame:
-    """Extractor by doc_type in one projection: each field is NULL for other types."""
-    c, kind = F.col("text"), F.col("doc_type")
+    """Extractor by doc_type: spans in one projection, fields in the next, each NULL for other types.
+
+    Spans and fields are columns of their own, so that those nobody asks for are not searched.
+    """
+    kind = F.col("doc_type")
     by_type = {
-        "invoice": invoice_fields(c), "delivery_note": numbered_document(c, K.DELIVERY_NOTE_PATTERN),
-        "purchase_order": numbered_document(c, K.PURCHASE_ORDER_PATTERN), "contract": contract_fields(c),
-        "financial_report": report_fields(c), "other": universal_fields(c),
+        "invoice": _invoice, "delivery_note": lambda c: _numbered(c, K.DELIVERY_NOTE_PATTERN),
+        "purchase_order": lambda c: _numbered(c, K.PURCHASE_ORDER_PATTERN), "contract": _contract,
+        "financial_report": _report, "other": _universal,
     }
+
+    def span(t: str, k: str) -> Column:
+        return F.when(of_type[t], let(F.col("text"), lambda x: by_type[t](x)[0][k])).alias(f"_{t}_{k}")
+
     others = [k for k in by_type if k != "other"]
-    staged = docs.select(*[x for x in docs.columns if x != "text"], F.col("file_name").alias("source_file"), *[
-        F.when(~kind.isin(others) if t == "other" else kind == t, fields).alias(f"_{t}") for t, fields in by_type.items()])
+    of_type = {t: ~kind.isin(others) if t == "other" else kind == t for t in by_type}
+    kept = [x for x in docs.columns if x != "text"]
+    read = {t: extractor(F.col("text")) for t, extractor in by_type.items()}
+    staged = docs.select(*kept, F.col("file_name").alias("source_file"), *[span(t, k) for t, (spans, _) in read.items() for k in spans])
     holders: dict[str, list[Column]] = {}
-    for t in by_type:
-        for f in staged.schema[f"_{t}"].dataType.names:
-            holders.setdefault(f, []).append(F.col(f"_{t}")[f])
-    kept = [x for x in staged.columns if x not in [f"_{t}" for t in by_type]]
-    return staged.select(*kept, *[F.coalesce(*v).alias(k) for k, v in holders.items()])
+    for t, (spans, build) in read.items():
+        for f, field in build({k: F.col(f"_{t}_{k}") for k in spans}).items():
+            holders.setdefault(f, []).append(F.when(of_type[t], field))
+    return staged.select(*kept, "source_file", *[F.coalesce(*v).alias(k) for k, v in holders.items()])
 
 
 def flatten_universal(docs: DataFrame) -> DataFrame:
