@@ -42,6 +42,9 @@ BATCH = 1 << 22
 BLOCK = 128
 HOMES = 20_000
 PAIRS = 4096
+#: Entries of a list that is compared together with others; sets and classes of a larger one that are held at a time.
+SMALL = 16
+CELLS = 1 << 20
 #: Leaders that a set is compared with, by turn, before it is held against classes.
 LEADERS = (1, 6)
 
@@ -88,29 +91,49 @@ class Counters:
         self.most, self.tokens, self.counts = most, np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
 
     def add(self, tokens: np.ndarray) -> None:
-        new, many = np.unique(tokens, return_counts=True)
-        both, at = np.unique(np.concatenate([self.tokens, new]), return_inverse=True)
-        counts = np.zeros(len(both), dtype=np.int64)
-        np.add.at(counts, at, np.concatenate([self.counts, many]))
-        if len(both) > self.most:
-            counts -= np.partition(counts, len(counts) - self.most - 1)[len(counts) - self.most - 1]
-        self.tokens, self.counts = both[counts > 0], counts[counts > 0]
+        """Count ``tokens``, which are sorted in place; a token seen once takes no memory beside it."""
+        tokens.sort()
+        same = tokens[1:] == tokens[:-1]
+        several = np.append(False, same) | np.append(same, False) if len(tokens) else np.zeros(0, dtype=bool)
+        once, repeated = len(tokens) - int(np.count_nonzero(several)), tokens[several]
+        start, many = _edges(repeated)
+        new = repeated[start]
+        here = np.searchsorted(tokens, self.tokens, "right") - np.searchsorted(tokens, self.tokens)
+        held, _ = _frequent_among(new, self.tokens)
+        new, many = new[~held], many[~held]
+        once -= int(np.count_nonzero(here == 1))
+        counts = np.concatenate([self.counts + here, many])
+        over = len(counts) + once - self.most
+        if over > 0:
+            ones = once + int(np.count_nonzero(counts == 1))
+            counts -= 1 if over <= ones else np.partition(counts, over - 1 - once)[over - 1 - once]
+            new = np.concatenate([self.tokens, new])
+        else:
+            single = tokens[~several]
+            single = single[~_frequent_among(single, self.tokens)[0]]
+            new, counts = np.concatenate([self.tokens, new, single]), np.concatenate([counts, np.ones(len(single), dtype=np.int64)])
+        new, counts = new[counts > 0], counts[counts > 0]
+        order = np.argsort(new)
+        self.tokens, self.counts = new[order], counts[order]
 
 
 def frequent(docs: DataFrame, most: int = COUNTERS, least: int = LEAST_FREQUENT) -> tuple[np.ndarray, np.ndarray]:
     """Frequent tokens of all texts in order of their hash, and their counts (lower bounds); ``most`` of them at most come to the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, waiting, size = Counters(most), [], 0
-        for (texts,) in arrow_rows(batches, "text"):
-            for text in texts:
-                waiting.append(shingles(text))
-                size += len(waiting[-1])
-                if size >= BATCH:
-                    own.add(np.concatenate(waiting))
-                    waiting, size = [], 0
-        if waiting:
-            own.add(np.concatenate(waiting))
+        own, waiting, filled = Counters(most), np.empty(BATCH, dtype=np.uint64), 0
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1000):
+                for text in batch.column(0).slice(lo, 1000).to_pylist():
+                    tokens = shingles(text)
+                    while len(tokens):
+                        part = tokens[: BATCH - filled]
+                        waiting[filled : filled + len(part)] = part
+                        filled, tokens = filled + len(part), tokens[len(part) :]
+                        if filled == BATCH:
+                            own.add(waiting)
+                            filled = 0
+        own.add(waiting[:filled])
         many = own.counts > 1
         yield pa.RecordBatch.from_arrays([pa.array(own.tokens[many].view(np.int64)), pa.array(own.counts[many])], ["token", "count"])
 
@@ -217,22 +240,28 @@ def shared(n, m):
     return np.maximum(1, enough(n, m) - np.maximum(n - length(n), m - length(m)))
 
 
-def fitting(n: np.ndarray, pos: np.ndarray, away: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (i < j) of entries of one list, in order of size, that may be similar; block by block, with blocks skipped by size and position."""
+def fitting(n: np.ndarray, pos: np.ndarray, away: np.ndarray, label: np.ndarray | None = None, lo: int = 0, hi: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i < j) of entries of one list, in order of size, that may be similar; block by block, with blocks skipped by size and position.
+
+    Pairs of one ``label`` are left out, and so are blocks neither of which starts in ``lo`` to ``hi``.
+    """
     rest, starts = n - pos, range(0, len(n), BLOCK)
     low, high = [int(n[s]) for s in starts], [int(n[min(s + BLOCK, len(n)) - 1]) for s in starts]
     behind, before = [int(rest[s : s + BLOCK].max()) for s in starts], [int(pos[s : s + BLOCK].max()) for s in starts]
+    wanted = [lo <= s < (len(n) if hi is None else hi) for s in starts]
     for a, s in enumerate(starts):
         for b in range(a, len(low)):
             if PERCENT * low[b] > 100 * high[a]:
                 break
-            if min(before[a], before[b]) + min(behind[a], behind[b]) < enough(low[a], low[b]):
+            if not (wanted[a] or wanted[b]) or min(before[a], before[b]) + min(behind[a], behind[b]) < enough(low[a], low[b]):
                 continue
             t = b * BLOCK
             x, y = slice(s, s + BLOCK), slice(t, t + BLOCK)
             fit = np.minimum(pos[x, None], pos[None, y]) + np.minimum(rest[x, None], rest[None, y]) >= enough(n[x, None], n[None, y])
             fit &= PERCENT * n[None, y] <= 100 * n[x, None]
             fit &= ~(away[x, None] & away[None, y])
+            if label is not None:
+                fit &= label[x, None] != label[None, y]
             if a == b:
                 fit = np.triu(fit, 1)
             i, j = np.nonzero(fit)
@@ -240,6 +269,14 @@ def fitting(n: np.ndarray, pos: np.ndarray, away: np.ndarray) -> Iterator[tuple[
                 yield i + s, j + t
 
 
+def _in_small(start: np.ndarray, size: np.ndarray, n: np.ndarray, pos: np.ndarray, away: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of ``fitting`` of all lists of SMALL entries at most together, at once."""
+    pairs = [(start[size == m][:, None] + np.stack(np.triu_indices(m, 1))[:, None, :]).reshape(2, -1) for m in range(2, SMALL + 1)]
+    i, j = np.concatenate(pairs, axis=1)
+    fit = (np.minimum(pos[i], pos[j]) + np.minimum((n - pos)[i], (n - pos)[j]) >= enough(n[i], n[j])) & (PERCENT * np.maximum(n[i], n[j]) <= 100 * np.minimum(n[i], n[j])) & ~(away[i] & away[j])
+    return i[fit], j[fit]
+
+
 def _lists(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[list[np.ndarray]]:
     """Whole lists of rows sorted by list, several at a time: the named columns as arrays."""
     held: list[list[np.ndarray]] = []
@@ -275,11 +312,9 @@ def partnered(listed: DataFrame) -> DataFrame:
             n, pos, away = _unpack(place)
             start, size = _edges(key)
             kept = np.zeros(len(key), dtype=bool)
-            two = start[size == 2]
-            x, y = two, two + 1
-            fit = (np.minimum(pos[x], pos[y]) + np.minimum((n - pos)[x], (n - pos)[y]) >= enough(n[x], n[y])) & (PERCENT * np.maximum(n[x], n[y]) <= 100 * np.minimum(n[x], n[y])) & ~(away[x] & away[y])
-            kept[x[fit]] = kept[y[fit]] = True
-            for s, m in zip(start[size > 2].tolist(), size[size > 2].tolist()):
+            i, j = _in_small(start, size, n, pos, away)
+            kept[i] = kept[j] = True
+            for s, m in zip(start[size > SMALL].tolist(), size[size > SMALL].tolist()):
                 order = s + np.lexsort((pos[s : s + m], n[s : s + m]))
                 for i, j in fitting(n[order], pos[order], away[order]):
                     kept[order[i]] = kept[order[j]] = True
@@ -337,38 +372,62 @@ def leader_pairs(rooted: DataFrame, turn: int, done: DataFrame | None) -> DataFr
     return met.withColumn("nth", nth).where(F.col("nth") <= leaders).select("a", "b")
 
 
+def _met(i: np.ndarray, j: np.ndarray, n: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What pairs of a list must share at least, and whether this list's token may be the first they share: two similar sets have all they share from there on."""
+    return shared(n[i], n[j]), np.minimum(n[i] - pos[i], n[j] - pos[j]) >= enough(n[i], n[j])
+
+
+def _upward(i: np.ndarray, j: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    up = root[i] > root[j]
+    return np.where(up, i, j), np.where(up, j, i)
+
+
+def _classes_met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each list, set and class of a lower number that it meets there: node, class, need, opens.
+
+    Lists of SMALL entries are taken together. Of a larger one CELLS sets and classes are held at a time, in two arrays.
+    """
+
+    def out(node: np.ndarray, root: np.ndarray, need: np.ndarray, opens: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(node), pa.array(root), pa.array(need), pa.array(opens)], ["node", "class", "need", "opens"])
+
+    none = np.iinfo(np.int64).max
+    for key, node, place, root in _lists(batches, ["list", "node", "place", "root"]):
+        n, pos, away = _unpack(place)
+        start, size = _edges(key)
+        several = np.maximum.reduceat(root, start) != np.minimum.reduceat(root, start)
+        start, size = start[several], size[several]
+        i, j = _in_small(start, size, n, pos, away)
+        i, j = _upward(*(x[root[i] != root[j]] for x in (i, j)), root)
+        if len(i):
+            need, opens = _met(i, j, n, pos)
+            order = np.lexsort((root[j], i))
+            i, other, need, opens = i[order], root[j][order], need[order], opens[order]
+            new = np.flatnonzero(np.append(True, (i[1:] != i[:-1]) | (other[1:] != other[:-1])))
+            yield out(node[i[new]], other[new], np.minimum.reduceat(need, new), np.logical_or.reduceat(opens, new))
+        for s, m in zip(start[size > SMALL].tolist(), size[size > SMALL].tolist()):
+            order = s + np.lexsort((pos[s : s + m], n[s : s + m]))
+            names, label = np.unique(root[order], return_inverse=True)
+            sizes, places, visits = n[order], pos[order], away[order]
+            band = max(1, CELLS // (len(names) * BLOCK)) * BLOCK
+            for lo in range(0, m, band):
+                hi = min(m, lo + band)
+                need, opens = np.full((hi - lo) * len(names), none), np.zeros((hi - lo) * len(names), dtype=bool)
+                for i, j in fitting(sizes, places, visits, label, lo, hi):
+                    i, j = _upward(i, j, label)
+                    i, j = (x[(i >= lo) & (i < hi)] for x in (i, j))
+                    cell = (i - lo) * len(names) + label[j]
+                    least, first = _met(i, j, sizes, places)
+                    np.minimum.at(need, cell, least)
+                    opens[cell[first]] = True
+                found = np.flatnonzero(need < none)
+                if len(found):
+                    yield out(node[order[lo + found // len(names)]], names[found % len(names)], need[found], opens[found])
+
+
 def open_classes(rooted: DataFrame) -> DataFrame:
     """(node, class): sets that share as many lists with a class of a lower number as they must with a similar member of it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, node, place, root in _lists(batches, ["list", "node", "place", "root"]):
-            n, pos, away = _unpack(place)
-            start, size = _edges(key)
-            several = np.maximum.reduceat(root, start) != np.minimum.reduceat(root, start)
-            out = []
-            for s, m in zip(start[several].tolist(), size[several].tolist()):
-                order = s + np.lexsort((pos[s : s + m], n[s : s + m]))
-                met: dict[tuple[int, int], list] = {}
-                for i, j in fitting(n[order], pos[order], away[order]):
-                    i, j = order[i], order[j]
-                    apart = root[i] != root[j]
-                    i, j = i[apart], j[apart]
-                    i, j = np.where(root[i] > root[j], i, j), np.where(root[i] > root[j], j, i)
-                    # the first token that two similar sets share has all they share from there on
-                    opens = np.minimum(n[i] - pos[i], n[j] - pos[j]) >= enough(n[i], n[j])
-                    need = shared(n[i], n[j])
-                    # once for each set and class
-                    where = np.lexsort((need, root[j], i))
-                    i, other, need, opens = i[where], root[j][where], need[where], opens[where]
-                    new = np.flatnonzero(np.append(True, (i[1:] != i[:-1]) | (other[1:] != other[:-1]))) if len(i) else np.zeros(0, dtype=np.int64)
-                    for x, r, k, o in zip(i[new].tolist(), other[new].tolist(), need[new].tolist(), np.logical_or.reduceat(opens, new).tolist() if len(new) else []):
-                        had = met.setdefault((x, r), [k, o])
-                        had[0], had[1] = min(had[0], k), had[1] or o
-                out += [(node[x], r, k, o) for (x, r), (k, o) in met.items()]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], ["node", "class", "need", "opens"])
-
-    met = _by_list(rooted).mapInArrow(run, "node long, class long, need long, opens boolean")
+    met = _by_list(rooted).mapInArrow(_classes_met, "node long, class long, need long, opens boolean")
     return met.groupBy("node", "class").agg(F.count("*").alias("many"), F.min("need").alias("need"), F.max("opens").alias("opens")).where("many >= need and opens").select("node", "class")
 
 

@@ -1,8 +1,11 @@
 """Jaccard join against all pairs, with lists dealt out in small parts and with sets that only a chain of links joins."""
 
 import random
+import tracemalloc
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from auditlake.llm import jaccard
@@ -141,6 +144,63 @@ def test_counters_keep_what_is_frequent():
     assert set(range(5)) <= set(own.tokens.tolist()) and len(own.tokens) <= 50 and own.counts.max() <= 800
 
 
+def listed(r, lists, sizes, classes, width):
+    """Lists of sets of about ``width`` tokens in ``classes`` classes, as one sorted batch of rows."""
+    many = [r.integers(*sizes) for _ in range(lists)]
+    key = np.repeat(np.arange(lists), many)
+    n = r.integers(width * 9 // 10, width, len(key))
+    place = (n << 32) | (n * r.random(len(key)) * 0.2).astype(np.int64) | np.where(r.random(len(key)) < 0.1, jaccard.AWAY, 0)
+    node = np.concatenate([r.permutation(10 * m)[:m] for m in many])
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (key, node, place, node % classes)], ["list", "node", "place", "root"])
+
+
+def test_classes_met_equal_all_pairs(monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    monkeypatch.setattr(jaccard, "CELLS", 100)
+    rows = listed(np.random.default_rng(5), 60, (1, 70), 12, 60)
+    got = sorted(tuple(x.values()) for b in jaccard._classes_met(iter([rows])) for x in b.to_pylist())
+    want, lists = [], {}
+    for x in rows.to_pylist():
+        n, pos, away = (int(v) for v in jaccard._unpack(np.int64(x["place"])))
+        lists.setdefault(x["list"], []).append((x["node"], x["root"], n, pos, away))
+    for of in lists.values():
+        met = {}
+        for a, r, n, p, away in of:
+            for _, q, m, o, too in of:
+                if r > q and not (away and too) and 80 * max(n, m) <= 100 * min(n, m) and min(p, o) + min(n - p, m - o) >= jaccard.enough(n, m):
+                    k, first = met.get((a, q), (n, False))
+                    met[a, q] = (min(k, int(jaccard.shared(n, m))), first or min(n - p, m - o) >= jaccard.enough(n, m))
+        want += [(*k, *v) for k, v in met.items()]
+    assert got == sorted(want) and len({len(x) > jaccard.SMALL for x in lists.values()}) == 2
+
+
+def test_a_list_of_many_classes_takes_little_memory():
+    rows = listed(np.random.default_rng(6), 1, (1500, 1501), 10**6, 400)
+    tracemalloc.start()
+    assert sum(b.num_rows for b in jaccard._classes_met(iter([rows]))) > 500_000
+    assert tracemalloc.get_traced_memory()[1] < 64e6
+    tracemalloc.stop()
+
+
+def test_counters_equal_counts_that_all_lose_alike():
+    r, own, want = np.random.default_rng(7), jaccard.Counters(30), Counter()
+    for _ in range(60):
+        batch = np.concatenate([r.integers(0, 10**6, r.integers(0, 60)), r.integers(0, 25, r.integers(0, 40))]).astype(np.uint64)
+        want.update(batch.tolist())
+        least = sorted(want.values())[len(want) - 31] if len(want) > 30 else 0
+        want = Counter({k: v - least for k, v in want.items() if v > least})
+        own.add(batch)
+        assert dict(zip(own.tokens.tolist(), own.counts.tolist())) == want
+
+
+def test_counting_a_batch_takes_little_memory():
+    own, batch = jaccard.Counters(), np.random.default_rng(8).integers(0, 1 << 62, 1 << 21).astype(np.uint64)
+    tracemalloc.start()
+    own.add(batch)
+    assert tracemalloc.get_traced_memory()[1] < 2 * batch.nbytes
+    tracemalloc.stop()
+
+
 def test_empty_table(spark):
     assert jaccard.classes(spark.createDataFrame([], SCHEMA)).count() == 0
     assert [tuple(x) for x in jaccard.classes(spark.createDataFrame([(4, None), (3, "")], SCHEMA)).orderBy("doc_id").collect()] == [(3, 0, 3), (4, 0, 4)]
